@@ -39,11 +39,11 @@ _EPS = 1e-9
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, uid)``; repeated rows get different uids."""
+    """``(doc_id, source, size, version, uid)``; repeated rows get different uids."""
     n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    plain = docs.select("doc_id", "source", n_words.alias("size"), F.xxhash64("text").alias("_t"))
-    same = Window.partitionBy("doc_id", "_t", "source", "size").orderBy("doc_id")
-    return plain.withColumn("_n", F.row_number().over(same)).select("doc_id", "source", "size", F.xxhash64("doc_id", "_t", "_n").alias("uid"))
+    plain = docs.select("doc_id", "source", n_words.alias("size"), F.xxhash64("text").alias("version"))
+    same = Window.partitionBy("doc_id", "version", "source", "size").orderBy("doc_id")
+    return plain.withColumn("_n", F.row_number().over(same)).select("doc_id", "source", "size", "version", F.xxhash64("doc_id", "version", "source", "_n").alias("uid"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -141,14 +141,35 @@ def choose(units: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, times)``, a row for each document."""
+    return drawn(docs).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+def drawn(docs: DataFrame) -> DataFrame:
+    """The mix with ``uid`` for each row and ``version`` for its text."""
     sized = durable(sizes(docs))
     goal = durable(targets(sized))
     joined = sized.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = joined.select("doc_id", "d.source", "size", "uid", "source_size", "target", rate.alias("rate")).withColumn("whole", F.floor("rate"))
+    rated = joined.select("doc_id", "d.source", "size", "version", "uid", "source_size", "target", rate.alias("rate")).withColumn("whole", F.floor("rate"))
     open_ = rated.filter("rate > whole AND size > 0").select("uid", "source", "size", (F.col("rate") - F.col("whole")).alias("p"))
     extra = choose(open_).withColumnRenamed("uid", "_uid")
     times = F.col("whole") + F.coalesce("extra", F.lit(0))
     return rated.join(extra, F.col("uid") == F.col("_uid"), "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times")
+        "doc_id", "source", "version", "uid", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times")
     )
+
+
+def take(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document with ``size``, ``source_size``, ``target``, ``taken`` and ``times``.
+
+    Equal rows (doc_id, source, text) share what they are taken together as evenly as whole numbers allow,
+    the first one most.
+    """
+    own = ["size", "source_size", "target", "taken", "times"]
+    plan = drawn(docs)
+    order = Window.partitionBy("doc_id", "version", "source").orderBy(F.col("times").desc())
+    ranked = plan.withColumn("_n", F.row_number().over(order)).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("source").alias("_source"), "_n", *own)
+    rest = docs.drop(*own).withColumn("_hash", F.xxhash64("text"))
+    numbered = rest.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_hash", "source").orderBy(F.lit(0))))
+    matched = numbered.join(ranked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_m") == F.col("_n")))
+    return matched.select(*[c for c in docs.columns if c not in own], *own)
