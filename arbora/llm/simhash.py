@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import TILE_ROWS, Forest, batches, components, durable, tiles, words_of
+from arbora.llm._shared import Forest, batches, components, durable, tiles, words_of
 
 SHINGLE = 3
 RADIUS = 3
 SAMPLE = 65_536
 #: Distinct fingerprints wanted in one shard.
 SHARD = 8192
+#: Fingerprints on one side of a comparison tile: eight bytes each, so twice a usual shard is small.
+TILE = 16_384
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -169,7 +171,7 @@ def linked(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE) -> Dat
         child = np.flatnonzero(forest.root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[child], "b": ids[forest.root[child]]})
 
-    dealt = tiles(members, ["shard"], "fp", TILE_ROWS)
+    dealt = tiles(members, ["shard"], "fp", TILE)
     return dealt.groupBy("shard", "tile_i", "tile_j").applyInPandas(compare, "a long, b long")
 
 
