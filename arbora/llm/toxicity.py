@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import batches, held_out, table
+from arbora.llm._shared import batches, durable, held_out, table
 
 #: English insults that any general lexicon holds.
 LEXICON = frozenset("idiot moron stupid dumb loser scum trash garbage clown worthless pathetic disgusting imbecile retard bastard bitch whore slut asshole shithead fuck fucking cunt vermin subhuman".split())
@@ -140,15 +140,16 @@ def classifier(rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Weights of the linear classifier, with the label model's estimates for inspection."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").filter("text IS NOT NULL").join(known, F.col("doc_id") == F.col("_id"))
-    keys = labelled.select(F.xxhash64("text").alias("k"), "doc_id").groupBy("k").agg(F.min("doc_id").alias("one")).orderBy("k").limit(SAMPLE)
+    # the sample is found by hashes alone; then at most SAMPLE ids fetch their texts, a bound that allows a broadcast
+    hashed = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("k")).join(known, F.col("doc_id") == F.col("_id"))
+    keys = durable(hashed.groupBy("k").agg(F.min(F.struct("doc_id", "toxic")).alias("one")).orderBy("k").limit(SAMPLE).select(F.col("one.doc_id").alias("_id"), F.col("one.toxic").alias("toxic"), "k"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("k")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
-            yield pd.DataFrame({"k": frame["doc_id"], "toxic": frame["toxic"], "f": [features(t).tobytes() for t in frame["text"]], "p": [bytes(patterns(t)) for t in frame["text"]]})
+            yield pd.DataFrame({"k": frame["k"], "toxic": frame["toxic"], "f": [features(t).tobytes() for t in frame["text"]], "p": [bytes(patterns(t)) for t in frame["text"]]})
 
-    chosen = labelled.join(keys.select("one"), F.col("doc_id") == F.col("one"), "left_semi")
-    sample = chosen.select("doc_id", "toxic", "text").mapInPandas(run, "k long, toxic int, f binary, p binary").toPandas().sort_values(["k", "f"])
+    sample = labelled.select("k", "toxic", "text").mapInPandas(run, "k long, toxic int, f binary, p binary").toPandas().sort_values("k").drop_duplicates("k")
     rows = [np.frombuffer(f, np.int32) for f in sample["f"]]
     marks = sample["toxic"].to_numpy(bool)
     if not len(rows) or not marks.any():
