@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import batches, durable
+from arbora.llm._shared import batches
 
 MAIN, FREE, BOILER = 2, 1, 0
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,55 +182,38 @@ def _paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``, a row for each page.
 
-    Free lines, the only ones that a neighbour decides on, are few on pages with an
-    article; they travel to the neighbour as one array, the rest of a page stays
-    where it is. Neighbours are found by a window over (host, range of paths), so that
-    a host with a third of all pages is sorted as many parts; pages at the edge of a
-    part pair within it.
+    Pages are dealt by ranges of (host, path), so that a host with a third of all pages
+    becomes many parts, and sorted; pages at the edge of a part pair within it. Each
+    task parses a page and meets it with the page before, two pages at a time.
     """
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            rows = [lines_of(h) for h in frame["html"]]
-            main = [any(z == MAIN for z, _ in r) for r in rows]
-            yield pd.DataFrame(
-                {
-                    "page_id": frame["page_id"],
-                    "url": frame["url"],
-                    "host": frame["host"],
-                    "path": frame["path"],
-                    "main": ["\n".join(t for z, t in r if z == MAIN) if m else None for r, m in zip(rows, main, strict=True)],
-                    "free": [[t for z, t in r if z == FREE] for r in rows],
-                }
-            )
-
-    parsed = durable(_paths(pages).mapInPandas(parse, "page_id long, url string, host string, path string, main string, free array<string>"))
-    n_parts = parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = parsed.repartitionByRange(int(n_parts), "host", "path", "page_id")
+    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _paths(pages).repartitionByRange(n_parts, "host", "path", "page_id")
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pages come sorted by host and path; each meets the page before and the page after it."""
-        last: tuple | None = None
-        held: list | None = None
+        host: str | None = None
+        held: tuple | None = None
 
-        def done(page: list) -> tuple:
+        def done(page: tuple) -> tuple:
             row, lines, gone = page
-            text = row.main if row.main is not None else "\n".join(t for k, t in enumerate(lines) if k not in gone)
+            main = any(zone == MAIN for zone, _ in lines)
+            free = [text for zone, text in lines if zone == FREE]
+            text = "\n".join(text for zone, text in lines if zone == MAIN) if main else "\n".join(t for k, t in enumerate(free) if k not in gone)
             return row.page_id, row.url, text, len(text)
 
         for frame in batches(frames):
             out = []
             for row in frame.itertuples(index=False):
-                page = [row, list(row.free), set()]
+                page = (row, lines_of(row.html), set())
                 if held is not None:
-                    if last == row.host and held[1] and page[1]:
-                        a, b = shared_lines(held[1], page[1])
-                        held[2] |= a
-                        page[2] |= b
+                    if host == row.host:
+                        before, after = ([text for zone, text in p[1] if zone == FREE] for p in (held, page))
+                        a, b = shared_lines(before, after)
+                        held[2].update(a)
+                        page[2].update(b)
                     out.append(done(held))
-                held, last = page, row.host
+                held, host = page, row.host
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
         if held is not None:
             yield pd.DataFrame([done(held)], columns=["page_id", "url", "text", "n_chars"])
 
-    return ranged.sortWithinPartitions("host", "path", "page_id", F.xxhash64("free", "main")).mapInPandas(pair, "page_id long, url string, text string, n_chars long")
+    return ranged.sortWithinPartitions("host", "path", "page_id", F.xxhash64("html")).mapInPandas(pair, "page_id long, url string, text string, n_chars long")
