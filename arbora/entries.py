@@ -1,10 +1,318 @@
-"""Registered queries of the core library and their DuckDB counterparts."""
+"""Registered queries of the core library and their DuckDB counterparts.
+
+Points are the first three components of ``embeddings`` and, for the flagship, the
+normalised (date, price) of ``orders``. Exact products go through the whole machinery
+with compression switched off; compressed results are compared inside the query and
+reported as a verdict.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arbora.functions import vectors
+from arbora.operators import factor, hmatrix, solvers
+from arbora.plans import clustering
+from arbora.plans.clustering import Clustering
+from arbora.sources import points as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_EXACT = hmatrix.Options(eta=1e-300)
+_P = "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings) "
+_D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def emb3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("point_id"), "label", F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("coords"))
+
+
+def _tree(spark, sf_dir, where: str = "true", **how):
+    return clustering.build(emb3(spark, sf_dir).filter(where).select("point_id", "coords"), Clustering(leaf=100, **how))
+
+
+def _ones(df: DataFrame) -> DataFrame:
+    return df.select("point_id", (F.col("point_id") % 7 + 1).cast("double").alias("val"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("point_id", F.round("val", 6).alias("y"))
+
+
+_MATVEC = "SELECT a.vec_id AS point_id, round(sum((b.vec_id % 7 + 1) / (1 + {d})), 6) AS y FROM p a, p b {where} GROUP BY a.vec_id"
+
+
+@query(_P + _MATVEC.format(d=_D, where=""))
+def kernel_matvec(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    return _rounded(hmatrix.assemble(t, t, "ex_inv1", _EXACT).user_product(_ones(t.points)))
+
+
+@query(_P + _MATVEC.format(d=_D, where=""))
+def kernel_matvec_symmetric(spark, sf_dir):
+    """Only the lower half is stored; mirrored leaves act with their transpose."""
+    t = _tree(spark, sf_dir, direction="box", children=3)
+    return _rounded(hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eta=1e-300, symmetry="S", uplo="L")).user_product(_ones(t.points)))
+
+
+@query(_P + _MATVEC.format(d=_D, where="WHERE a.label % 2 = 1 AND b.label % 2 = 0"))
+def kernel_transpose(spark, sf_dir):
+    """A has the even labels as rows, the odd ones as columns; this is its transpose."""
+    t, s = _tree(spark, sf_dir, "label % 2 = 0"), _tree(spark, sf_dir, "label % 2 = 1")
+    return _rounded(hmatrix.assemble(t, s, "ex_inv1", _EXACT).user_product(_ones(t.points), trans="T"))
+
+
+@query(_P + f"SELECT a.vec_id AS point_id, round(sum(1/(1+{_D})), 6) AS y0, round(sum((b.vec_id % 7 + 1)/(1+{_D})), 6) AS y1 FROM p a, p b GROUP BY a.vec_id")
+def kernel_multi_rhs(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    x = t.points.select("point_id", F.array(F.lit(1.0), (F.col("point_id") % 7 + 1).cast("double")).alias("val"))
+    y = hmatrix.assemble(t, t, "ex_inv1", _EXACT).user_product(x)
+    return y.select("point_id", F.round(F.col("val")[0], 6).alias("y0"), F.round(F.col("val")[1], 6).alias("y1"))
+
+
+@query(_P + f"SELECT a.vec_id AS point_id, round(2 * sum((b.vec_id % 7 + 1)/(1+{_D})) - 3 * (a.vec_id % 7 + 1), 6) AS y FROM p a, p b GROUP BY a.vec_id")
+def kernel_alpha_beta(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    x = _ones(t.points)
+    return _rounded(hmatrix.assemble(t, t, "ex_inv1", _EXACT).user_product(x, "N", 2.0, -3.0, x))
+
+
+@query(_P + _MATVEC.format(d=_D, where=""))
+def owner_partition_matvec(spark, sf_dir):
+    """Row-partitioned operator: each owner's rows apart, put together by union."""
+    t = _tree(spark, sf_dir, owners=4)
+    h = hmatrix.assemble(t, t, "ex_inv1", _EXACT)
+    x = t.to_cluster(_ones(t.points))
+    parts = [h.restricted(o).product(x) for o in range(4)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return _rounded(t.to_user(out.groupBy("pos").agg(F.sum("val").alias("val"))))
+
+
+@query(_P + f"SELECT a.vec_id AS point_id, round(sum((b.vec_id % 7 + 1)/(1+{_D})) + sum((b.vec_id % 7 + 1)/(1e-5+4*pi()*{_D})), 6) AS y FROM p a, p b WHERE a.label % 2 = 0 AND b.label % 2 = 1 GROUP BY a.vec_id")
+def operator_sum_matvec(spark, sf_dir):
+    t, s = _tree(spark, sf_dir, "label % 2 = 0"), _tree(spark, sf_dir, "label % 2 = 1")
+    x = _ones(s.points)
+    both = [hmatrix.assemble(t, s, k, _EXACT).user_product(x) for k in ("ex_inv1", "reg_sym")]
+    return _rounded(both[0].unionByName(both[1]).groupBy("point_id").agg(F.sum("val").alias("val")))
+
+
+@query(_P + f"SELECT round(sqrt(sum(1/((1+{_D})*(1+{_D})))), 6) AS norm, count(*) AS entries FROM p a, p b")
+def matrix_frobenius(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    e = hmatrix.assemble(t, t, "ex_inv1", _EXACT).entries()
+    return e.agg(F.round(F.sqrt(F.sum(F.col("val") * F.col("val"))), 6).alias("norm"), F.count(F.lit(1)).alias("entries"))
+
+
+@query("SELECT vec_id AS point_id, 1.0::DOUBLE AS val FROM embeddings")
+def matrix_diagonal(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    return t.to_user(hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-6)).diagonal()).select("point_id", "val")
+
+
+@query(_P + "SELECT round(min(x),6) AS lo_x, round(max(x),6) AS hi_x, round(max(x)-min(x),6) AS ext_x, round(max(y)-min(y),6) AS ext_y, round(max(z)-min(z),6) AS ext_z FROM p")
+def bounding_box(spark, sf_dir):
+    c = emb3(spark, sf_dir).select(*[F.col("coords")[k].alias(n) for k, n in enumerate("xyz")])
+    ext = [F.round(F.max(n) - F.min(n), 6).alias(f"ext_{n}") for n in "xyz"]
+    return c.agg(F.round(F.min("x"), 6).alias("lo_x"), F.round(F.max("x"), 6).alias("hi_x"), *ext)
+
+
+@query(_P + ", c AS (SELECT label, avg(x) cx, avg(y) cy, avg(z) cz FROM p GROUP BY label) SELECT p.label AS label, round(any_value(cx),6) AS cx, round(any_value(cy),6) AS cy, round(any_value(cz),6) AS cz, round(max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))),6) AS radius, count(*) AS n FROM p JOIN c USING (label) GROUP BY p.label")
+def cluster_center_radius(spark, sf_dir):
+    p = emb3(spark, sf_dir)
+    center = p.groupBy("label").agg(*[F.avg(F.col("coords")[k]).alias(f"c{n}") for k, n in enumerate("xyz")])
+    gap = vectors.norm2(vectors.minus(F.col("coords"), F.array("cx", "cy", "cz")))
+    agg = p.join(center, "label").groupBy("label").agg(*[F.round(F.first(f"c{n}"), 6).alias(f"c{n}") for n in "xyz"], F.round(F.max(gap), 6).alias("radius"), F.count(F.lit(1)).alias("n"))
+    return agg
+
+
+@query(_P + "SELECT round(sum((label+1)*x)/sum(label+1),6) AS cx, round(sum((label+1)*y)/sum(label+1),6) AS cy, round(sum((label+1)*z)/sum(label+1),6) AS cz FROM p")
+def weighted_center(spark, sf_dir):
+    w = F.col("label") + 1
+    return emb3(spark, sf_dir).agg(*[F.round(F.sum(w * F.col("coords")[k]) / F.sum(w), 6).alias(f"c{n}") for k, n in enumerate("xyz")])
+
+
+@query(_P + ", m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz FROM p) SELECT round(sum((x-mx)*(x-mx)),6) AS xx, round(sum((x-mx)*(y-my)),6) AS xy, round(sum((x-mx)*(z-mz)),6) AS xz, round(sum((y-my)*(y-my)),6) AS yy, round(sum((y-my)*(z-mz)),6) AS yz, round(sum((z-mz)*(z-mz)),6) AS zz FROM p, m")
+def covariance_matrix(spark, sf_dir):
+    c = emb3(spark, sf_dir).select(*[F.col("coords")[k].alias(n) for k, n in enumerate("xyz")])
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    return c.agg(*[F.round(F.covar_samp(a, b) * (F.count(F.lit(1)) - 1), 6).alias(a + b) for a, b in pairs])
+
+
+@query(_P + ", r AS (SELECT vec_id, row_number() OVER (ORDER BY x, vec_id) - 1 rn, count(*) OVER () n FROM p) SELECT least(rn // (n // 3), 2) AS child, count(*) AS size, min(vec_id) AS first_id, max(vec_id) AS last_id FROM r GROUP BY 1")
+def regular_split(spark, sf_dir):
+    """Equal counts along one axis, the remainder to the last part."""
+    p = emb3(spark, sf_dir).select("point_id", F.array(F.col("coords")[0]).alias("coords"))
+    t = clustering.build(p, Clustering(children=3, leaf=10**9, direction="box"))
+    return t.at_depth(1).groupBy((F.col("cluster")).cast("long").alias("child")).agg(F.count(F.lit(1)).alias("size"), F.min("point_id").alias("first_id"), F.max("point_id").alias("last_id"))
+
+
+_BISECT = _P + ", a AS (SELECT vec_id, x, row_number() OVER (ORDER BY x, vec_id) - 1 pos, count(*) OVER () n FROM p) "
+
+
+@query(_BISECT + "SELECT vec_id AS point_id, pos FROM a")
+def axis_permutation(spark, sf_dir):
+    """A one-dimensional tree sorts its points, to any depth."""
+    p = emb3(spark, sf_dir).select("point_id", F.array(F.col("coords")[0]).alias("coords"))
+    return clustering.build(p, Clustering(leaf=20, direction="box")).permutation().select("point_id", "pos")
+
+
+@query("SELECT vec_id AS point_id, true AS same FROM embeddings")
+def permutation_roundtrip(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    x = t.points.select("point_id", (F.col("point_id") * 2).alias("val"))
+    return t.to_user(t.to_cluster(x)).select("point_id", (F.col("val") == F.col("point_id") * 2).alias("same"))
+
+
+@query(_P + ", c AS (SELECT label, avg(x) cx, avg(y) cy, avg(z) cz FROM p GROUP BY label), r AS (SELECT label, any_value(cx) cx, any_value(cy) cy, any_value(cz) cz, max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))) rad FROM p JOIN c USING (label) GROUP BY label) SELECT a.label AS t, b.label AS s, 2*least(a.rad,b.rad) < 1000.0*greatest(sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))-a.rad-b.rad, 0) AS admissible FROM r a, r b WHERE a.label <= b.label")
+def admissible_pairs(spark, sf_dir):
+    """The admissibility predicate as a join of the cluster table with itself."""
+    c = cluster_center_radius_exact(spark, sf_dir)
+    other = c.select(*[F.col(n).alias(f"o_{n}") for n in c.columns])
+    gap = vectors.norm2(vectors.minus(F.col("center"), F.col("o_center"))) - F.col("radius") - F.col("o_radius")
+    ok = 2 * F.least("radius", "o_radius") < 1000.0 * F.greatest(gap, F.lit(0.0))
+    return c.join(other, F.col("label") <= F.col("o_label")).select(F.col("label").alias("t"), F.col("o_label").alias("s"), ok.alias("admissible"))
+
+
+def cluster_center_radius_exact(spark, sf_dir):
+    p = emb3(spark, sf_dir)
+    center = p.groupBy("label").agg(F.array(*[F.avg(F.col("coords")[k]) for k in range(3)]).alias("center"))
+    return p.join(center, "label").groupBy("label", "center").agg(F.max(vectors.norm2(vectors.minus(F.col("coords"), F.col("center")))).alias("radius"))
+
+
+@query("WITH n AS (SELECT count(*) n FROM embeddings) SELECT CAST(n*n AS BIGINT) AS entries, true AS tiles FROM n")
+def block_tree_tiles(spark, sf_dir):
+    """The leaves of the block tree tile the matrix: their areas sum up and no two overlap."""
+    t = clustering.build(emb3(spark, sf_dir).select("point_id", "coords"), Clustering(leaf=10))
+    leaves = hmatrix.leaf_plan(hmatrix.blocks.build(t.root, t.root, hmatrix.blocks.rjasanow_steinbach(10.0)), spark)
+    area = leaves.agg(F.sum(F.col("t_size") * F.col("s_size")).alias("entries"), F.count(F.lit(1)).alias("n"))
+    corners = leaves.select("t_off", "s_off").distinct().agg(F.count(F.lit(1)).alias("m"))
+    return area.crossJoin(F.broadcast(corners)).select("entries", (F.col("n") == F.col("m")).alias("tiles"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])),6) AS norm, round(list_avg(embedding::DOUBLE[]),6) AS mean, round(list_max([abs(v::DOUBLE) for v in embedding]),6) AS largest, round(2*embedding[1]::DOUBLE+embedding[1]::DOUBLE,6) AS axpy0, list_position([abs(v) for v in embedding], list_max([abs(v) for v in embedding]))-1 AS at FROM embeddings")
+def vector_ops(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("v"))
+    c = F.col("v")
+    return e.select("vec_id", F.round(vectors.norm2(c), 6).alias("norm"), F.round(vectors.mean(c), 6).alias("mean"), F.round(vectors.max_abs(c), 6).alias("largest"), F.round(vectors.axpy(2.0, c, c)[0], 6).alias("axpy0"), vectors.argmax_abs(c).cast("int").alias("at"))
+
+
+@query("WITH a AS (SELECT l_orderkey % 50 i, l_partkey % 40 j, sum(l_quantity) v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_partkey % 40 i, l_suppkey % 30 j, sum(l_discount) v FROM lineitem GROUP BY 1, 2) SELECT a.i AS i, b.j AS j, round(sum(a.v*b.v),4) AS val FROM a JOIN b ON a.j = b.i GROUP BY 1, 2")
+def matrix_product_coo(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    a = l.groupBy((F.col("l_orderkey") % 50).alias("i"), (F.col("l_partkey") % 40).alias("j")).agg(F.sum("l_quantity").alias("val"))
+    b = l.groupBy((F.col("l_partkey") % 40).alias("i"), (F.col("l_suppkey") % 30).alias("j")).agg(F.sum("l_discount").alias("val"))
+    return vectors.gemm(a, b).select("i", "j", F.round("val", 4).alias("val"))
+
+
+# --- compressed: verdicts of a comparison that the query makes itself ------------
+
+
+def _orders(spark, sf_dir):
+    return sources.normalised(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query()
+def hmatrix_orders(spark, sf_dir):
+    """Flagship: cluster, plan, compress and multiply the 1/(1+d) kernel of all orders: ``(o_orderkey, y)``."""
+    t = clustering.build(_orders(spark, sf_dir), Clustering(leaf=100))
+    h = hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-4, symmetry="S", uplo="L"))
+    return h.user_product(t.points.select("point_id", F.lit(1.0).alias("val"))).select(F.col("point_id").alias("o_orderkey"), F.col("val").alias("y"))
+
+
+def _parts(spark, sf_dir, **options):
+    p = sources.normalised(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", "p_size", "p_retailprice")
+    t = clustering.build(p, Clustering(leaf=40))
+    return t, hmatrix.assemble(t, t, "ex_inv5", hmatrix.Options(eps=1e-8, eta=5.0, compressor="recompressed_sym_partial_aca", **options))
+
+
+def _dense(t, kernel: str = "ex_inv5") -> np.ndarray:
+    x = np.stack(t.points.orderBy("pos").select("coords").toPandas()["coords"].to_list()).astype(float)
+    return hmatrix.KERNELS[kernel].block(x, x)
+
+
+def _verdict(t, got: DataFrame, want: np.ndarray, tol: float) -> DataFrame:
+    """By point whether the value agrees with that of the dense computation, relative to its largest."""
+    table = t.points.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(want)], "pos long, want double")
+    ok = F.abs(F.col("val") - F.col("want")) <= tol * float(np.abs(want).max())
+    return t.to_user(got.join(table, "pos").select("pos", ok.alias("agrees"))).select("point_id", "agrees")
+
+
+_TRUE_PARTS = "SELECT p_partkey AS point_id, true AS agrees FROM part"
+
+
+@query(_TRUE_PARTS)
+def hmatrix_matvec_verdict(spark, sf_dir):
+    t, h = _parts(spark, sf_dir)
+    x = t.points.select("pos", F.lit(1.0).alias("val"))
+    return _verdict(t, h.product(x), _dense(t).sum(axis=1), 1e-5)
+
+
+@query(_TRUE_PARTS)
+def hmatrix_recompressed_verdict(spark, sf_dir):
+    t, h = _parts(spark, sf_dir)
+    x = t.points.select("pos", F.lit(1.0).alias("val"))
+    return _verdict(t, h.recompress(1e-6).scale(0.5).product(x), 0.5 * _dense(t).sum(axis=1), 1e-4)
+
+
+@query(_TRUE_PARTS)
+def hmatrix_product_verdict(spark, sf_dir):
+    t, h = _parts(spark, sf_dir)
+    x = t.points.select("pos", F.lit(1.0).alias("val"))
+    a = _dense(t)
+    return _verdict(t, factor.multiply(h, h, x), a @ a.sum(axis=1), 1e-5)
+
+
+def _solve(spark, sf_dir, method: str, **options) -> DataFrame:
+    """Solves A x = A (1, ..., 1)."""
+    p = sources.normalised(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", "s_suppkey", "s_acctbal")
+    t = clustering.build(p, Clustering(leaf=40))
+    h = hmatrix.assemble(t, t, "ex_inv5", hmatrix.Options(eps=1e-9, eta=5.0, **options))
+    b = spark.createDataFrame([(k, float(v)) for k, v in enumerate(_dense(t).sum(axis=1))], "pos long, val double")
+    return _verdict(t, factor.solve(h, b, method), np.ones(t.size), 1e-3)
+
+
+_TRUE_SUPPLIERS = "SELECT s_suppkey AS point_id, true AS agrees FROM supplier"
+
+
+@query(_TRUE_SUPPLIERS)
+def lu_solve_verdict(spark, sf_dir):
+    return _solve(spark, sf_dir, "lu")
+
+
+@query(_TRUE_SUPPLIERS)
+def cholesky_solve_verdict(spark, sf_dir):
+    return _solve(spark, sf_dir, "cholesky", symmetry="S", uplo="L")
+
+
+@query("SELECT true AS converged, true AS within_limit")
+def cg_schwarz_verdict(spark, sf_dir):
+    """Conjugate gradients with block Jacobi over four owners, a Spark job a step."""
+    p = sources.normalised(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", "s_suppkey", "s_acctbal")
+    t = clustering.build(p, Clustering(leaf=40, owners=4))
+    h = hmatrix.assemble(t, t, "ex_inv5", hmatrix.Options(eps=1e-8))
+    a = solvers.distributed(h)
+    out = solvers.cg(a, _dense(t).sum(axis=1), solvers.schwarz(solvers.local_inverses(h)), most=60)
+    return spark.createDataFrame([(bool(out.residuals[-1] < 1e-6), out.iterations < 60)], "converged boolean, within_limit boolean")
+
+
+@query("SELECT true AS ratio_above_one, true AS saves, CAST(n*n AS BIGINT) AS entries FROM (SELECT count(*) n FROM part)")
+def hmatrix_information(spark, sf_dir):
+    """The report, as facts that hold at every size."""
+    _, h = _parts(spark, sf_dir)
+    return h.information().select((F.col("compression_ratio") >= 1).alias("ratio_above_one"), (F.col("space_saving") >= 0).alias("saves"), "entries")
