@@ -52,6 +52,27 @@ def with_bands(all_lines: DataFrame) -> DataFrame:
     return minima.select(*own, bands.alias("bands"))
 
 
+#: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among ``keys``' one: a superset without any loss, to be joined exactly after.
+
+    The keys' hashes set bits of a bitmap of fixed size, which is broadcast, so that
+    most rows without a partner are left out before the shuffle.
+    """
+    def at(name: str):
+        h = F.xxhash64(name, F.lit("sieve"))
+        return F.pmod(h, F.lit(SIEVE_WORDS)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+
+    word, bit = at(keys.columns[0])
+    bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    word, bit = at(column)
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return marked.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).drop("_word", "_bit", "_bits")
+
+
 def shingles(line: Column) -> Column:
     """The set of the line's character shingles, hashed to 64 bits."""
     every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
@@ -70,10 +91,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
     """``(node, component)`` over the hashes of lines that are linked with another line."""
     rows = sketched.select("h1", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first")
-    members = durable(rows.join(shared, "band").distinct())
+    shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
+    members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band").distinct())
     candidates = members.select("h1").distinct()
-    texts = durable(all_lines.select("h1", "line").join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
+    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
     stars = members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct()
     links = durable(verified(stars, texts))
     merged = components(links)
@@ -102,9 +123,9 @@ def decide(docs: DataFrame) -> DataFrame:
     # lines that are alone need no decision
     known = durable(joined.filter("n > 1 OR component IS NOT NULL").select("h1", "h2", "at", F.when(F.col("component").isNotNull(), F.struct("component", F.lit(0).cast("long").alias("x"))).otherwise(F.struct(F.col("h1").alias("component"), F.col("h2").alias("x"))).alias("group")))
     first = known.groupBy("group").agg(F.min("at").alias("stays"))
-    stays = known.join(first, "group").select("h1", "h2", "stays")
+    stays = durable(known.join(first, "group").select("h1", "h2", "stays"))
     return (
-        own.select("doc_id", "version", "pos", "h1", "h2")
+        sieve(own.select("doc_id", "version", "pos", "h1", "h2"), "h1", stays.select("h1"))
         .join(stays, ["h1", "h2"])
         .filter(~where.eqNullSafe(F.col("stays")))
         .select("doc_id", "version", "pos", F.col("stays.doc_id").alias("first_doc"), F.col("stays.pos").alias("first_pos"))
