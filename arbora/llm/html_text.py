@@ -186,8 +186,8 @@ def extract(pages: DataFrame) -> DataFrame:
     becomes many parts, and sorted; pages at the edge of a part pair within it. Each
     task parses a page and meets it with the page before, two pages at a time.
     """
-    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _paths(pages).repartitionByRange(n_parts, "host", "path", "page_id")
+    # without a fixed number, so that small parts are put together and few pages lie at an edge
+    ranged = _paths(pages).repartitionByRange("host", "path", "page_id")
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         host: str | None = None
