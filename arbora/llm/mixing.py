@@ -35,6 +35,8 @@ MOST = 2
 BUCKET = 20_000
 #: Fractional documents, spread over the sizes, that are kept for the landing.
 RESERVE = 14
+#: Times the mean size above which a document is settled before the others.
+LARGE = 5
 _EPS = 1e-9
 
 
@@ -102,6 +104,35 @@ def fly(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
+def settle_large(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Fix documents far above the mean size first, each balanced by all others at once.
+
+    A few small documents could not make up for a large one at the landing; so its
+    steps run in the null space over the whole bucket, the others moving in proportion
+    to their room p (1 - p).
+    """
+    p, rng = p.copy(), np.random.default_rng(seed)
+    large = np.flatnonzero(size > LARGE * size.mean())
+    for k in large[np.argsort(-size[large], kind="stable")]:
+        for _ in range(32):
+            free = (p > _EPS) & (p < 1 - _EPS)
+            if not free[k] or free.sum() < 4:
+                break
+            room = np.where(free, p * (1 - p), 0.0)
+            room[k] = 0.0
+            s = size / size.max()
+            normal = np.array([[room.sum(), room @ s], [room @ s, room @ (s * s)]])
+            weights = np.linalg.lstsq(normal, np.array([1.0, s[k]]), rcond=None)[0]
+            u = -room * (weights[0] + weights[1] * s)
+            u[k] = 1.0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min()
+                down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min()
+            p = np.clip(p + (up if rng.random() * (up + down) < down else -down) * u, 0, 1)
+            p = np.where((p <= _EPS) | (p >= 1 - _EPS), np.round(p), p)
+    return p
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The rounding of the last fractions whose words and documents come nearest to those expected."""
     left = np.flatnonzero((p > 0) & (p < 1))
@@ -119,9 +150,11 @@ def _flight(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Fly all but ``RESERVE`` units spread over the sizes, which the landing needs; land if it is the last."""
     frame = frame.sort_values(["size", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
     size, p = frame["size"].to_numpy(np.int64), frame["p"].to_numpy(float).copy()
+    seed = int(frame["uid"].iloc[0]) & (2**63 - 1)
+    p = settle_large(p, size, seed)
     spare = np.zeros(len(p), bool)
     spare[np.unique(np.linspace(0, len(p) - 1, RESERVE).astype(int))] = True
-    p[~spare] = fly(p[~spare], size[~spare], int(frame["uid"].iloc[0]) & (2**63 - 1))
+    p[~spare] = fly(p[~spare], size[~spare], seed)
     return pd.DataFrame({"uid": frame["uid"], "source": frame["source"], "size": size, "p": land(p, size) if last else p})
 
 
