@@ -95,8 +95,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``.
 
     ``component`` is the smallest node reachable; nodes without an edge to another
-    node are absent. Each round hangs every node below its smallest neighbour and
-    contracts the graph, so edges shrink fast; hubs are pre-aggregated. All state
+    node are absent. Each round hangs every node below its smallest neighbour, follows
+    these pointers to their roots and contracts the graph to the roots, at most half of
+    the nodes; hubs are pre-aggregated. All state
     stays in checkpointed tables.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -105,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        hung = durable(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
+        hung = _to_roots(durable(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))))
         if labels is None:
             labels = hung.select("node", F.col("parent").alias("component"))
         else:
@@ -119,6 +120,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _to_roots(hung: DataFrame) -> DataFrame:
+    """Pointer jumping: every node below the root of its tree, in as many steps as the depth has bits."""
+    while True:
+        up = hung.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        jumped = durable(hung.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        if jumped.filter("moved").isEmpty():
+            return hung
+        hung = jumped.select("node", "parent")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words of a text, split at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
