@@ -94,19 +94,20 @@ def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
     shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
     members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band").distinct())
     candidates = members.select("h1").distinct()
-    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
+    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")).withColumn("n", F.size(shingles(F.col("line")))))
     stars = members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct()
     links = durable(verified(stars, texts))
     merged = components(links)
     label = members.select("band", "h1").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
     label = durable(label)
     mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    rest = durable(label.join(mixed, "band"))
+    # sets whose sizes differ by more than the similarity allows cannot be linked
+    rest = durable(label.join(mixed, "band").join(texts.select("h1", "n"), "h1").select("band", "h1", "c", "n"))
     if rest.isEmpty():
         return merged
-    other = rest.select("band", F.col("h1").alias("b"), F.col("c").alias("d"))
+    other = rest.select("band", F.col("h1").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
     # pairs with the first line of a band were verified above
-    pairs = rest.withColumnRenamed("h1", "a").join(other, "band").filter("c < d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = rest.withColumnRenamed("h1", "a").join(other, "band").filter((F.col("c") < F.col("d")) & (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(pairs.join(done, ["a", "b"], "left_anti"), texts)
     return components(links.unionByName(more))
