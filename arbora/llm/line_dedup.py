@@ -13,7 +13,9 @@ lines form a component, of which the first line (by doc_id, then line number) st
 Within a band first every line is verified against the band's smallest line; then,
 after these links are merged, every pair of lines of one band that still lie in
 different components. A band of thousands of near-copies so costs one check a line,
-and no link that could merge components is skipped.
+and no link that could merge components is skipped. Before texts are fetched, pairs
+are sieved by their set sizes and by the parities of their shingles in a fixed number
+of cells; both are bounds, so no link is lost.
 
 Defined cases: null and empty texts have no lines; repeated rows (equal doc_id and
 text) get the same decision; lines shorter than a shingle are one shingle; an
@@ -79,6 +81,42 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every), lambda g: F.xxhash64(g)))
 
 
+#: Words of 64 bits in a line's mark, the parity of its shingles in each of ``64 * MARK_WORDS`` cells.
+MARK_WORDS = 8
+#: Base of the classes of set sizes. Linked sets differ in size by a factor of 1.25 at most, so in class by one at most.
+CLASS_BASE = 1.26
+#: Rows of one comparison bucket that are met by one copy of its other side.
+BUCKET_ROWS = 2048
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """``(h1, n, m0, m1, ...)``: the number of a line's shingles and their parities.
+
+    Two sets differ in at least as many shingles as their parities differ in cells.
+    """
+    each = texts.select("h1", F.explode(shingles(F.col("line"))).alias("g"))
+    bit, word = F.expr("shiftleft(1L, cast(g & 63 AS int))"), F.expr("shiftright(g, 6) & %dL" % (MARK_WORDS - 1))
+    parity = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(MARK_WORDS)]
+    return each.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), *parity)
+
+
+def may_link(a: str, b: str) -> Column:
+    """False only where the marks of two lines (columns with these prefixes) prove them too different.
+
+    A similarity of J or more means that at most ``(1 - J) / (1 + J)`` of ``n_a + n_b`` shingles differ.
+    """
+    apart = F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0")))
+    for w in range(1, MARK_WORDS):
+        apart = apart + F.bit_count(F.col(f"{a}m{w}").bitwiseXOR(F.col(f"{b}m{w}")))
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    near = (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (apart <= (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
+    return near
+
+
+def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of line hashes whose lines are similar enough."""
     left = texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a"))
@@ -94,22 +132,30 @@ def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
     shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
     members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band").distinct())
     candidates = members.select("h1").distinct()
-    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")).withColumn("n", F.size(shingles(F.col("line")))))
-    stars = members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct()
-    links = durable(verified(stars, texts))
+    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
+    marked = durable(marks(texts))
+    stars = durable(members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct())
+    near = stars.join(prefixed(marked, "a_"), F.col("a") == F.col("a_h1")).join(prefixed(marked, "b_"), F.col("b") == F.col("b_h1"))
+    links = durable(verified(near.filter(may_link("a_", "b_")).select("a", "b"), texts))
     merged = components(links)
-    label = members.select("band", "h1").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
-    label = durable(label)
-    mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    # sets whose sizes differ by more than the similarity allows cannot be linked
-    rest = durable(label.join(mixed, "band").join(texts.select("h1", "n"), "h1").select("band", "h1", "c", "n"))
+    label = durable(members.select("band", "h1").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("component", "h1").alias("c")))
+    parts = F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts")
+    mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), parts).filter("lo <> hi").select("band", "parts")
+    rest = durable(label.join(mixed, "band").join(marked, "h1").withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS_BASE)))))
     if rest.isEmpty():
         return merged
-    other = rest.select("band", F.col("h1").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
+    # the smaller set of a pair is on the left; the larger one is of the same class or the next
+    keys = ["band", "class", "part"]
+    smaller = rest.withColumn("part", F.pmod(F.xxhash64("h1", F.lit("part")), F.col("parts")).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    larger = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = prefixed(smaller.drop("parts"), "a_", tuple(keys)).join(prefixed(larger.drop("parts"), "b_", tuple(keys)), keys)
+    apart = met.filter(F.expr("a_c <> b_c AND (a_n < b_n OR a_n = b_n AND a_h1 < b_h1)") & may_link("a_", "b_"))
+    pairs = apart.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
     # pairs with the first line of a band were verified above
-    pairs = rest.withColumnRenamed("h1", "a").join(other, "band").filter((F.col("c") < F.col("d")) & (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(pairs.join(done, ["a", "b"], "left_anti"), texts)
+    more = durable(verified(pairs.join(done, ["a", "b"], "left_anti"), texts))
+    if more.isEmpty():
+        return merged
     return components(links.unionByName(more))
 
 
