@@ -10,9 +10,9 @@ Lines that agree in a band are candidates: at similarity 0.8 of the sketched shi
 *all* character shingles of length ``SHINGLE`` is at least ``SIMILARITY``. Connected
 lines form a component, of which the first line (by doc_id, then line number) stays.
 
-Within a band first every line is verified against the band's smallest line; then,
-after these links are merged, every pair of lines of one band that still lie in
-different components. A band of thousands of near-copies so costs one check a line,
+Within a band first every line is verified against one line, the hub, of another
+component, in a few turns with different hubs whose links are merged; then every pair
+of lines of one band that still lie in different components. A band of thousands of near-copies so costs one check a line,
 and no link that could merge components is skipped. Before texts are fetched, pairs
 are sieved by their set sizes and by the parities of their shingles in a fixed number
 of cells; both are bounds, so no link is lost.
@@ -118,45 +118,65 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of line hashes whose lines are similar enough."""
+    """The pairs of line hashes ``(a, b, ...)`` whose lines are similar enough."""
     left = texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("line_a")).alias("s"), shingles(F.col("line_b")).alias("t"))
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, shingles(F.col("line_a")).alias("s"), shingles(F.col("line_b")).alias("t"))
     common = F.size(F.array_intersect("s", "t"))
-    return both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("a", "b")
+    return both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select(*pairs.columns)
 
 
-def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``(node, component)`` over the hashes of lines that are linked with another line."""
-    rows = sketched.select("h1", F.explode("bands").alias("band"))
-    shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
-    members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band").distinct())
-    candidates = members.select("h1").distinct()
-    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
-    marked = durable(marks(texts))
-    stars = durable(members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct())
-    near = stars.join(prefixed(marked, "a_"), F.col("a") == F.col("a_h1")).join(prefixed(marked, "b_"), F.col("b") == F.col("b_h1"))
-    links = durable(verified(near.filter(may_link("a_", "b_")).select("a", "b"), texts))
-    merged = components(links)
-    label = durable(members.select("band", "h1").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("component", "h1").alias("c")))
+def with_hubs(label: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b, c, d)`` of every line and its band's hub, with their components, where these differ.
+
+    The hub is the band's smallest line in the first turn and the first one by another hash in each later turn.
+    """
+    order = F.col("h1") if turn == 0 else F.xxhash64("h1", F.lit(turn))
+    hubs = label.groupBy("band").agg(F.min(F.struct(order.alias("o"), "h1", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band", "hub")
+    pairs = label.join(hubs, "band").select(F.col("h1").alias("a"), F.col("hub.h1").alias("b"), "c", F.col("hub.c").alias("d"))
+    return pairs.filter("c <> d").distinct()
+
+
+def between_components(label: DataFrame, marked: DataFrame) -> DataFrame:
+    """All pairs ``(a, b, c, d)`` of lines of one band that lie in different components and that the marks do not rule out."""
     parts = F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts")
     mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), parts).filter("lo <> hi").select("band", "parts")
     rest = durable(label.join(mixed, "band").join(marked, "h1").withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS_BASE)))))
-    if rest.isEmpty():
-        return merged
     # the smaller set of a pair is on the left; the larger one is of the same class or the next
     keys = ["band", "class", "part"]
     smaller = rest.withColumn("part", F.pmod(F.xxhash64("h1", F.lit("part")), F.col("parts")).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     larger = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = prefixed(smaller.drop("parts"), "a_", tuple(keys)).join(prefixed(larger.drop("parts"), "b_", tuple(keys)), keys)
     apart = met.filter(F.expr("a_c <> b_c AND (a_n < b_n OR a_n = b_n AND a_h1 < b_h1)") & may_link("a_", "b_"))
-    pairs = apart.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
-    # pairs with the first line of a band were verified above
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = durable(verified(pairs.join(done, ["a", "b"], "left_anti"), texts))
-    if more.isEmpty():
-        return merged
-    return components(links.unionByName(more))
+    return apart.select(F.col("a_h1").alias("a"), F.col("b_h1").alias("b"), F.col("a_c").alias("c"), F.col("b_c").alias("d")).distinct()
+
+
+#: Turns with one hub a band before all remaining pairs are compared; they change the cost, not the components.
+HUB_TURNS = 3
+
+
+def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
+    """``(node, component)`` over the hashes of lines that are linked with another line."""
+    rows = sketched.select("h1", F.explode("bands").alias("band"))
+    shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band"))
+    label = durable(sieve(rows, "band", shared).join(shared, "band").select("band", "h1").distinct()).withColumn("c", F.col("h1"))
+    candidates = durable(label.select("h1").distinct())
+    # an inner join: a semi join would be moved below the sieve
+    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1").groupBy("h1").agg(F.first("line").alias("line")))
+    marked = durable(marks(texts))
+    for turn in range(HUB_TURNS + 1):
+        if turn < HUB_TURNS:
+            pairs = with_hubs(label, turn).join(prefixed(marked, "a_"), F.col("a") == F.col("a_h1")).join(prefixed(marked, "b_"), F.col("b") == F.col("b_h1"))
+            pairs = pairs.filter(may_link("a_", "b_")).select("a", "b", "c", "d")
+        else:
+            pairs = between_components(label, marked)
+        # links that join the same two components are one edge
+        edges = durable(verified(pairs, texts).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+        if not edges.isEmpty():
+            step = components(edges).select(F.col("node").alias("c"), "component")
+            label = durable(label.join(step, "c", "left").select("band", "h1", F.coalesce("component", "c").alias("c")))
+    moved = label.filter("h1 <> c").select(F.col("h1").alias("node"), F.col("c").alias("component")).distinct()
+    return durable(moved.unionByName(moved.select(F.col("component").alias("node"), "component").distinct()))
 
 
 def decide(docs: DataFrame) -> DataFrame:
