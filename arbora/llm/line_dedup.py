@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines (trimmed, lower-cased for comparison; blank lines do not take part and always
-stay) are sketched by one-permutation MinHash over anchored character shingles, each
-from the start of a piece to the end of the next one; pieces are separated by blanks
-and in scripts written without blanks each character is one. Each of ``2 ** BITS``
-bins keeps its least hash, and each two successive minima form a band (seven at most).
-Lines that agree in a band are candidates: at similarity 0.8 of the sketched shingles
-99 % of the pairs are. A candidate pair is linked if the exact Jaccard similarity of
+stay) are sketched by one-permutation MinHash over the same character shingles that are
+compared in the end. Each of ``2 ** BITS`` bins keeps its least hash, and each two
+successive minima form a band (the last and the first one too). Lines that agree in a
+band are candidates: lines of few shingles lose two bands for each minimum that differs,
+so that most bands of a similar pair stay; in simulations at similarity 0.8 all pairs
+of 12 or more shingles met, and over 98 % of those of five. A candidate pair is
+linked if the exact Jaccard similarity of
 *all* character shingles of length ``SHINGLE`` is at least ``SIMILARITY``. Connected
 lines form a component, of which the first line (by doc_id, then line number) stays.
 
@@ -31,8 +32,7 @@ from arbora.llm._shared import components, durable
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 3
-_UNSPACED = r"[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]"
+BITS = 4
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -46,11 +46,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def with_bands(all_lines: DataFrame) -> DataFrame:
     """The lines without their text, but with the hashes of their bands."""
     own = ("doc_id", "version", "pos", "h1", "h2")
-    pieces = F.when(F.col("line").rlike(_UNSPACED), F.split("line", "")).otherwise(F.split("line", " "))
-    hashes = all_lines.select(*own, pieces.alias("p")).select(*own, F.sort_array(F.transform("p", lambda x, i: F.xxhash64(x, F.get("p", i + 1)))).alias("h"))
+    hashes = all_lines.select(*own, F.sort_array(each_shingle(F.col("line"))).alias("h"))
     bin_of = lambda x: F.shiftright(x, 64 - BITS)
     minima = hashes.select(*own, F.filter("h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("h", i - 1)))).alias("m"))
-    bands = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("m") - 1)), lambda i: F.xxhash64(F.get("m", i - 1), F.get("m", i)))
+    bands = F.transform("m", lambda x, i: F.xxhash64(x, F.get("m", F.pmod(i + 1, F.size("m")))))
     return minima.select(*own, bands.alias("bands"))
 
 
@@ -75,10 +74,17 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return marked.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).drop("_word", "_bit", "_bits")
 
 
+def each_shingle(line: Column) -> Column:
+    """The hashes of the line's character shingles; a line shorter than one is one."""
+    # four bytes a character, so that a shingle is found by its place; the struct keeps them from being encoded anew for each
+    wide = F.struct(F.encode(line, "UTF-32").alias("bytes"), F.greatest(F.char_length(line) - SHINGLE, F.lit(0)).alias("last"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), w["last"]), lambda i: F.xxhash64(F.substring(w["bytes"], i * 4 + 1, F.lit(4 * SHINGLE))))
+    return F.get(F.transform(F.array(wide), cut), 0)
+
+
 def shingles(line: Column) -> Column:
     """The set of the line's character shingles, hashed to 64 bits."""
-    every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every), lambda g: F.xxhash64(g)))
+    return F.array_distinct(each_shingle(line))
 
 
 #: Words of 64 bits in a line's mark, the parity of its shingles in each of ``64 * MARK_WORDS`` cells.

@@ -157,6 +157,26 @@ def test_line_dedup_matches_brute_force(spark):
     assert out.columns == docs.columns and out.count() == len(rows) and line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_edits_of_short_lines_and_of_lines_without_blanks(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for n in range(1, 11):
+        for _ in range(20):
+            line = " ".join(word(rng.randrange(3, 9)) for _ in range(n - 1)) + " " + word(9 if n > 1 else 14)
+            at = rng.choice([0, len(line.strip()) - 1, rng.randrange(len(line.strip()))])
+            pairs.append((line.strip(), line.strip()[:at] + rng.choice("0123456789") + line.strip()[at + 1 :]))
+    for _ in range(30):
+        url = f"https://{word(8)}.org/{word(12)}/{word(20)}?id="
+        pairs.append((url + "1", url + "2"))
+    pairs += [("日本語の文章はここにあります。それは長いです一", "日本語の文章はここにあります。それは長いです二")]
+    rows = [(k, "\n".join(p), "s") for k, p in enumerate(pairs)]
+    want = lines_by_brute_force(rows)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    assert len(want) > 120 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_sieve_loses_no_key(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     kept = {r.k for r in line_dedup.sieve(rows, "k", rows.filter("k % 50 = 0")).collect()}
