@@ -9,6 +9,9 @@ result is exact: every pair of distinct fingerprints within ``radius`` bits is
 found. The tree is fitted on a bounded sample (``sample``), which affects only the
 balance of shards, never the result.
 
+The pipeline stage has a wider rule, see ``keep_one``: its search takes all pairs within
+more bits, and similarity is verified on the shingles.
+
 Defined cases: null, empty or blank texts have fingerprint zero and are linked like
 any other; repeated rows share a fingerprint and a component; an empty table gives
 an empty result; other columns of the input are ignored.
@@ -34,6 +37,18 @@ SHARD = 8192
 #: Fingerprints on one side of a comparison tile: eight bytes each, so twice a usual shard is small.
 TILE = 16_384
 
+#: The pipeline stage: shingles of five words, similar from 0.8 of exact Jaccard similarity.
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits that may differ in 64, and in the further prints. At 0.8 about 10 and 39 do, in tiny texts 12 and 48.
+STAGE_RADIUS = 22
+WIDE_PRINTS = 4
+WIDE_RADIUS = 72
+#: So wide a ball overlaps nearly all shards; few large ones keep the copies few.
+STAGE_TILE = 65_536
+#: Rounds of comparisons with hubs before all pairs that are left.
+HUB_ROUNDS = 3
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit k is set if it is set in over half of the shingles' XXH64 (seed 42)."""
@@ -187,11 +202,130 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """Bit k is set if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 65_536):
+        block = hashes[start : start + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct word shingles' hashes; a text of fewer words is one shingle."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the k-th of several independent hash functions."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SKETCH = "node long, n long, fp long, " + ", ".join(f"w{k} long" for k in range(WIDE_PRINTS))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(node, n, fp, w0, w1, ..., grams)`` for each distinct text; node is its hash, n the number of its shingles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames):
+            sets = [shingle_set(t) for t in frame["text"]]
+            out = {"node": frame["node"], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64)}
+            for k in range(WIDE_PRINTS):
+                out[f"w{k}"] = np.array([majority(mixed(x, k)) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame(out | {"grams": [x.view(np.int64) for x in sets]})
+
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.mapInPandas(run, _SKETCH + ", grams array<long>")
+
+
+def candidates(members: DataFrame, salt: int | None) -> DataFrame:
+    """Pairs ``(a, b)`` of dealt ``members`` that may be similar and have different labels.
+
+    With a salt, each text has one pair in a tile, with the partner that is first in
+    an order common to all, so that a group of near-copies meets in a few hubs; without,
+    every pair is given.
+    """
+
+    def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        is_left = frame["left"].to_numpy(bool)
+        left, right = frame[is_left], frame[~is_left]
+        column = lambda part, name: part[name].to_numpy(np.int64)
+        a, b, label_a, label_b, n_a, n_b = (column(part, name) for name in ("node", "label", "n") for part in (left, right))
+        wide = [tuple(column(part, f"w{k}").view(np.uint64) for part in (left, right)) for k in range(WIDE_PRINTS)]
+        order = np.empty(len(b), np.int64)
+        order[np.argsort(mixed(b.view(np.uint64), salt or 0))] = np.arange(len(b))
+        best, found = np.full(len(a), len(b)), []
+        for i, j in close_pairs(column(left, "fp").view(np.uint64), column(right, "fp").view(np.uint64), STAGE_RADIUS):
+            fits = (label_a[i] != label_b[j]) & (np.minimum(n_a[i], n_b[j]) >= SIMILARITY * np.maximum(n_a[i], n_b[j]) - 1e-6)
+            i, j = i[fits], j[fits]
+            far = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in wide)
+            i, j = i[far <= WIDE_RADIUS], j[far <= WIDE_RADIUS]
+            if salt is None:
+                found.append((a[i], b[j]))
+            else:
+                np.minimum.at(best, i, order[j])
+        if salt is not None:
+            own = np.flatnonzero(best < len(b))
+            found.append((a[own], b[np.argsort(order)][best[own]]))
+        one, other = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+
+    dealt = tiles(members, ["shard"], "node", STAGE_TILE)
+    return dealt.groupBy("shard", "tile_i", "tile_j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have an exact Jaccard similarity of ``SIMILARITY`` at least."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    return both.filter(common >= SIMILARITY * (F.size("grams_a") + F.size("grams_b") - common) - 1e-6).select("a", "b")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``(node, component)`` of the text hashes that are similar to another text.
+
+    Texts whose prints of five-word shingles differ in ``STAGE_RADIUS`` bits at most, and
+    further prints in ``WIDE_RADIUS``, are compared exactly. A few rounds link texts with
+    hubs; then every candidate pair that still lies in different components is compared.
+    """
+    known = durable(sketches(docs))
+    sets, prints = known.select("node", "grams"), known.drop("grams")
+    n = prints.count()
+    leaves = 1 << max(0, int(np.ceil(np.log2(max(1, n / STAGE_TILE)))))
+    seen = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(16 * leaves) if leaves > 1 else prints.select("fp").limit(0)
+    nodes = build_tree(np.array([r.fp for r in seen.collect()], np.int64).view(np.uint64), leaves)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames):
+            index, shard, home = route(frame["fp"].to_numpy(np.int64).view(np.uint64), nodes, STAGE_RADIUS)
+            yield frame.iloc[index].assign(shard=shard, home=home)
+
+    links, merged = None, None
+    for salt in (*range(1, HUB_ROUNDS + 1), None):
+        labelled = prints.withColumn("label", F.col("node")) if merged is None else prints.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("_node", "component")
+        members = labelled.mapInPandas(deal, _SKETCH + ", label long, shard long, home boolean")
+        more = durable(similar(candidates(members, salt), sets))
+        links = more if links is None else links.unionByName(more)
+        merged = components(links)
+    return merged
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays.
+    """Pipeline stage: of each group of similar documents the one with the smallest id stays.
 
+    Similar are documents with a Jaccard similarity of five-word shingles of ``SIMILARITY``
+    at least (the query of this module has its own contract); empty texts are equal.
     Repeated rows of that id are exact repeats of one document; one of them stays.
     """
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", F.xxhash64("text").alias("_version")).join(similar_groups(docs), F.col("_version") == F.col("node"), "left").select("doc_id", F.coalesce("component", "_version").alias("group"))
+    stays = durable(found).groupBy("group").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
+    return docs.join(stays, docs["doc_id"] == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])

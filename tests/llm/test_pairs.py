@@ -90,6 +90,28 @@ def test_keep_one_keeps_the_columns_and_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5] and kept.columns == documents(spark, rows).columns
 
 
+@pytest.mark.parametrize("tile", [65_536, 32])
+def test_keep_one_finds_similar_documents(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "STAGE_TILE", tile)
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice([9, 12, 25, 60, 150])) for _ in range(30)]
+    for t in list(texts):
+        n = len(t.split())
+        texts += [edited(rng, t, rng.randrange(1, 2 + n // 50)) for _ in range(4)] + [t.rsplit(" ", 1)[0], prose(rng, 2) + " " + t]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    forest = Forest(len(texts))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(grams[a] & grams[b])
+            if both >= 0.8 * (len(grams[a]) + len(grams[b]) - both):
+                forest.join(np.array([a]), np.array([b]))
+    want = {int(x) for x in forest.root}
+    assert len(want) < 0.7 * len(texts)
+    got = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert want <= got and len(got) <= len(want) + 1
+
+
 @pytest.mark.parametrize("tile", [4096, 16])
 def test_embeddings_match_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embed_dedup, "TILE_ROWS", tile)
