@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 
@@ -218,3 +220,25 @@ def test_decontamination_tolerates_substitutions(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(1, 0), (2, 1), (6, 2), (8, 8)}
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_masks_hit_every_alignment_that_counts():
+    for n in range(6, decontaminate.WINDOW + 1):
+        wrong = n - min(decontaminate.MIN_SCORE, math.ceil(n * decontaminate.SHORT))
+        for bad in itertools.combinations(range(n), wrong):
+            assert any(all(m[k] == "0" or i + k not in bad for k in range(len(m))) for m in decontaminate.MASKS for i in range(n - len(m) + 1)), (n, bad)
+
+
+def test_decontamination_finds_four_fifths_equal(spark):
+    rng = random.Random(31)
+    items, rows = [], []
+    for k, (n, wrong) in enumerate([(n, w) for n, w in [(15, 2), (15, 3), (20, 3), (20, 4), (25, 5), (45, 9), (8, 1), (11, 1), (14, 1), (14, 2), (4, 0), (3, 0)] for _ in range(4)]):
+        item = prose(rng, n).split()
+        copy = list(item)
+        for at in range(2, n, 5) if n == 45 else rng.sample(range(n), wrong):
+            copy[at] = "changed"
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join([prose(rng, 30), *copy, prose(rng, 30)]), "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
