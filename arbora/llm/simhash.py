@@ -320,12 +320,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of similar documents the one with the smallest id stays.
+    """Pipeline stage: of each group of similar documents one row stays.
 
     Similar are documents with a Jaccard similarity of five-word shingles of ``SIMILARITY``
     at least (the query of this module has its own contract); empty texts are equal.
-    Repeated rows of that id are exact repeats of one document; one of them stays.
+    The row with the smallest id stays, null after all others, among rows of one id by the
+    hashes of text and row. Rows are grouped by their texts only, so that rows of one id, or
+    without one, stay if their texts differ.
     """
-    found = docs.select("doc_id", F.xxhash64("text").alias("_version")).join(similar_groups(docs), F.col("_version") == F.col("node"), "left").select("doc_id", F.coalesce("component", "_version").alias("group"))
-    stays = durable(found).groupBy("group").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
-    return docs.join(stays, docs["doc_id"] == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_version"), F.col("_row"))
+    groups = similar_groups(docs).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    named = docs.withColumns({"_version": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
+    placed = named.join(groups, F.col("_version") == F.col("_node"), "left").withColumns({"_group": F.coalesce("_component", "_version"), "_order": order})
+    first = placed.groupBy("_group").agg(F.min("_order").alias("_first")).withColumnRenamed("_group", "_of")
+    stays = placed.join(first, (F.col("_group") == F.col("_of")) & F.col("_order").eqNullSafe(F.col("_first")))
+    # what is left of a group are exact repeats of one row
+    return stays.dropDuplicates(["_group"]).select(*docs.columns)

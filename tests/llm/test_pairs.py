@@ -92,6 +92,17 @@ def test_keep_one_keeps_the_columns_and_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5] and kept.columns == documents(spark, rows).columns
 
 
+def test_keep_one_keeps_different_texts_of_one_id_or_none(spark):
+    rng = random.Random(22)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (4, c, "s"), (4, d, "s"), (4, d, "t"), (None, d, "s"), (7, e, "s"), (None, e, "s")]
+    docs = documents(spark, rows)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (4, c), (4, d), (7, e)], key=str)
+    again = simhash.keep_one(docs.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, simhash.keep_one(docs).collect()))
+
+
 @pytest.mark.parametrize("tile", [65_536, 32])
 def test_keep_one_finds_similar_documents(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "STAGE_TILE", tile)
