@@ -14,7 +14,7 @@ is that of this segment.
 Seed table and hit join: the seeds are broadcast only if their number is within
 ``BROADCAST_ROWS``, else joined by shuffle. Texts are verified whole.
 
-Defined cases: null, empty and blank texts have no words; items of fewer words than
+Defined cases: documents without a doc_id are searched and reported like others; null, empty and blank texts have no words; items of fewer words than
 the longest mask spans are searched as they are, without substitutions, those of fewer
 than ``MIN_WORDS`` words not at all; repeated items and documents are reported
 once for each pair of ids; empty tables give an empty report; other columns are kept
@@ -100,12 +100,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _seed_rows(tokens, MASKS + whole, "doc_id", "version").join(own, "seed")
     hits = durable(found.select("doc_id", "version", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
     named = hits.withColumnsRenamed({"doc_id": "_doc", "version": "_version"})
-    hit_docs = texts.join(hits.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct(), (F.col("doc_id") == F.col("_doc")) & (F.col("version") == F.col("_version")), "left_semi")
+    hit_docs = texts.join(hits.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left_semi")
     tokened = hit_docs.groupBy("doc_id", "version").agg(F.first("text").alias("text")).select("doc_id", "version", words(F.col("text")).alias("w"))
     asked = items.select(F.col("item_id").alias("_item"), F.col("w").alias("v")).distinct()
     # items first, where only numbers travel; then the words of the document
     pairs = named.join(asked, F.col("item_id") == F.col("_item"))
-    both = pairs.join(tokened, (F.col("doc_id") == F.col("_doc")) & (F.col("version") == F.col("_version")))
+    both = pairs.join(tokened, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")))
     aligned = both.select("doc_id", "version", "item_id", F.size("v").alias("n_words"), matches(F.col("w"), F.col("v"), F.col("diagonal")).alias("equal"))
     scored = aligned.select("doc_id", "version", "item_id", "n_words", best_segment(F.col("equal")).alias("score"), best_window(F.col("equal")).alias("matched"))
     share = F.when(F.col("n_words") < max(map(len, MASKS)), F.col("n_words").cast("double")).otherwise(F.ceil(F.col("n_words") * SHORT).cast("double"))
@@ -121,4 +121,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that overlap a benchmark item go."""
     bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad"), F.col("version").alias("_version")).distinct()
-    return docs.join(bad, (docs["doc_id"] == F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_anti")

@@ -253,3 +253,13 @@ def test_decontamination_finds_four_fifths_equal(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
     assert got == {(k, k) for k in range(len(items))}
+
+
+def test_documents_without_an_id_are_decontaminated(spark, monkeypatch):
+    rng = random.Random(32)
+    item, clean = prose(rng, 20), prose(rng, 50)
+    docs = documents(spark, [(None, f"{clean} {item}", "s"), (None, clean, "s"), (1, clean, "s")])
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(None, 5)]
+    monkeypatch.setattr(decontaminate, "table", lambda *_: bench)
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_contaminated(spark, docs, "").collect()) == [(0, clean), (1, clean)]
