@@ -4,10 +4,13 @@ Every page is parsed into text lines, one a block, each with its zone: inside th
 page's article or main element, inside a boilerplate element (navigation, header,
 footer, sidebar, advert, notice, form, comments, by element or by class, id and
 role), or free. Pages are paired with the next page by URL path within their host;
-the free lines of a pair are aligned by their longest common subsequence, and shared
-lines go, on both sides of a pair. Boilerplate zones go too. A page that has an
-article or main element keeps exactly that zone's lines, since an article may be a
-copy of another page's; of other pages the free lines that no neighbour shares stay.
+the free lines of a pair are aligned by their longest common subsequence, and so are
+the lines of their articles; shared lines go, on both sides of a pair. Boilerplate zones
+go too. A page that has an article or main element keeps of that zone's lines those
+that not each of its neighbours shares, so that a passage copied from one of them stays; other
+pages keep the free lines that no neighbour shares. Articles that are near copies of each
+other are spared: if the shared lines have at least ``COPY`` of the characters of the
+shorter article, the pair takes nothing from either.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its
 own with an empty path; pages of one url (ties) are ordered by page_id and html; repeated
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from arbora.llm._shared import batches
 
 MAIN, FREE, BOILER = 2, 1, 0
+#: Articles are near copies if they share so much of the shorter one.
+COPY = 0.5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template head title svg math object iframe canvas audio video select option datalist textarea button".split())
 _BOILER = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -171,6 +176,15 @@ def shared_lines(left: list[str], right: list[str]) -> tuple[set[int], set[int]]
     return a_of, b_of
 
 
+def shared_parts(left: list[str], right: list[str]) -> tuple[set[int], set[int]]:
+    """As ``shared_lines``, but nothing for articles that are near copies."""
+    a, b = shared_lines(left, right)
+    size = lambda lines: sum(map(len, lines))
+    if size(left[k] for k in a) >= COPY * min(size(left), size(right)):
+        return set(), set()
+    return a, b
+
+
 def _paths(pages: DataFrame) -> DataFrame:
     """``page_id, url, html, host, path``; host and path empty without ``://``."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
@@ -193,23 +207,25 @@ def extract(pages: DataFrame) -> DataFrame:
         host: str | None = None
         held: tuple | None = None
 
+        def of(page: tuple, zone: int) -> list[str]:
+            return [text for z, text in page[1] if z == zone]
+
         def done(page: tuple) -> tuple:
             row, lines, gone = page
-            main = any(zone == MAIN for zone, _ in lines)
-            free = [text for zone, text in lines if zone == FREE]
-            text = "\n".join(text for zone, text in lines if zone == MAIN) if main else "\n".join(t for k, t in enumerate(free) if k not in gone)
+            zone = MAIN if any(z == MAIN for z, _ in lines) else FREE
+            text = "\n".join(t for k, t in enumerate(of(page, zone)) if k not in (gone[zone] or ()))
             return row.page_id, row.url, text, len(text)
 
         for frame in batches(frames):
             out = []
             for row in frame.itertuples(index=False):
-                page = (row, lines_of(row.html), set())
+                page = (row, lines_of(row.html), {MAIN: None, FREE: set()})
                 if held is not None:
                     if host == row.host:
-                        before, after = ([text for zone, text in p[1] if zone == FREE] for p in (held, page))
-                        a, b = shared_lines(before, after)
-                        held[2].update(a)
-                        page[2].update(b)
+                        for zone, shared in ((FREE, shared_lines), (MAIN, shared_parts)):
+                            a, b = shared(of(held, zone), of(page, zone))
+                            for gone, own in ((held[2], a), (page[2], b)):
+                                gone[zone] = own if gone[zone] is None else gone[zone] | own if zone == FREE else gone[zone] & own
                     out.append(done(held))
                 held, host = page, row.host
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])

@@ -94,6 +94,15 @@ def test_html_zones_and_differences(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differences_decide_inside_articles(spark):
+    page = lambda body: f"<article><p>Read this in our app</p><p>{body}</p><p>Written by the desk</p></article>"
+    long = [f"{w} text that is much longer than the lines which all pages of this site have in common" for w in ("One", "Another", "A third")]
+    rows = [(k, f"http://s/{k}", page(x)) for k, x in enumerate(long)] + [(k, f"http://c/{k}", page(long[0])) for k in (7, 8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [got[k] for k in range(3)] == long
+    assert got[7] == got[8] == f"Read this in our app\n{long[0]}\nWritten by the desk"
+
+
 def secrets_of(text):
     out = []
     kinds = (
