@@ -4,7 +4,7 @@ bounded tile joins and connected components."""
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one side of a comparison tile; no task ever holds more than two such sides.
 TILE_ROWS = 4096
+#: Rows of counts up to which a table of them is broadcast, a few MB.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = folder or tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return folder or context._jsc.sc().getCheckpointDir().get()
@@ -36,8 +40,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of all rows that no model learns from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of all rows that no model learns from; false without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 class Forest:
@@ -75,7 +79,9 @@ def tiles(members: DataFrame, keys: list[str], order: str, rows: int = TILE_ROWS
         F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("long")) / rows)).cast("int").alias("n_left"),
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n_right"),
     )
-    dealt = members.join(sizes, keys)
+    sizes = durable(sizes)
+    # a join by a hot key meets few tasks; the sizes of all keys are broadcast while they are few
+    dealt = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
     chunk = F.xxhash64(F.col(order), F.lit("chunk"))
     left = (
         dealt.filter("home")
@@ -130,6 +136,77 @@ def _to_roots(hung: DataFrame) -> DataFrame:
         hung = jumped.select("node", "parent")
 
 
+#: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among ``keys``' one: a superset without any loss, to be joined exactly after.
+
+    The keys' hashes set bits of a bitmap of fixed size, which is broadcast, so that
+    most rows without a partner are left out before the shuffle.
+    """
+    def at(name: str):
+        h = F.xxhash64(name, F.lit("sieve"))
+        return F.pmod(h, F.lit(SIEVE_WORDS)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+
+    word, bit = at(keys.columns[0])
+    bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    word, bit = at(column)
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+    return marked.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).drop("_word", "_bit", "_bits")
+
+
+#: Rows of one band that are met by one copy of its other side.
+BUCKET_ROWS = 2048
+Test = Callable[[Column, Column], Column]
+
+
+def band_members(sketched: DataFrame) -> DataFrame:
+    """``(band, node, mark, first)`` of the bands that several nodes share, from ``(node, mark, bands)``; first is the band's smallest node."""
+    rows = sketched.select("node", "mark", F.explode_outer("bands").alias("band"))
+    shared = durable(rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("band", "first"))
+    return durable(sieve(rows, "band", shared.select("band")).join(shared, "band"))
+
+
+def apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that do not lie in one component."""
+    one, other = (merged.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+    return pairs.join(one, "a", "left").join(other, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
+def band_components(members: DataFrame, likely: Test, likeness: Test, verified: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """``(node, component)`` of the nodes that are linked with another one of a band.
+
+    ``likely`` judges two marks, ``verified`` keeps the linked ones of pairs ``(a, b)``, ``known`` are links found before. Every node is first
+    verified against its band's first one, beginning with the band where ``likeness`` is
+    greatest; what this links is merged. Then all pairs of a band that still lie in different components are met:
+    the nodes outside the band's largest component on one side, all on the other, which is cut into parts.
+    """
+    hubs = members.filter("node = first").select("band", F.col("mark").alias("hub"))
+    near = members.filter("node <> first").join(hubs, "band").filter(likely(F.col("mark"), F.col("hub")))
+    stars = durable(near.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.max(likeness(F.col("mark"), F.col("hub"))).alias("like")))
+    best = durable(stars.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")))
+    open_ = best if known is None else apart(best, components(known))
+    links = durable(verified(open_) if known is None else verified(open_).unionByName(known))
+    rest = durable(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links)))
+    if not rest.isEmpty():
+        links = durable(links.unionByName(verified(rest)))
+    merged = components(links)
+    label = durable(members.join(merged.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("band", "node", "mark", F.coalesce("component", "node").alias("c")))
+    sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    several = sizes.filter("lo <> hi").select("band", "largest", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"))
+    mixed = durable(label.join(several, "band"))
+    left = mixed.filter("c <> largest").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("mark_a"))
+    right = mixed.select("band", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mark_b"), (F.col("c") == F.col("largest")).alias("main"))
+    met = left.join(right, ["band", "part"]).filter("ca <> cb AND (main OR a < b)").filter(likely(F.col("mark_a"), F.col("mark_b")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # pairs with the first node of a band were verified above
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = durable(verified(pairs.join(done, ["a", "b"], "left_anti")))
+    return merged if more.isEmpty() else components(links.unionByName(more))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words of a text, split at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []

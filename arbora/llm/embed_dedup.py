@@ -6,14 +6,16 @@ into low-dimensional blocks with budgets T * share, the shares in proportion to
 blocks' energy and adding up to one. Two vectors within T are within budget in at
 least one block; so every block is range-joined on its own over a grid, and the
 union of the candidates is verified by the exact cosine in double precision. A
-linked pair counts in the first block within whose budget it is, hence once.
+linked pair counts in the first block within whose budget it is, hence once. The grid divides
+as many of a block's axes as its cells need to fit a tile or two, more for larger tables.
 
-Equal vectors are collapsed first and counted by multiplicity. A tile of a range
-join returns the links of each vector as a count and a spanning forest, never pairs.
+Equal vectors are collapsed first to classes with ids of their own and counted by multiplicity. A tile of a range
+join returns the links of each class as a count and a spanning forest, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different length never link; repeated rows
-of one vec_id count as separate vectors with that id; an empty table gives an empty
+components link with nothing; vectors of different length never link; rows that share
+a vec_id, or have none, count as separate vectors, each with its own links; a component's id is its smallest
+vec_id that is not null, and null if it has none; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -26,12 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import TILE_ROWS, Forest, batches, components, durable, tiles
+from arbora.llm._shared import Forest, batches, components, durable, tiles
 
 THRESHOLD = 0.9
-#: Coordinates in a block, and those of them that the grid divides.
+#: Coordinates in a block.
 BLOCK = 8
-GRID = 2
+#: Rows on one side of a comparison tile.
+TILE_ROWS = 16_384
 #: Rows that fit the block shares; they shape the work, never the result.
 SAMPLE = 4096
 _SLACK = 1e-9
@@ -66,23 +69,36 @@ def budgets(unit: np.ndarray, d: int, threshold: float) -> np.ndarray:
     return (2 - 2 * threshold) * energy / energy.sum()
 
 
-def cells(block: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def axes_for(block: np.ndarray, radius: float, n: int) -> int:
+    """How many axes the grid divides, so that by this sample the fullest cell of ``n`` rows holds a tile; one at least."""
+    share = 1.0
+    for k in range(block.shape[1]):
+        share *= np.unique(np.floor(block[:, k] / (2 * radius)), return_counts=True)[1].max() / len(block)
+        if share * n <= TILE_ROWS:
+            return k + 1
+    return block.shape[1]
+
+
+def cells(block: np.ndarray, radius: float, axes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index, cell, home): own grid cell, and the lower cells that the ball of this radius overlaps."""
-    axes = min(GRID, block.shape[1])
     width, reach = 2 * radius, radius * (1 + 1e-6) + 1e-9
-    own = np.floor(block[:, :axes] / width).astype(np.int64)
-    low = np.floor((block[:, :axes] - reach) / width).astype(np.int64)
-    high = np.floor((block[:, :axes] + reach) / width).astype(np.int64)
-    name = lambda at: ((at + 2**20) * (1 << (21 * np.arange(axes)))).sum(axis=1)
-    home = name(own)
-    index, cell, is_home = [np.arange(len(block))], [home], [np.ones(len(block), bool)]
-    for step in np.ndindex(*[3] * axes):
-        at = own + np.array(step) - 1
-        near = ((at >= low) & (at <= high)).all(axis=1)
-        there = name(at)
-        visit = np.flatnonzero(near & (there < home))
-        index, cell, is_home = [*index, visit], [*cell, there[visit]], [*is_home, np.zeros(len(visit), bool)]
-    return np.concatenate(index), np.concatenate(cell), np.concatenate(is_home)
+    index, home, there = np.arange(len(block)), np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+    apart = np.zeros(len(block))
+    for k in range(axes):
+        x = block[index, k]
+        own = np.floor(x / width).astype(np.int64)
+        bits = 63 // axes
+        code = lambda at: (at + (1 << (bits - 1))) & ((1 << bits) - 1)
+        parts = []
+        for step, border in ((0, np.zeros(len(x))), (-1, x - own * width), (1, (own + 1) * width - x)):
+            far = apart + border * border
+            near = far <= reach * reach
+            parts.append((index[near], (home[near] << bits) | code(own[near]), (there[near] << bits) | code(own[near] + step), far[near]))
+        index, home, there, apart = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        # codes grow with the cells, so a copy that is ahead on the first axis that differs stays ahead
+        ahead = there > home
+        index, home, there, apart = index[~ahead], home[~ahead], there[~ahead], apart[~ahead]
+    return index, there, there == home
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,18 +115,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     # scaled by the largest component, so that no square overflows or vanishes
     peak = F.array_max(F.transform("v", lambda x: F.abs(x)))
     sane = raw.filter(sound).select("vec_id", F.transform("v", lambda x: x / peak + 0.0).alias("v"))
-    once = durable(sane.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("d", F.size("v")))
-    plans = {}
-    for row in once.select("d").distinct().collect():
+    classes = sane.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    once = durable(classes.select(F.monotonically_increasing_id().alias("rep"), "first_id", "copies", "v", F.size("v").alias("d")))
+    plans, axes = {}, {}
+    for row in once.groupBy("d").count().collect():
         seen = once.filter(F.col("d") == row.d).orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toPandas()
-        plans[row.d] = budgets(unit_rows(np.stack(seen["v"].to_list())), row.d, threshold)
+        unit = unit_rows(np.stack(seen["v"].to_list()))
+        plans[row.d], turn = budgets(unit, row.d, threshold), turned(unit, rotation(row.d))
+        axes[row.d] = [axes_for(turn[:, dims], float(np.sqrt(limit)), row["count"]) for dims, limit in zip(layout(row.d), plans[row.d], strict=True)]
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
             for d, part in frame.groupby("d"):
                 turn = turned(unit_rows(np.stack(part["v"].to_list())), rotation(d))
                 for b, dims in enumerate(layout(d)):
-                    index, cell, home = cells(turn[:, dims], float(np.sqrt(plans[d][b])))
+                    index, cell, home = cells(turn[:, dims], float(np.sqrt(plans[d][b])), axes[d][b])
                     copy = part.iloc[index]
                     yield pd.DataFrame({"d": d, "block": b, "cell": cell, "home": home, "rep": copy["rep"].to_numpy(), "copies": copy["copies"].to_numpy(), "v": copy["v"].to_numpy()})
 
@@ -159,16 +178,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = durable(dealt.groupBy("d", "block", "cell", "tile_i", "tile_j").applyInPandas(compare, "node long, links long, root long"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
-    by_vector = (
+    told = durable(
         once.join(counts, once.rep == counts.node, "left")
         .drop("node")
         .join(groups, F.col("rep") == groups.node, "left")
-        .select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("v", "first_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"))
     )
+    smallest = told.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    by_vector = told.join(smallest, "group").select("v", "n_links", "component_id", F.lit(True).alias("sound"))
     keyed = raw.select("vec_id", F.when(sound, F.transform("v", lambda x: x / peak + 0.0)).alias("v"))
+    component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id"))
     return keyed.join(by_vector, "v", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").cast("long").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+        component.cast("long").alias("component_id"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
