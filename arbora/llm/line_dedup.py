@@ -3,9 +3,9 @@
 Lines (trimmed, lower-cased for comparison; blank lines do not take part and always
 stay) are sketched by one-permutation MinHash over the same character shingles that are
 compared in the end: each of ``BINS`` bins keeps its least hash, and ``BAND``
-successive minima form a band, beginning at every other bin; in lines with empty bins, which do not count, at every one. Lines that agree
-in a band, and in ``AGREE`` of their bins, are candidates. Of independent minima at similarity 0.8, 98.7 % of
-all pairs meet in a band, at 0.85 99.7 %. Long lines are sketched on those shingles whose hashes are small,
+successive minima form a band, beginning at every other bin; in lines with several empty bins, which do not count, at every one. Lines that agree
+in a band, and in ``AGREE`` of their bins, are candidates. Of independent minima at similarity 0.8, 97.4 % of
+all pairs meet in a band, at 0.85 99.3 %; shorter bands would meet more, but also lines that have little in common, as the square of their number. Long lines are sketched on those shingles whose hashes are small,
 which hold nearly all minima, so the work a line is bounded and lines of any length meet.
 A candidate pair is linked if the exact Jaccard similarity of
 *all* character shingles of length ``SHINGLE`` is at least ``SIMILARITY``. Connected
@@ -30,20 +30,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import components, durable
+from arbora.llm._shared import band_components, band_members, durable, sieve
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BINS = 16
-BAND = 3
+BINS = 20
+BAND = 4
 #: Shingles that a long line's sketch takes at least, if so many are distinct.
 SAMPLED = 64
-#: Share of their bins in which two lines agree at least to be compared (0.8 is expected at the least similarity, with 16 bins
-#: a similar pair in 5000 is below), and bins from which on this is asked.
-AGREE = 7 / 16
+#: Share of their bins in which two lines agree at least to be compared (0.8 is expected at the least similarity, with 20 bins
+#: a similar pair in 3000 is below), and bins from which on this is asked.
+AGREE = 0.45
 JUDGED = 12
-#: Rows of one band that are met by one copy of its other side.
-BUCKET_ROWS = 2048
+_WORDS = tuple(f"w{w}" for w in range((BINS + 6) // 7))
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -72,52 +71,35 @@ def minima(all_lines: DataFrame) -> DataFrame:
 
 
 def sketched(all_lines: DataFrame) -> DataFrame:
-    """``(h1, mark, bands)`` for each line: a byte a bin (zero: empty), and the hashes of its bands."""
+    """``(h1, mark, bands)`` for each line: seven bits a bin (zero: empty), and the hashes of its bands."""
     least = [F.col(f"m{k}") for k in range(BINS)]
-    byte = lambda m: F.coalesce(F.pmod(F.shiftright(m, 24), F.lit(255)) + 1, F.lit(0)).cast("long")
-    words = [reduce(Column.bitwiseOR, [F.shiftleft(byte(m), 8 * k) for k, m in enumerate(least[w : w + 8])]) for w in range(0, BINS, 8)]
-    rows = minima(all_lines).select("h1", F.struct(*[x.alias(f"w{w}") for w, x in enumerate(words)]).alias("mark"), F.array_compact(F.array(*least)).alias("m"))
+    bits = lambda m: F.coalesce(F.pmod(F.shiftright(m, 24), F.lit(127)) + 1, F.lit(0)).cast("long")
+    words = [reduce(Column.bitwiseOR, [F.shiftleft(bits(m), 8 * k) for k, m in enumerate(least[w : w + 7])]) for w in range(0, BINS, 7)]
+    rows = minima(all_lines).select("h1", F.struct(*[x.alias(f"w{w}") for w, x in enumerate(words)]).alias("mark"), F.array(*least).alias("all"))
+    m = rows.withColumn("m", F.when(F.size(F.array_compact("all")) < BINS - BAND, F.array_compact("all")).otherwise(F.col("all")))
     at = lambda i: F.get("m", F.pmod(i, F.size("m")))
+    # a band that holds an empty bin is none
+    band = lambda i: F.when(reduce(Column.__and__, [at(i + j).isNotNull() for j in range(BAND)]), F.xxhash64(*[at(i + j) for j in range(BAND)]))
     starts = F.sequence(F.lit(0), F.size("m") - 1, F.when(F.size("m") == BINS, F.lit(2)).otherwise(F.lit(1)))
-    return rows.select("h1", "mark", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[at(i + j) for j in range(BAND)]))).alias("bands"))
+    return m.select("h1", "mark", F.array_compact(F.array_distinct(F.transform(starts, band))).alias("bands"))
 
 
-def agree(a: Column, b: Column) -> Column:
-    """Whether two marks agree in enough of the bins that hold a shingle of either; few bins are not judged."""
-    equal, none = F.lit(0), F.lit(0)
-    for w in range(BINS // 8):
-        x, y = a[f"w{w}"], b[f"w{w}"]
-        for k in range(8):
-            of = lambda m, k=k: F.shiftright(m, 8 * k).bitwiseAND(F.lit(255))
-            equal = equal + (of(x) == of(y)).cast("int")
-            none = none + (of(x.bitwiseOR(y)) == 0).cast("int")
-    return (equal - none >= F.lit(AGREE) * (BINS - none)) | (BINS - none < JUDGED)
+def _zeros(x: Column) -> Column:
+    """How many of the seven lower bytes, none above 127, are zero."""
+    high = F.lit(0x80808080808080)
+    return F.bit_count((high - x).bitwiseAND(high))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Number of equal bytes of two marks."""
-    return reduce(Column.__add__, [(F.shiftright(a[f"w{w}"].bitwiseXOR(b[f"w{w}"]), 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for w in range(BINS // 8) for k in range(8)])
-
-
-#: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
-SIEVE_WORDS = 1 << 18
-
+    """Number of bins in which two marks are equal, among all places of their words."""
+    return reduce(Column.__add__, [_zeros(a[w].bitwiseXOR(b[w])) for w in _WORDS])
 
-def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose ``column`` may be among ``keys``' one: a superset without any loss, to be joined exactly after.
 
-    The keys' hashes set bits of a bitmap of fixed size, which is broadcast, so that
-    most rows without a partner are left out before the shuffle.
-    """
-    def at(name: str):
-        h = F.xxhash64(name, F.lit("sieve"))
-        return F.pmod(h, F.lit(SIEVE_WORDS)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
-
-    word, bit = at(keys.columns[0])
-    bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
-    word, bit = at(column)
-    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
-    return marked.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).drop("_word", "_bit", "_bits")
+def agree(a: Column, b: Column) -> Column:
+    """Whether two marks agree in enough of the bins that hold a shingle of either; few bins are not judged."""
+    none = reduce(Column.__add__, [_zeros(a[w].bitwiseOR(b[w])) for w in _WORDS])
+    held = 7 * len(_WORDS) - none
+    return (likeness(a, b) - none >= F.lit(AGREE) * held) | (held < JUDGED)
 
 
 def shingles(line: Column) -> Column:
@@ -138,40 +120,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
-def apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that do not lie in one component."""
-    one, other = (merged.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    return pairs.join(one, "a", "left").join(other, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
 def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
     """``(node, component)`` over the hashes of lines that are linked with another line; ``own`` are the sketches."""
-    rows = own.select("h1", "mark", F.explode("bands").alias("band"))
-    shared = durable(rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("band", "first"))
-    members = durable(sieve(rows, "band", shared.select("band")).join(shared, "band"))
-    hubs = members.filter("h1 = first").select("band", F.col("mark").alias("hub"))
-    near = members.filter("h1 <> first").join(hubs, "band").filter(agree(F.col("mark"), F.col("hub")))
-    stars = durable(near.groupBy(F.col("h1").alias("a"), F.col("first").alias("b")).agg(F.first(likeness(F.col("mark"), F.col("hub"))).alias("like")))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
-    candidates = members.select("h1").distinct()
+    members = band_members(own.select(F.col("h1").alias("node"), "mark", "bands"))
+    candidates = members.select(F.col("node").alias("h1")).distinct()
     # an inner join: a semi join would be moved below the sieve
     texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1").groupBy("h1").agg(F.first("line").alias("line")))
-    links = durable(verified(best, texts))
-    rest = durable(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links)))
-    links = links.unionByName(durable(verified(rest, texts)))
-    merged = components(links)
-    # the lines of each band outside its largest component meet all its lines that are not in their own one
-    label = durable(members.select("band", "h1", "mark").join(merged, F.col("h1") == F.col("node"), "left").select("band", "h1", "mark", F.coalesce("component", "h1").alias("c")))
-    sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = durable(label.join(sizes.filter("lo <> hi").select("band", "largest", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "band"))
-    left = mixed.filter("c <> largest").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("mark_a"))
-    right = mixed.select("band", F.pmod(F.xxhash64("h1", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mark_b"), (F.col("c") == F.col("largest")).alias("main"))
-    met = left.join(right, ["band", "part"]).filter("ca <> cb AND (main OR a < b)").filter(agree(F.col("mark_a"), F.col("mark_b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # pairs with the first line of a band were verified above
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = durable(verified(pairs.join(done, ["a", "b"], "left_anti"), texts))
-    return merged if more.isEmpty() else components(links.unionByName(more))
+    return band_components(members, agree, likeness, lambda pairs: verified(pairs, texts))
 
 
 def decide(docs: DataFrame) -> DataFrame:
