@@ -9,8 +9,8 @@ result is exact: every pair of distinct fingerprints within ``radius`` bits is
 found. The tree is fitted on a bounded sample (``sample``), which affects only the
 balance of shards, never the result.
 
-The pipeline stage has a wider rule, see ``keep_one``: its search takes all pairs within
-more bits, and similarity is verified on the shingles.
+The pipeline stage has a wider rule, see ``keep_one``: what the tree cannot prune is found in bands of
+least shingle hashes, and similarity is verified on the shingles.
 
 Defined cases: null, empty or blank texts have fingerprint zero and are linked like
 any other; repeated rows share a fingerprint and a component; an empty table gives
@@ -20,14 +20,15 @@ an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import Forest, batches, components, durable, tiles, words_of
+from arbora.llm._shared import Forest, band_components, band_members, batches, components, durable, tiles, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -44,10 +45,9 @@ SIMILARITY = 0.8
 STAGE_RADIUS = 22
 WIDE_PRINTS = 4
 WIDE_RADIUS = 72
-#: So wide a ball overlaps nearly all shards; few large ones keep the copies few.
-STAGE_TILE = 65_536
-#: Rounds of comparisons with hubs before all pairs that are left.
-HUB_ROUNDS = 3
+#: Least hashes of a text, one a bin, and how many of them make a band: at 0.8 of similarity 99.7 % of pairs share one of the eight bands.
+BINS = 24
+BAND = 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -228,11 +228,27 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SKETCH = "node long, n long, fp long, " + ", ".join(f"w{k} long" for k in range(WIDE_PRINTS))
+def banded(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the bands: of each ``BAND`` successive minima, one a bin; in texts with empty bins, which do not count, of any successive ones."""
+    if not len(hashes):
+        return np.zeros(1, np.int64)
+    least = np.full(BINS, np.iinfo(np.uint64).max)
+    x = mixed(hashes, WIDE_PRINTS)
+    np.minimum.at(least, (x % np.uint64(BINS)).astype(np.int64), x)
+    own = least[least != np.iinfo(np.uint64).max]
+    at = np.arange(0, len(own), BAND if len(own) == BINS else 1)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(BAND):
+        code = mixed(code ^ own[(at + k) % len(own)], k)
+    return np.unique(code.view(np.int64))
+
+
+_MARK = ("n", "fp", *(f"w{k}" for k in range(WIDE_PRINTS)))
+_SKETCH = "node long, " + ", ".join(f"{c} long" for c in _MARK) + ", bands array<long>, grams array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(node, n, fp, w0, w1, ..., grams)`` for each distinct text; node is its hash, n the number of its shingles."""
+    """``(node, mark, bands, grams)`` for each distinct text; node is its hash, the mark has the number of its shingles and its prints."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
@@ -240,46 +256,20 @@ def sketches(docs: DataFrame) -> DataFrame:
             out = {"node": frame["node"], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64)}
             for k in range(WIDE_PRINTS):
                 out[f"w{k}"] = np.array([majority(mixed(x, k)) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame(out | {"grams": [x.view(np.int64) for x in sets]})
+            yield pd.DataFrame(out | {"bands": [banded(x) for x in sets], "grams": [x.view(np.int64) for x in sets]})
 
     texts = docs.select(F.xxhash64("text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInPandas(run, _SKETCH + ", grams array<long>")
+    return texts.mapInPandas(run, _SKETCH).select("node", F.struct(*_MARK).alias("mark"), "bands", "grams")
 
 
-def candidates(members: DataFrame, salt: int | None) -> DataFrame:
-    """Pairs ``(a, b)`` of dealt ``members`` that may be similar and have different labels.
+def bits_apart(a: Column, b: Column, prints: tuple[str, ...]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(a[p].bitwiseXOR(b[p])) for p in prints])
 
-    With a salt, each text has one pair in a tile, with the partner that is first in
-    an order common to all, so that a group of near-copies meets in a few hubs; without,
-    every pair is given.
-    """
 
-    def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        is_left = frame["left"].to_numpy(bool)
-        left, right = frame[is_left], frame[~is_left]
-        column = lambda part, name: part[name].to_numpy(np.int64)
-        a, b, label_a, label_b, n_a, n_b = (column(part, name) for name in ("node", "label", "n") for part in (left, right))
-        wide = [tuple(column(part, f"w{k}").view(np.uint64) for part in (left, right)) for k in range(WIDE_PRINTS)]
-        order = np.empty(len(b), np.int64)
-        order[np.argsort(mixed(b.view(np.uint64), salt or 0))] = np.arange(len(b))
-        best, found = np.full(len(a), len(b)), []
-        for i, j in close_pairs(column(left, "fp").view(np.uint64), column(right, "fp").view(np.uint64), STAGE_RADIUS):
-            fits = (label_a[i] != label_b[j]) & (np.minimum(n_a[i], n_b[j]) >= SIMILARITY * np.maximum(n_a[i], n_b[j]) - 1e-6)
-            i, j = i[fits], j[fits]
-            far = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in wide)
-            i, j = i[far <= WIDE_RADIUS], j[far <= WIDE_RADIUS]
-            if salt is None:
-                found.append((a[i], b[j]))
-            else:
-                np.minimum.at(best, i, order[j])
-        if salt is not None:
-            own = np.flatnonzero(best < len(b))
-            found.append((a[own], b[np.argsort(order)][best[own]]))
-        one, other = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
-
-    dealt = tiles(members, ["shard"], "node", STAGE_TILE)
-    return dealt.groupBy("shard", "tile_i", "tile_j").applyInPandas(compare, "a long, b long").distinct()
+def likely(a: Column, b: Column) -> Column:
+    """False for marks of texts that are not similar: by their sizes, which is exact, or by far too many differing bits."""
+    sizes = F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"]) - 1e-6
+    return sizes & (bits_apart(a, b, _MARK[1:2]) <= STAGE_RADIUS) & (bits_apart(a, b, _MARK[2:]) <= WIDE_RADIUS)
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,30 +283,19 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``(node, component)`` of the text hashes that are similar to another text.
 
-    Texts whose prints of five-word shingles differ in ``STAGE_RADIUS`` bits at most, and
-    further prints in ``WIDE_RADIUS``, are compared exactly. A few rounds link texts with
-    hubs; then every candidate pair that still lies in different components is compared.
+    The vantage-point tree first links texts whose prints of five-word shingles differ in ``RADIUS`` bits at most.
+    At 0.8 of similarity prints differ in ten bits and more, a ball that overlaps every shard; so the others meet
+    in bands of least shingle hashes, in which prints and sizes sort out pairs. Every link is verified on the shingles.
     """
     known = durable(sketches(docs))
-    sets, prints = known.select("node", "grams"), known.drop("grams")
-    n = prints.count()
-    leaves = 1 << max(0, int(np.ceil(np.log2(max(1, n / STAGE_TILE)))))
-    seen = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(16 * leaves) if leaves > 1 else prints.select("fp").limit(0)
-    nodes = build_tree(np.array([r.fp for r in seen.collect()], np.int64).view(np.uint64), leaves)
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            index, shard, home = route(frame["fp"].to_numpy(np.int64).view(np.uint64), nodes, STAGE_RADIUS)
-            yield frame.iloc[index].assign(shard=shard, home=home)
-
-    links, merged = None, None
-    for salt in (*range(1, HUB_ROUNDS + 1), None):
-        labelled = prints.withColumn("label", F.col("node")) if merged is None else prints.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("_node", "component")
-        members = labelled.mapInPandas(deal, _SKETCH + ", label long, shard long, home boolean")
-        more = durable(similar(candidates(members, salt), sets))
-        links = more if links is None else links.unionByName(more)
-        merged = components(links)
-    return merged
+    sets, prints = known.select("node", "grams"), durable(known.groupBy("mark.fp").agg(F.min("node").alias("first")))
+    by_print = known.select("node", F.col("mark.fp").alias("of")).join(prints, F.col("of") == F.col("fp")).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    one, other = (prints.select(F.col("fp").alias(f"fp_{n}"), F.col("first").alias(n)) for n in "ab")
+    edges = durable(linked(prints.select("fp"))).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    close = edges.join(one, "fp_a").join(other, "fp_b").select("a", "b")
+    links = durable(similar(by_print.unionByName(close), sets))
+    members = band_members(known.select("node", "mark", "bands"))
+    return band_components(members, likely, lambda a, b: -bits_apart(a, b, _MARK[1:]), lambda pairs: similar(pairs, sets), links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -326,13 +305,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     at least (the query of this module has its own contract); empty texts are equal.
     The row with the smallest id stays, null after all others, among rows of one id by the
     hashes of text and row. Rows are grouped by their texts only, so that rows of one id, or
-    without one, stay if their texts differ.
+    without one, stay if their texts differ. Columns may have any names.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_version"), F.col("_row"))
-    groups = similar_groups(docs).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    named = docs.withColumns({"_version": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
-    placed = named.join(groups, F.col("_version") == F.col("_node"), "left").withColumns({"_group": F.coalesce("_component", "_version"), "_order": order})
-    first = placed.groupBy("_group").agg(F.min("_order").alias("_first")).withColumnRenamed("_group", "_of")
-    stays = placed.join(first, (F.col("_group") == F.col("_of")) & F.col("_order").eqNullSafe(F.col("_first")))
+    groups = similar_groups(docs)
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version"), F.xxhash64(*docs.columns).alias("hash"))
+    order = F.struct(F.col("row")["doc_id"].isNull().alias("none"), F.col("row")["doc_id"].alias("id"), F.col("version"), F.col("hash"))
+    placed = boxed.join(groups, F.col("version") == F.col("node"), "left").select("row", F.coalesce("component", "version").alias("group"), order.alias("order"))
+    first = placed.groupBy("group").agg(F.min("order").alias("first")).withColumnRenamed("group", "of")
+    stays = placed.join(first, (F.col("group") == F.col("of")) & F.col("order").eqNullSafe(F.col("first")))
     # what is left of a group are exact repeats of one row
-    return stays.dropDuplicates(["_group"]).select(*docs.columns)
+    return stays.dropDuplicates(["group"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
