@@ -119,6 +119,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that overlap a benchmark item go."""
-    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad"), F.col("version").alias("_version")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_anti")
+    """Pipeline stage: documents that overlap a benchmark item go; columns may have any names."""
+    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad"), F.col("version").alias("of")).distinct()
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+    kept = boxed.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")) & (F.col("version") == F.col("of")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,8 +6,8 @@ that the cube method turns into 0 or 1: a flight moves the probabilities of a fe
 documents at a time within the null space of the balancing constraints (number of
 documents and number of words), until each is fixed; only a small landing problem
 remains, at most sixteen documents a source, which is settled by enumeration. Flights run
-over salted buckets of a source, larger documents first, and once more over what
-the buckets leave open, so that neither a source nor its remainder meets one task.
+over salted buckets of a source, larger documents first, and again over what
+the buckets leave open, until that fits one bucket a source; so neither a source nor its remainder meets one task.
 
 Targets: sources by code point, null last, weigh 5, 2, 1 repeating and share
 ``share`` (150 %) of all words; a target stops at twice its source's size and the
@@ -16,11 +16,14 @@ excess is reshared by weight until none is above.
 Defined cases: null and empty texts have size 0, are taken 0 words; repeated rows
 count each on their own; all draws are seeded by the row, so reruns agree; an empty
 table gives an empty result; other columns are ignored by the report and kept by the
-pipeline stage.
+pipeline stage, those named like one of its own under their name with ``_in`` added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -163,13 +166,19 @@ _UNITS = "uid long, source string, size long, p double"
 
 def choose(units: DataFrame) -> DataFrame:
     """``(uid, extra)``: 0 or 1 for each fractional unit ``(uid, source, size, p)``."""
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET))
-    per = units.groupBy("source").agg(n.cast("int").alias("buckets"))
-    salted = units.alias("u").join(per.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", F.pmod(F.xxhash64("uid", F.lit("bucket")), "buckets").alias("bucket"))
-    # what the buckets leave open, a few units each, meets in one more flight a source and lands
-    flown = durable(salted.groupBy("source", "bucket").applyInPandas(lambda f: _flight(f, False), _UNITS))
-    rest = flown.filter("p > 0 AND p < 1").groupBy("source").applyInPandas(lambda f: _flight(f, True), _UNITS)
-    return flown.filter("p = 0 OR p = 1").unionByName(rest).select("uid", F.col("p").cast("long").alias("extra"))
+    settled = []
+    for turn in count():
+        per = durable(units.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("buckets")))
+        if per.filter("buckets > 1").isEmpty():
+            break
+        salt = F.pmod(F.xxhash64("uid", F.lit("bucket"), F.lit(turn)), F.col("buckets"))
+        salted = units.alias("u").join(per.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", salt.alias("bucket"))
+        # a bucket leaves a few units open
+        flown = durable(salted.groupBy("source", "bucket").applyInPandas(lambda f: _flight(f, False), _UNITS))
+        settled.append(flown.filter("p = 0 OR p = 1"))
+        units = flown.filter("p > 0 AND p < 1")
+    landed = units.groupBy("source").applyInPandas(lambda f: _flight(f, True), _UNITS)
+    return reduce(DataFrame.unionByName, [*settled, landed]).select("uid", F.col("p").cast("long").alias("extra"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -193,16 +202,24 @@ def drawn(docs: DataFrame) -> DataFrame:
 
 
 def take(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with ``size``, ``source_size``, ``target``, ``taken`` and ``times``.
+    """Pipeline stage: the documents that the mix takes, with ``size``, ``source_size``, ``target``, ``taken`` and ``times``.
 
+    A document taken twice is one row with ``times`` 2; documents taken no time go.
     Equal rows (doc_id, source, text) share what they are taken together as evenly as whole numbers allow,
     the first one most.
     """
     own = ["size", "source_size", "target", "taken", "times"]
     plan = drawn(docs)
     order = Window.partitionBy("doc_id", "version", "source").orderBy(F.col("times").desc())
-    ranked = plan.withColumn("_n", F.row_number().over(order)).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("source").alias("_source"), "_n", *own)
-    rest = docs.drop(*own).withColumn("_hash", F.xxhash64("text"))
-    numbered = rest.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_hash", "source").orderBy(F.lit(0))))
-    matched = numbered.join(ranked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_m") == F.col("_n")))
-    return matched.select(*[c for c in docs.columns if c not in own], *own)
+    ranked = plan.withColumn("n", F.row_number().over(order)).select(F.col("doc_id").alias("doc"), F.col("version").alias("of"), F.col("source").alias("from"), "n", *own)
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("version"), "source")
+    numbered = boxed.withColumn("m", F.row_number().over(Window.partitionBy("doc_id", "version", "source").orderBy(F.lit(0))))
+    matched = numbered.join(ranked, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("version") == F.col("of")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("m") == F.col("n")))
+    names = [*own]
+    for c in docs.columns:
+        name = c
+        while name in names or name != c and name in docs.columns:
+            name += "_in"
+        names.append(name)
+    kept = [F.col("row")[c].alias(n) for c, n in zip(docs.columns, names[len(own) :], strict=True)]
+    return matched.filter("times > 0").select(*kept, *own)

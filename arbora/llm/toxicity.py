@@ -167,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"weights": weights, "bias": bias, "voters": mined, "prior": model.prior, "fire_toxic": model.on, "fire_clean": model.off, "correlation": model.correlation}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``, a row for each document."""
+def scored(texts: DataFrame, model: dict) -> DataFrame:
+    """``(key, score)`` for each row of ``texts(key, text)``; key is a long."""
     at = np.flatnonzero(model["weights"])
     weight_of, bias = dict(zip(at.tolist(), model["weights"][at].tolist(), strict=True)), model["bias"]
 
@@ -188,10 +188,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                         hits.update(own)
                 logit = bias + sum(weight_of[b] for b in sorted(hits))
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, logit)))))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": scores})
+            yield pd.DataFrame({"key": frame["key"], "score": scores})
+
+    return texts.select("key", "text").mapInPandas(run, "key long, score double")
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)``, a row for each document."""
+    out = scored(docs.select(F.col("doc_id").alias("key"), "text"), model)
+    return out.select(F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,6 +204,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored as toxic go; rows without a doc_id stay."""
-    bad = score(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    """Pipeline stage: documents whose text is scored as toxic go, with or without a doc_id; columns may have any names."""
+    texts = docs.select(F.xxhash64("text").alias("key"), "text")
+    bad = scored(texts, fit(docs, table(spark, sf_dir, "labels"))).filter("score >= 0.5").select("key").distinct()
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("version"))
+    return boxed.join(bad, F.col("version") == F.col("key"), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, embed_dedup, line_dedup, simhash
+from arbora.llm import _shared, decontaminate, embed_dedup, line_dedup, simhash
 from arbora.llm._shared import Forest, components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -104,9 +104,9 @@ def test_keep_one_keeps_different_texts_of_one_id_or_none(spark):
     assert sorted(map(str, again)) == sorted(map(str, simhash.keep_one(docs).collect()))
 
 
-@pytest.mark.parametrize("tile", [65_536, 32])
-def test_keep_one_finds_similar_documents(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "STAGE_TILE", tile)
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_keep_one_finds_similar_documents(spark, monkeypatch, bucket):
+    monkeypatch.setattr(_shared, "BUCKET_ROWS", bucket)
     rng = random.Random(21)
     texts = [prose(rng, rng.choice([9, 12, 25, 60, 150])) for _ in range(30)]
     for t in list(texts):
@@ -126,30 +126,32 @@ def test_keep_one_finds_similar_documents(spark, monkeypatch, tile):
     assert want <= got and len(got) <= len(want) + 1
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
+@pytest.mark.parametrize("tile", [4096, 16, 2])
 def test_embeddings_match_brute_force(spark, monkeypatch, tile):
+    """Ids are shared by some rows and missing in others; each row is a vector of its own."""
     monkeypatch.setattr(embed_dedup, "TILE_ROWS", tile)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 24))
     near = base[rng.integers(0, 60, 90)] + rng.standard_normal((90, 24)) * rng.choice([0.02, 0.1, 0.3, 0.45], (90, 1))
     vectors = [v.astype(np.float32).tolist() for v in np.concatenate([base, near, base[:5], base[:3] * 2])]
     vectors += [None, [], [0.0] * 24, [1.0] * 23 + [None], [float("nan")] * 24, [float("inf")] + [0.0] * 23, [1e-30] * 24, [1.0] * 23]
-    rows = [(len(vectors) - k, v, k % 3, 1) for k, v in enumerate(vectors)]
+    at = math.cos(math.acos(0.9))
+    vectors += [[1.0, 0.0], [at, math.sqrt(1 - at * at)], [0.0, 0.0, 0.0, 0.0, 1.0]]
+    ids = [None if k % 17 == 3 else len(vectors) - k - k % 2 for k in range(len(vectors))]
+    rows = [(i, v, k, 1) for k, (i, v) in enumerate(zip(ids, vectors, strict=True))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int")
-    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
-    assert len(got) == len(rows)
-    good = {i: np.array(v, np.float64) for i, v, _, _ in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    ids = sorted(got)
-    forest, n = Forest(len(ids)), dict.fromkeys(ids, 0)
-    for a, i in enumerate(ids):
-        for b, j in enumerate(ids[:a]):
-            if i in good and j in good and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= 0.9:
-                n[i] += 1
-                n[j] += 1
+    good = [np.array(v, np.float32).astype(np.float64) if v and all(x is not None and np.isfinite(x) for x in v) and any(v) else None for v in vectors]
+    forest, n = Forest(len(rows)), [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if good[a] is not None and good[b] is not None and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.9:
+                n[a] += 1
+                n[b] += 1
                 forest.join(np.array([a]), np.array([b]))
-    assert {i: r.n_links for i, r in got.items()} == n
-    assert {i: r.component_id for i, r in got.items()} == {i: ids[forest.root[k]] for k, i in enumerate(ids)}
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    smallest = {c: min((ids[k] for k in range(len(rows)) if forest.root[k] == c and ids[k] is not None), default=None) for c in set(forest.root.tolist())}
+    want = sorted((str(ids[k]), n[k], str(smallest[int(forest.root[k])]), ids[k] == smallest[int(forest.root[k])]) for k in range(len(rows)))
+    got = embed_dedup.near_duplicates(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -239,7 +241,7 @@ def test_line_dedup_recall_by_kind_of_line(spark):
 
 
 def test_line_dedup_meets_lines_outside_the_largest_group(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(_shared, "BUCKET_ROWS", 8)
     rng = random.Random(78)
     base = prose(rng, 40)
     rows = [(k, edited(rng, base, rng.randrange(1, 6)), "s") for k in range(120)]
@@ -263,7 +265,7 @@ def test_line_stage_keeps_columns_of_any_name_and_rows_without_id(spark):
 
 def test_sieve_loses_no_key(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
-    kept = {r.k for r in line_dedup.sieve(rows, "k", rows.filter("k % 50 = 0")).collect()}
+    kept = {r.k for r in _shared.sieve(rows, "k", rows.filter("k % 50 = 0")).collect()}
     assert {k for k in range(0, 5000, 50)} <= kept and len(kept) < 400
 
 
