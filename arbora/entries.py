@@ -9,13 +9,15 @@ reported as a verdict.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import vectors
-from arbora.operators import factor, hmatrix, solvers
+from arbora.operators import factor, hmatrix, products, solvers
 from arbora.plans import clustering
 from arbora.plans.clustering import Clustering
 from arbora.sources import points as sources
@@ -23,7 +25,7 @@ from arbora.sources import points as sources
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _EXACT = hmatrix.Options(eta=1e-300)
-_P = "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings) "
+_P = "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings), q AS (SELECT vec_id, CAST(embedding[4] AS DOUBLE) x, CAST(embedding[5] AS DOUBLE) y, CAST(embedding[6] AS DOUBLE) z FROM embeddings) "
 _D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 
 
@@ -46,6 +48,17 @@ def _tree(spark, sf_dir, where: str = "true", **how):
     return clustering.build(emb3(spark, sf_dir).filter(where).select("point_id", "coords"), Clustering(leaf=100, **how))
 
 
+def _other(spark, sf_dir, **how):
+    """Another cloud of the same ids: the fourth to sixth components."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return clustering.build(e.select(F.col("vec_id").alias("point_id"), F.transform(F.slice("embedding", 4, 3), lambda v: v.cast("double")).alias("coords")), Clustering(leaf=100, **how))
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    e = emb3(spark, sf_dir)
+    return clustering.with_defaults(e).join(e.select("point_id", "label"), "point_id")
+
+
 def _ones(df: DataFrame) -> DataFrame:
     return df.select("point_id", (F.col("point_id") % 7 + 1).cast("double").alias("val"))
 
@@ -70,10 +83,10 @@ def kernel_matvec_symmetric(spark, sf_dir):
     return _rounded(hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eta=1e-300, symmetry="S", uplo="L")).user_product(_ones(t.points)))
 
 
-@query(_P + _MATVEC.format(d=_D, where="WHERE a.label % 2 = 1 AND b.label % 2 = 0"))
+@query(_P + _MATVEC.format(d=_D, where="").replace("FROM p a, p b", "FROM q a, p b"))
 def kernel_transpose(spark, sf_dir):
-    """A has the even labels as rows, the odd ones as columns; this is its transpose."""
-    t, s = _tree(spark, sf_dir, "label % 2 = 0"), _tree(spark, sf_dir, "label % 2 = 1")
+    """A has the points as rows, another cloud of as many as columns; this is its transpose."""
+    t, s = _tree(spark, sf_dir), _other(spark, sf_dir)
     return _rounded(hmatrix.assemble(t, s, "ex_inv1", _EXACT).user_product(_ones(t.points), trans="T"))
 
 
@@ -103,9 +116,9 @@ def owner_partition_matvec(spark, sf_dir):
     return _rounded(t.to_user(out.groupBy("pos").agg(F.sum("val").alias("val"))))
 
 
-@query(_P + f"SELECT a.vec_id AS point_id, round(sum((b.vec_id % 7 + 1)/(1+{_D})) + sum((b.vec_id % 7 + 1)/(1e-5+4*pi()*{_D})), 6) AS y FROM p a, p b WHERE a.label % 2 = 0 AND b.label % 2 = 1 GROUP BY a.vec_id")
+@query(_P + f"SELECT a.vec_id AS point_id, round(sum((b.vec_id % 7 + 1)/(1+{_D})) + sum((b.vec_id % 7 + 1)/(1e-5+4*pi()*{_D})), 6) AS y FROM p a, q b GROUP BY a.vec_id")
 def operator_sum_matvec(spark, sf_dir):
-    t, s = _tree(spark, sf_dir, "label % 2 = 0"), _tree(spark, sf_dir, "label % 2 = 1")
+    t, s = _tree(spark, sf_dir), _other(spark, sf_dir)
     x = _ones(s.points)
     both = [hmatrix.assemble(t, s, k, _EXACT).user_product(x) for k in ("ex_inv1", "reg_sym")]
     return _rounded(both[0].unionByName(both[1]).groupBy("point_id").agg(F.sum("val").alias("val")))
@@ -115,7 +128,7 @@ def operator_sum_matvec(spark, sf_dir):
 def matrix_frobenius(spark, sf_dir):
     t = _tree(spark, sf_dir)
     e = hmatrix.assemble(t, t, "ex_inv1", _EXACT).entries()
-    return e.agg(F.round(F.sqrt(F.sum(F.col("val") * F.col("val"))), 6).alias("norm"), F.count(F.lit(1)).alias("entries"))
+    return vectors.frobenius(e).select(F.round("norm", 6).alias("norm")).crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("entries"))))
 
 
 @query("SELECT vec_id AS point_id, 1.0::DOUBLE AS val FROM embeddings")
@@ -126,31 +139,27 @@ def matrix_diagonal(spark, sf_dir):
 
 @query(_P + "SELECT round(min(x),6) AS lo_x, round(max(x),6) AS hi_x, round(max(x)-min(x),6) AS ext_x, round(max(y)-min(y),6) AS ext_y, round(max(z)-min(z),6) AS ext_z FROM p")
 def bounding_box(spark, sf_dir):
-    c = emb3(spark, sf_dir).select(*[F.col("coords")[k].alias(n) for k, n in enumerate("xyz")])
-    ext = [F.round(F.max(n) - F.min(n), 6).alias(f"ext_{n}") for n in "xyz"]
-    return c.agg(F.round(F.min("x"), 6).alias("lo_x"), F.round(F.max("x"), 6).alias("hi_x"), *ext)
+    r = clustering.statistics(clustering.with_defaults(emb3(spark, sf_dir)))
+    ext = [F.round(F.col("high")[k] - F.col("low")[k], 6).alias(f"ext_{n}") for k, n in enumerate("xyz")]
+    return r.select(F.round(F.col("low")[0], 6).alias("lo_x"), F.round(F.col("high")[0], 6).alias("hi_x"), *ext)
 
 
 @query(_P + ", c AS (SELECT label, avg(x) cx, avg(y) cy, avg(z) cz FROM p GROUP BY label) SELECT p.label AS label, round(any_value(cx),6) AS cx, round(any_value(cy),6) AS cy, round(any_value(cz),6) AS cz, round(max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))),6) AS radius, count(*) AS n FROM p JOIN c USING (label) GROUP BY p.label")
 def cluster_center_radius(spark, sf_dir):
-    p = emb3(spark, sf_dir)
-    center = p.groupBy("label").agg(*[F.avg(F.col("coords")[k]).alias(f"c{n}") for k, n in enumerate("xyz")])
-    gap = vectors.norm2(vectors.minus(F.col("coords"), F.array("cx", "cy", "cz")))
-    agg = p.join(center, "label").groupBy("label").agg(*[F.round(F.first(f"c{n}"), 6).alias(f"c{n}") for n in "xyz"], F.round(F.max(gap), 6).alias("radius"), F.count(F.lit(1)).alias("n"))
-    return agg
+    r = clustering.radii(_labelled(spark, sf_dir), "label")
+    return r.select("label", *[F.round(F.col("center")[k], 6).alias(f"c{n}") for k, n in enumerate("xyz")], F.round("radius", 6).alias("radius"), "n")
 
 
 @query(_P + "SELECT round(sum((label+1)*x)/sum(label+1),6) AS cx, round(sum((label+1)*y)/sum(label+1),6) AS cy, round(sum((label+1)*z)/sum(label+1),6) AS cz FROM p")
 def weighted_center(spark, sf_dir):
-    w = F.col("label") + 1
-    return emb3(spark, sf_dir).agg(*[F.round(F.sum(w * F.col("coords")[k]) / F.sum(w), 6).alias(f"c{n}") for k, n in enumerate("xyz")])
+    r = clustering.statistics(_labelled(spark, sf_dir).withColumn("weight", (F.col("label") + 1).cast("double")))
+    return r.select(*[F.round(F.col("center")[k], 6).alias(f"c{n}") for k, n in enumerate("xyz")])
 
 
 @query(_P + ", m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz FROM p) SELECT round(sum((x-mx)*(x-mx)),6) AS xx, round(sum((x-mx)*(y-my)),6) AS xy, round(sum((x-mx)*(z-mz)),6) AS xz, round(sum((y-my)*(y-my)),6) AS yy, round(sum((y-my)*(z-mz)),6) AS yz, round(sum((z-mz)*(z-mz)),6) AS zz FROM p, m")
 def covariance_matrix(spark, sf_dir):
-    c = emb3(spark, sf_dir).select(*[F.col("coords")[k].alias(n) for k, n in enumerate("xyz")])
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    return c.agg(*[F.round(F.covar_samp(a, b) * (F.count(F.lit(1)) - 1), 6).alias(a + b) for a, b in pairs])
+    c = clustering.statistics(clustering.with_defaults(emb3(spark, sf_dir)))
+    return c.select(*[F.round(F.col("covariance")[i][j], 6).alias("xyz"[i] + "xyz"[j]) for i in range(3) for j in range(i, 3)])
 
 
 @query(_P + ", r AS (SELECT vec_id, row_number() OVER (ORDER BY x, vec_id) - 1 rn, count(*) OVER () n FROM p) SELECT least(rn // (n // 3), 2) AS child, count(*) AS size, min(vec_id) AS first_id, max(vec_id) AS last_id FROM r GROUP BY 1")
@@ -180,18 +189,10 @@ def permutation_roundtrip(spark, sf_dir):
 
 @query(_P + ", c AS (SELECT label, avg(x) cx, avg(y) cy, avg(z) cz FROM p GROUP BY label), r AS (SELECT label, any_value(cx) cx, any_value(cy) cy, any_value(cz) cz, max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))) rad FROM p JOIN c USING (label) GROUP BY label) SELECT a.label AS t, b.label AS s, 2*least(a.rad,b.rad) < 1000.0*greatest(sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))-a.rad-b.rad, 0) AS admissible FROM r a, r b WHERE a.label <= b.label")
 def admissible_pairs(spark, sf_dir):
-    """The admissibility predicate as a join of the cluster table with itself."""
-    c = cluster_center_radius_exact(spark, sf_dir)
-    other = c.select(*[F.col(n).alias(f"o_{n}") for n in c.columns])
-    gap = vectors.norm2(vectors.minus(F.col("center"), F.col("o_center"))) - F.col("radius") - F.col("o_radius")
-    ok = 2 * F.least("radius", "o_radius") < 1000.0 * F.greatest(gap, F.lit(0.0))
-    return c.join(other, F.col("label") <= F.col("o_label")).select(F.col("label").alias("t"), F.col("o_label").alias("s"), ok.alias("admissible"))
-
-
-def cluster_center_radius_exact(spark, sf_dir):
-    p = emb3(spark, sf_dir)
-    center = p.groupBy("label").agg(F.array(*[F.avg(F.col("coords")[k]) for k in range(3)]).alias("center"))
-    return p.join(center, "label").groupBy("label", "center").agg(F.max(vectors.norm2(vectors.minus(F.col("coords"), F.col("center")))).alias("radius"))
+    """The admissibility predicate on the table of labels as clusters."""
+    c = clustering.radii(_labelled(spark, sf_dir), "label").select(F.col("label").alias("id"), "center", "radius")
+    ids = c.select(F.col("id").alias("t"))
+    return hmatrix.blocks.admissible_pairs(c, ids.join(c.select(F.col("id").alias("s")), F.col("t") <= F.col("s")), 1000.0)
 
 
 @query("WITH n AS (SELECT count(*) n FROM embeddings) SELECT CAST(n*n AS BIGINT) AS entries, true AS tiles FROM n")
@@ -316,3 +317,243 @@ def hmatrix_information(spark, sf_dir):
     """The report, as facts that hold at every size."""
     _, h = _parts(spark, sf_dir)
     return h.information().select((F.col("compression_ratio") >= 1).alias("ratio_above_one"), (F.col("space_saving") >= 0).alias("saves"), "entries")
+
+
+# --- compressed, against the exact sum in SQL -------------------------------------
+
+
+def _scaled_sql(table: str, key: str, a: str, b: str) -> str:
+    span = lambda c: f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"
+    return f"WITH p AS (SELECT {key} AS id, {span(a)} AS x, {span(b)} AS y FROM (SELECT {key}, CAST({a} AS DOUBLE) AS {a}, CAST({b} AS DOUBLE) AS {b} FROM {table})), n AS (SELECT count(*) AS n FROM p) "
+
+
+_D2 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
+_PARTS = _scaled_sql("part", "p_partkey", "p_size", "p_retailprice")
+_SUPPLIERS = _scaled_sql("supplier", "s_suppkey", "s_suppkey", "s_acctbal")
+_MEAN = f"SELECT a.id AS point_id, round(sum((b.id % 7 + 1) / (1 + {_D2})) / any_value(n), 4) AS y FROM p a, p b, n GROUP BY a.id"
+
+
+def _mean(y: DataFrame, n: int, digits: int = 4) -> DataFrame:
+    """Products divided by the number of points, so that an error within eps seldom changes the rounding."""
+    return y.select("point_id", F.round(F.col("val") / n, digits).alias("y"))
+
+
+def _points2(spark, sf_dir, table: str, key: str, a: str, b: str, **how):
+    return clustering.build(sources.normalised(spark.read.parquet(f"{sf_dir}/{table}.parquet"), key, a, b), Clustering(leaf=40, **how))
+
+
+def _compressed(spark, sf_dir, compressor: str) -> DataFrame:
+    """All parts with one compressor; 1/(1+d) within 1e-12, compared to three digits: crosses stop by an estimate of their error."""
+    t = _points2(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    h = hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-12, eta=2.0, compressor=compressor))
+    return _mean(h.user_product(_ones(t.points)), t.size, 3)
+
+
+def _compressor_query(compressor: str) -> None:
+    def run(spark, sf_dir):
+        return _compressed(spark, sf_dir, compressor)
+
+    run.__name__ = f"compressed_{compressor}"
+    query(_PARTS + _MEAN.replace(", 4)", ", 3)"))(run)
+
+
+for _name in sorted(hmatrix.COMPRESSORS):
+    _compressor_query(_name)
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, epoch(CAST(o_orderdate AS TIMESTAMP)) AS t, CAST(o_totalprice AS DOUBLE) AS v FROM orders), p AS (SELECT id, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) AS x, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS y FROM o), n AS (SELECT count(*) AS n FROM p) " + f"SELECT a.id AS point_id, round(sum(1 / (1 + {_D2})) / any_value(n), 4) AS y FROM p a, p b, n GROUP BY a.id")
+def hmatrix_orders_checked(spark, sf_dir):
+    """The flagship's product within 1e-10, so that it can be compared with the sum over all pairs."""
+    t = clustering.build(_orders(spark, sf_dir), Clustering(leaf=100))
+    h = hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-10, symmetry="S", uplo="L"))
+    return _mean(h.user_product(t.points.select("point_id", F.lit(1.0).alias("val"))), t.size)
+
+
+# --- factorisations and triangles: the solution is known -----------------------------
+
+_KNOWN = "SELECT s_suppkey AS point_id, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS x FROM supplier"
+
+
+def _suppliers(spark, sf_dir, **options):
+    t = _points2(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey", "s_acctbal")
+    return t, hmatrix.assemble(t, t, "ex_inv5", hmatrix.Options(eps=1e-12, eta=5.0, **options))
+
+
+def _found(x: DataFrame) -> DataFrame:
+    return x.select("point_id", F.round("val", 3).alias("x"))
+
+
+@query(_KNOWN)
+def lu_solution(spark, sf_dir):
+    """Factorised once, solved in user numbering."""
+    t, h = _suppliers(spark, sf_dir)
+    return _found(factor.factorise(h, "lu").user_solve(h.user_product(_ones(t.points))))
+
+
+@query(_KNOWN.replace("AS x FROM", "AS x, CAST(1 AS DOUBLE) AS one FROM"))
+def lu_solution_transposed(spark, sf_dir):
+    """Two right sides of the transposed system with the same factors."""
+    t, h = _suppliers(spark, sf_dir)
+    x = t.points.select("point_id", F.array((F.col("point_id") % 7 + 1).cast("double"), F.lit(1.0)).alias("val"))
+    got = factor.factorise(h, "lu").user_solve(h.user_product(x, "T"), "T")
+    return got.select("point_id", F.round(F.col("val")[0], 3).alias("x"), F.round(F.col("val")[1], 3).alias("one"))
+
+
+@query(_KNOWN)
+def cholesky_solution(spark, sf_dir):
+    t, h = _suppliers(spark, sf_dir, symmetry="S", uplo="L")
+    return _found(factor.factorise(h, "cholesky").user_solve(h.user_product(_ones(t.points))))
+
+
+@query(_KNOWN.replace("SELECT ", "SELECT side, uplo, trans, ") + ", (VALUES ('L'), ('R')) s(side), (VALUES ('L'), ('U')) u(uplo), (VALUES ('N'), ('T')) t(trans)")
+def triangular_solutions(spark, sf_dir):
+    """Every side, triangle and transpose: the right side is made from the triangle's entries."""
+    t, h = _suppliers(spark, sf_dir)
+    x, e, out = t.to_cluster(_ones(t.points)), h.entries(), []
+    for side, uplo, trans in product("LR", "LU", "NT"):
+        triangle = e.filter("i >= j" if uplo == "L" else "i <= j")
+        turned = triangle if (trans == "N") == (side == "L") else vectors.transpose(triangle)
+        b = vectors.gemv(turned, x).select(F.col("i").alias("pos"), "val")
+        got = _found(t.to_user(factor.triangular_solve(h, b, side, uplo, trans)))
+        out.append(got.select(F.lit(side).alias("side"), F.lit(uplo).alias("uplo"), F.lit(trans).alias("trans"), "point_id", "x"))
+    return reduce(DataFrame.unionByName, out)
+
+
+# --- products that are matrices ---------------------------------------------------------
+
+_K = f"k AS (SELECT a.id AS i, b.id AS j, 1 / (1 + {_D2}) AS v FROM p a, p b)"
+
+
+def _smooth(spark, sf_dir, **options):
+    t = _points2(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey", "s_acctbal")
+    return t, hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-12, eta=5.0, **options))
+
+
+@query(_SUPPLIERS.rstrip() + f", {_K}, y AS (SELECT k.i AS i, sum(k.v * (k.j % 7 + 1)) AS v FROM k GROUP BY k.i) SELECT k.i AS point_id, round(sum(k.v * y.v) / any_value(n) / any_value(n), 4) AS y FROM k JOIN y ON k.j = y.i, n GROUP BY k.i")
+def hmatrix_product_matvec(spark, sf_dir):
+    """The product of two hierarchical matrices is one again; here it is applied to a vector."""
+    t, h = _smooth(spark, sf_dir)
+    return _mean(factor.product(h, h).user_product(_ones(t.points)), t.size * t.size)
+
+
+def _low_rank(t) -> products.LowRank:
+    """u = (1, id % 5), v = (1, id % 3)."""
+    side = lambda k: t.points.select("pos", F.array(F.lit(1.0), (F.col("point_id") % k).cast("double")).alias("val"))
+    return products.LowRank(side(5), side(3))
+
+
+_UV = "(1 + (a.id % 5) * (b.id % 3))"
+
+
+@query(_SUPPLIERS + f"SELECT a.id AS point_id, round(sum({_UV} * (b.id % 7 + 1)) / any_value(n), 4) AS y, round(sum((1 + (b.id % 5) * (a.id % 3)) * (b.id % 7 + 1)) / any_value(n), 4) AS yt FROM p a, p b, n GROUP BY a.id")
+def low_rank_matvec(spark, sf_dir):
+    t, _ = _smooth(spark, sf_dir)
+    x, a = t.to_cluster(_ones(t.points)), _low_rank(t)
+    both = a.times(x).join(a.times(x, "T").select("pos", F.col("val").alias("other")), "pos")
+    return t.to_user(both).select("point_id", F.round(F.col("val") / t.size, 4).alias("y"), F.round(F.col("other") / t.size, 4).alias("yt"))
+
+
+@query(_SUPPLIERS.rstrip() + f", {_K}, w AS (SELECT a.id AS i, sum({_UV} * (b.id % 7 + 1)) AS v FROM p a, p b GROUP BY a.id), hl AS (SELECT k.i AS i, sum(k.v * w.v) AS v FROM k JOIN w ON k.j = w.i GROUP BY k.i), kx AS (SELECT k.i AS i, sum(k.v * (k.j % 7 + 1)) AS v FROM k GROUP BY k.i), lh AS (SELECT a.id AS i, sum({_UV} * kx.v) AS v FROM p a, p b JOIN kx ON kx.i = b.id GROUP BY a.id) SELECT hl.i AS point_id, round(hl.v / n / n, 4) AS hl, round(lh.v / n / n, 4) AS lh FROM hl JOIN lh ON hl.i = lh.i, n")
+def hmatrix_low_rank_products(spark, sf_dir):
+    """H (U V^T) x and (U V^T) H x, each product formed as a low-rank matrix and rounded."""
+    t, h = _smooth(spark, sf_dir)
+    x, a = t.to_cluster(_ones(t.points)), _low_rank(t)
+    one, other = (m.rounded(1e-14).times(x) for m in (products.hmatrix_low_rank(h, a), products.low_rank_hmatrix(a, h)))
+    both = t.to_user(one.join(other.select("pos", F.col("val").alias("lh")), "pos"))
+    n = t.size * t.size
+    return both.select("point_id", F.round(F.col("val") / n, 4).alias("hl"), F.round(F.col("lh") / n, 4).alias("lh"))
+
+
+@query(_SUPPLIERS + f"SELECT a.id AS point_id, round(sum((1 / (1 + {_D2}) + {_UV}) * (b.id % 7 + 1)) / any_value(n), 4) AS y FROM p a, p b, n GROUP BY a.id")
+def hmatrix_plus_low_rank(spark, sf_dir):
+    t, h = _smooth(spark, sf_dir)
+    return _mean(products.add_low_rank(h, _low_rank(t)).user_product(_ones(t.points)), t.size)
+
+
+@query(_SUPPLIERS + f"SELECT round(sqrt(sum({_UV} * {_UV})) / any_value(n), 4) AS norm, 2 AS rank FROM p a, p b, n")
+def low_rank_rounding(spark, sf_dir):
+    """A + A - A has rank six before rounding and two after."""
+    t, _ = _smooth(spark, sf_dir)
+    a = _low_rank(t)
+    r = a.plus(a).plus(a.scaled(-1.0)).rounded(1e-9)
+    return spark.createDataFrame([(round(r.frobenius() / t.size, 4), r.rank)], "norm double, rank int")
+
+
+# --- complex numbers, partitions, parts of operators ---------------------------------------
+
+
+@query(_P + f", s AS (SELECT a.vec_id AS i, sum(1/(1+{_D})) AS r, sum((b.vec_id % 7 + 1)/(1+{_D})) AS m FROM p a, p b GROUP BY a.vec_id) SELECT i AS point_id, round(2 * r + m, 6) AS re, round(2 * m - r, 6) AS im FROM s")
+def complex_matvec(spark, sf_dir):
+    """(2 - i) A x for the complex vector x = 1 + i (id % 7 + 1)."""
+    t = _tree(spark, sf_dir)
+    x = t.points.select("point_id", F.array(F.lit(1.0), (F.col("point_id") % 7 + 1).cast("double")).alias("val"))
+    y = hmatrix.assemble(t, t, "ex_inv1", _EXACT).user_product(x, alpha=2 - 1j, complex_x=True)
+    return y.select("point_id", F.round(F.col("val")[0], 6).alias("re"), F.round(F.col("val")[1], 6).alias("im"))
+
+
+def _by_thirds(spark, sf_dir):
+    """A partition that the user gives: the rest of the id by three."""
+    p = emb3(spark, sf_dir).select("point_id", "coords")
+    return clustering.build(p, Clustering(leaf=100), partition=p.select("point_id", (F.col("point_id") % 3).cast("int").alias("owner")))
+
+
+@query(_P + _MATVEC.format(d=_D, where=""))
+def given_partition_matvec(spark, sf_dir):
+    t = _by_thirds(spark, sf_dir)
+    return _rounded(hmatrix.assemble(t, t, "ex_inv1", _EXACT).user_product(_ones(t.points)))
+
+
+@query("SELECT CAST(vec_id % 3 AS INTEGER) AS owner, count(*) AS size, CAST(count(*) * any_value(n) AS BIGINT) AS entries FROM embeddings, (SELECT count(*) AS n FROM embeddings) GROUP BY 1")
+def information_by_owner(spark, sf_dir):
+    """The report by owner: each has as many rows as points, over all columns."""
+    t = _by_thirds(spark, sf_dir)
+    h = hmatrix.assemble(t, t, "ex_inv1", hmatrix.Options(eps=1e-4))
+    sizes = t.nodes().filter("on_partition").select("owner", "size")
+    return h.information("owner").join(sizes, "owner").select("owner", "size", "entries")
+
+
+@query("SELECT vec_id AS point_id, CAST(least(vec_id // (n // 4), 3) AS INTEGER) AS owner FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
+def ranges_partition(spark, sf_dir):
+    """A partition into ranges of the points' own numbers."""
+    p = emb3(spark, sf_dir).select("point_id", "coords")
+    n = p.count()
+    ranges = [(k * (n // 4), n // 4 if k < 3 else n - 3 * (n // 4)) for k in range(4)]
+    t = clustering.from_ranges(p, ranges, Clustering(leaf=100))
+    owners = t.nodes().filter("on_partition").select("offset", "size", "owner")
+    return t.points.join(F.broadcast(owners), (F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("size"))).select("point_id", "owner")
+
+
+@query(_P + _MATVEC.format(d=_D, where="WHERE a.vec_id % 3 = 1 AND b.vec_id % 3 = 1"))
+def local_to_local_matvec(spark, sf_dir):
+    """The part of one owner in and out, each by its own numbers from 0."""
+    t = _by_thirds(spark, sf_dir)
+    off, size = t.part(1)
+    inside = (F.col("pos") >= off) & (F.col("pos") < off + size)
+    x = t.to_cluster(_ones(t.points)).filter(inside).withColumn("pos", F.col("pos") - off)
+    y = hmatrix.assemble(t, t, "ex_inv1", _EXACT).local_product(1, x)
+    return _rounded(t.to_user(y.withColumn("pos", F.col("pos") + off)))
+
+
+_LINES = "WITH a AS (SELECT greatest(l_orderkey % 30, l_partkey % 30) AS i, least(l_orderkey % 30, l_partkey % 30) AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2), w AS (SELECT i, j, v FROM a UNION ALL SELECT j, i, v FROM a WHERE i <> j), b AS (SELECT l_partkey % 30 AS i, l_suppkey % 20 AS j, CAST(sum(l_discount) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2) "
+
+
+def _lower(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    i, j = F.col("l_orderkey") % 30, F.col("l_partkey") % 30
+    a = l.groupBy(F.greatest(i, j).alias("i"), F.least(i, j).alias("j")).agg(F.sum("l_quantity").cast("double").alias("val"))
+    b = l.groupBy((F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.sum("l_discount").cast("double").alias("val"))
+    return a, b
+
+
+@query(_LINES + "SELECT w.i AS i, b.j AS j, round(sum(w.v * b.v), 3) AS val FROM w JOIN b ON w.j = b.i GROUP BY 1, 2")
+def symmetric_product_coo(spark, sf_dir):
+    """A of which the lower triangle is stored, times B."""
+    a, b = _lower(spark, sf_dir)
+    return vectors.symm(a, b).select("i", "j", F.round("val", 3).alias("val"))
+
+
+@query(_LINES + "SELECT x.i - 2 AS i, x.j - 3 AS j, round(x.v, 3) AS val FROM (SELECT i, j, sum(v) AS v FROM (SELECT i, j, 2 * v AS v FROM w UNION ALL SELECT i, j, -3 * v FROM b) GROUP BY i, j) x WHERE x.i BETWEEN 2 AND 11 AND x.j BETWEEN 3 AND 10")
+def matrix_sum_block(spark, sf_dir):
+    """Ten rows and eight columns of 2 A - 3 B."""
+    a, b = _lower(spark, sf_dir)
+    return vectors.block(vectors.combine(vectors.from_half(a), b, 2.0, -3.0), (2, 10), (3, 8)).select("i", "j", F.round("val", 3).alias("val"))

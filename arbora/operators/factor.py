@@ -7,13 +7,17 @@ the solution as a table.
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.hmatrix import HMatrix, unpack
+from arbora.operators.hmatrix import SCHEMA, HMatrix, pack, unpack
 from arbora.operators.htree import HNode, from_block
+from arbora.sources.storage import durable
 
 PAYLOAD_BYTES = 1 << 30
 
@@ -38,28 +42,123 @@ def _tree(frame: pd.DataFrame, plan, eps: float, symmetry: str) -> HNode:
     return from_block(plan, leaf_of, eps, symmetry)
 
 
-def solve(h: HMatrix, rhs: DataFrame, method: str = "lu", eps: float | None = None) -> DataFrame:
-    """``(pos, val)`` with A val = rhs; ``method`` is lu or cholesky, val an array of right sides or a double."""
-    if method not in ("lu", "cholesky"):
-        raise ValueError("method is lu or cholesky")
-    if method == "lu" and not h.options.consistent:
-        raise ValueError("LU needs a consistent block tree")
-    _check(h)
-    plan, tol, symmetry = h.plan, h.options.eps if eps is None else eps, h.options.symmetry
+@dataclass(frozen=True)
+class Factorisation:
+    """A factorised matrix, kept as one row of a checkpointed table, that solves again and again."""
+
+    made: DataFrame
+    h: HMatrix
+    method: str
+
+    def solve(self, rhs: DataFrame, trans: str = "N") -> DataFrame:
+        """``(pos, val)`` with op(A) val = rhs; val a double, or an array for several right sides."""
+        if trans not in ("N", "T", "C"):
+            raise ValueError("trans is N, T or C")
+        method = self.method
+
+        def run(tree: HNode, b: np.ndarray) -> np.ndarray:
+            if method == "lu":
+                return tree.lu_solve(b, trans)
+            # op of a symmetric or hermitian matrix is itself or its conjugate
+            return tree.cholesky_solve(b) if trans != "T" else tree.cholesky_solve(b.conj()).conj()
+
+        return _with_tree(self.made, rhs, run)
+
+    def user_solve(self, rhs: DataFrame, trans: str = "N") -> DataFrame:
+        """The same in user numbering: ``(point_id, val)``."""
+        rows, cols = (self.h.target, self.h.source) if trans == "N" else (self.h.source, self.h.target)
+        return cols.to_user(self.solve(rows.to_cluster(rhs), trans))
+
+
+def _with_tree(made: DataFrame, rhs: DataFrame, f) -> DataFrame:
+    """``(pos, val)`` of ``f(tree, right sides)`` in one task; ``made`` has one row with the pickled tree."""
     many = dict(rhs.dtypes)["val"].startswith("array")
     vector = rhs.select(F.lit(0).alias("k"), "pos", (F.col("val") if many else F.array("val")).alias("val"))
 
-    def run(blocks: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        tree = _tree(blocks, plan, tol, symmetry)
+    def run(tree: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("pos")
-        values = np.stack(b["val"].to_list()).astype(float)
-        x = tree.factorise_lu().lu_solve(values) if method == "lu" else tree.factorise_cholesky().cholesky_solve(values)
-        return pd.DataFrame({"pos": b["pos"].to_numpy(), "val": list(x.real)})
+        x = f(pickle.loads(bytes(tree["tree"].iloc[0])), np.stack(b["val"].to_list()).astype(float))
+        return pd.DataFrame({"pos": b["pos"].to_numpy(), "val": list(np.ascontiguousarray(x.real))})
 
-    one = h.leaves.withColumn("k", F.lit(0)).groupBy("k").cogroup(vector.groupBy("k")).applyInPandas(run, "pos long, val array<double>")
+    one = made.select(F.lit(0).alias("k"), "tree").groupBy("k").cogroup(vector.groupBy("k")).applyInPandas(run, "pos long, val array<double>")
     return one if many else one.select("pos", F.col("val")[0].alias("val"))
 
 
+def _made(h: HMatrix, eps: float | None, f) -> DataFrame:
+    """One row with the pickled tree that f has worked on, checkpointed."""
+    _check(h)
+    plan, tol, symmetry = h.plan, h.options.eps if eps is None else eps, h.options.symmetry
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tree": [pickle.dumps(f(_tree(blocks, plan, tol, symmetry)))]})
+
+    return durable(h.leaves.withColumn("k", F.lit(0)).groupBy("k").applyInPandas(run, "tree binary"))
+
+
+def factorise(h: HMatrix, method: str = "lu", eps: float | None = None) -> Factorisation:
+    """``method`` is lu, or cholesky for positive definite matrices."""
+    if method not in ("lu", "cholesky"):
+        raise ValueError("method is lu or cholesky")
+    if method == "lu" and not h.options.consistent:
+        raise ValueError("LU needs a consistent block tree")
+    return Factorisation(_made(h, eps, HNode.factorise_lu if method == "lu" else HNode.factorise_cholesky), h, method)
+
+
+def solve(h: HMatrix, rhs: DataFrame, method: str = "lu", eps: float | None = None) -> DataFrame:
+    """``(pos, val)`` with A val = rhs; ``method`` is lu or cholesky, val an array of right sides or a double."""
+    return factorise(h, method, eps).solve(rhs)
+
+
+def triangular_solve(h: HMatrix, rhs: DataFrame, side: str = "L", uplo: str = "L", trans: str = "N", unit: bool = False) -> DataFrame:
+    """op(T)^-1 B, or B op(T)^-1 with side R, for one triangle T of A.
+
+    B is ``(pos, val)``, val an array along its columns; with side R pos numbers B's columns and val goes along its rows.
+    """
+    if side not in ("L", "R") or uplo not in ("L", "U") or trans not in ("N", "T", "C"):
+        raise ValueError("side is L or R, uplo L or U, trans N, T or C")
+    lower = uplo == "L"
+
+    def run(tree: HNode, b: np.ndarray) -> np.ndarray:
+        if side == "L":
+            return tree.triangular(b, lower, trans, unit)
+        # rows of B op(T)^-1 are columns of op(T)^-T B^T
+        if trans == "C":
+            return tree.triangular(b.conj(), lower, "N", unit).conj()
+        return tree.triangular(b, lower, "T" if trans == "N" else "N", unit)
+
+    return _with_tree(_made(h, None, lambda tree: tree), rhs, run)
+
+
+def product(a: HMatrix, b: HMatrix, eps: float | None = None) -> HMatrix:
+    """A B as a hierarchical matrix with A's rows and B's columns, rounded to eps; its blocks are A's."""
+    _check(a)
+    _check(b)
+    if a.options.symmetry != "N":
+        raise ValueError("the blocks of a product are those of the left matrix, which must be stored whole")
+    pa, pb, tol, sb = a.plan, b.plan, a.options.eps if eps is None else eps, b.options.symmetry
+    both = a.leaves.withColumn("which", F.lit(0)).unionByName(b.leaves.withColumn("which", F.lit(1))).withColumn("k", F.lit(0))
+    owners = {(x.t.offset, x.t.size, x.s.offset, x.s.size): (x.t.owner, x.s.owner) for x in pa.leaves()}
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        left, right = (_tree(blocks[blocks["which"] == w], p, tol, s) for w, p, s in ((0, pa, "N"), (1, pb, sb)))
+        out = left.copy()
+        out.scale(0.0)
+        out.add_product(left, right)
+        rows = []
+        for k, node in enumerate(out.leaves()):
+            low = node.factors is not None
+            numbers = node.factors[0] if low else node.dense
+            t_owner, s_owner = owners[*node.t, *node.s]
+            rows.append(
+                {"block_id": k, "t_off": node.t[0], "t_size": node.t[1], "s_off": node.s[0], "s_size": node.s[1], "owner": t_owner, "s_owner": s_owner, "storage": "lowrank" if low else "dense", "symmetry": "N", "mirror": False}
+                | {"rank": numbers.shape[1] if low else -1, "dtype": "complex" if np.iscomplexobj(numbers) else "real", "dense": None if low else pack(node.dense)}
+                | {"u": pack(node.factors[0]) if low else None, "v": pack(node.factors[1]) if low else None, "false_positive": False}
+            )
+        return pd.DataFrame(rows)[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+    return HMatrix(durable(both.groupBy("k").applyInPandas(run, SCHEMA)), a.target, b.source, a.options, a.plan)
+
+
 def multiply(a: HMatrix, b: HMatrix, x: DataFrame, eps: float | None = None) -> DataFrame:
     """(A B) x with the product formed as a hierarchical matrix, rounded to eps."""
     _check(a)

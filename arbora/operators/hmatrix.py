@@ -11,12 +11,12 @@ most ``BROADCAST_BYTES``; beyond that each leaf is joined with the segments that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.kernels import KERNELS, Kernel
@@ -33,14 +33,19 @@ SCHEMA = "block_id long, t_off long, t_size long, s_off long, s_size long, owner
 
 @dataclass(frozen=True)
 class Options:
+    """``compressor`` is a name or ``f(entries, m, n, eps, rank)`` that gives factors or None; ``admissible`` replaces the usual
+    predicate of two nodes; ``dense`` fills several dense blocks at once: it takes pairs of coordinate arrays and gives arrays."""
+
     eps: float = 1e-6
     eta: float = 10.0
     rank: int = -1
-    compressor: str = "sym_partial_aca"
+    compressor: str | Callable = "sym_partial_aca"
     symmetry: str = "N"
     uplo: str = "N"
     consistent: bool = True
     min_depths: tuple[int, int] = (0, 0)
+    admissible: Callable | None = None
+    dense: Callable | None = None
 
 
 def pack(a: np.ndarray) -> np.ndarray:
@@ -57,13 +62,14 @@ def fill(row, kernel: Kernel, x: np.ndarray, y: np.ndarray, options: Options) ->
     """Payload of one leaf; an admissible block that does not compress becomes dense."""
     out = {"storage": "dense", "rank": -1, "dense": None, "u": None, "v": None, "false_positive": False}
     if row.storage == "lowrank":
-        more = {"first": row.t_off >= row.s_off} if options.compressor.endswith("sym_partial_aca") else {}
-        factors = COMPRESSORS[options.compressor](lambda r, c: kernel.block(x[r], y[c]), len(x), len(y), options.eps, options.rank, **more)
+        named = isinstance(options.compressor, str)
+        more = {"first": row.t_off >= row.s_off} if named and options.compressor.endswith("sym_partial_aca") else {}
+        factors = (COMPRESSORS[options.compressor] if named else options.compressor)(lambda r, c: kernel.block(x[r], y[c]), len(x), len(y), options.eps, options.rank, **more)
         if factors is not None:
             u, v = factors
             return out | {"storage": "lowrank", "rank": u.shape[1], "u": pack(u), "v": pack(v), "dtype": "complex" if np.iscomplexobj(u) else "real"}
         out["false_positive"] = True
-    dense = kernel.block(x, y)
+    dense = kernel.block(x, y) if options.dense is None else options.dense([(x, y)])[0]
     return out | {"dense": pack(dense), "dtype": "complex" if np.iscomplexobj(dense) else "real"}
 
 
@@ -89,7 +95,7 @@ def _with_segments(leaves: DataFrame, segments: DataFrame, off: str, size: str,
 def assemble(target: ClusterTree, source: ClusterTree, kernel: Kernel | str, options: Options = Options(), owner: int | None = None) -> HMatrix:
     """Plan the blocks and fill every leaf."""
     kernel = KERNELS[kernel] if isinstance(kernel, str) else kernel
-    plan = blocks.build(target.root, source.root, blocks.rjasanow_steinbach(options.eta), options.symmetry, options.uplo, owner, options.consistent, options.min_depths)
+    plan = blocks.build(target.root, source.root, options.admissible or blocks.rjasanow_steinbach(options.eta), options.symmetry, options.uplo, owner, options.consistent, options.min_depths)
     spark = target.points.sparkSession
     leaves = leaf_plan(plan, spark)
     planned = leaves.columns
@@ -153,10 +159,11 @@ class HMatrix:
     def shape(self) -> tuple[int, int]:
         return self.target.size, self.source.size
 
-    def product(self, x: DataFrame, trans: str = "N", alpha: complex = 1.0, beta: complex = 0.0, y: DataFrame | None = None) -> DataFrame:
+    def product(self, x: DataFrame, trans: str = "N", alpha: complex = 1.0, beta: complex = 0.0, y: DataFrame | None = None, complex_x: bool = False) -> DataFrame:
         """alpha op(A) x + beta y in cluster numbering; x and y are ``(pos, val)``, val a double, or an array for several right sides.
 
-        Output positions are those of op(A)'s rows.
+        Output positions are those of op(A)'s rows. Complex numbers are two successive elements of an array:
+        those of x with ``complex_x``, those of y and of the result if A, x, alpha or beta is complex.
         """
         sym = self.options.symmetry
         if trans not in ("N", "T", "C") or (trans, sym) in (("T", "H"), ("C", "S")):
@@ -165,23 +172,24 @@ class HMatrix:
         many = dict(x.dtypes)["val"].startswith("array")
         width = x.select(F.size("val")).first()[0] if many else 1
         if 16 * n_in * width > BROADCAST_BYTES:
-            return self._product_by_join(x, trans, alpha, beta, y)
+            return self._product_by_join(x, trans, alpha, beta, y, complex_x, width)
         frame = x.toPandas()
-        values = np.stack(frame["val"].to_list()) if many else frame["val"].to_numpy(float)[:, None]
-        full = np.zeros((n_in, width))
+        values = _numbers(frame["val"], many, complex_x)
+        full = np.zeros((n_in, values.shape[1]), values.dtype)
         full[frame["pos"].to_numpy()] = values
         sent = self.leaves.sparkSession.sparkContext.broadcast(full)
-        return self._collected(self.leaves, lambda row: sent.value, trans, sym, many, alpha, beta, y)
+        return self._collected(self.leaves, lambda row: sent.value, trans, sym, many, alpha, beta, y, complex_x, width)
 
-    def _collected(self, leaves: DataFrame, source, trans: str, sym: str, many: bool, alpha, beta, y: DataFrame | None) -> DataFrame:
+    def _collected(self, leaves: DataFrame, source, trans: str, sym: str, many: bool, alpha, beta, y: DataFrame | None, complex_x: bool, width: int) -> DataFrame:
         """Partial products summed inside each task first, then over the tasks."""
         mirrored = "N" if trans != "N" else "C" if sym == "H" else "T"
+        is_complex = complex_x or isinstance(alpha, complex) or isinstance(beta, complex) or self.is_complex
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: dict[int, np.ndarray] = {}
 
             def put(off: int, part: np.ndarray) -> None:
-                sums[off] = sums[off] + part if off in sums and sums[off].shape == part.shape else part if off not in sums else _widen(sums[off], part)
+                sums[off] = part if off not in sums else sums[off] + part if sums[off].shape == part.shape else _widen(sums[off], part)
 
             for frame in frames:
                 for row in frame.itertuples(index=False):
@@ -191,24 +199,26 @@ class HMatrix:
                     if row.mirror:
                         part, _ = _apply(row, x, mirrored)
                         put((cols if mirrored != "N" else rows).start, part)
-            out = [(off + i, v) for off, part in sums.items() for i, v in enumerate(part)]
-            if out:
-                yield pd.DataFrame({"pos": [o for o, _ in out], "parts": [pack(v).tolist() for _, v in out]})
+            for off, part in sums.items():
+                flat = np.ascontiguousarray(alpha * part, complex).view(float) if is_complex else np.asarray(alpha * part, float)
+                yield pd.DataFrame({"pos": off + np.arange(len(flat)), "parts": list(flat)})
 
         partial = leaves.mapInPandas(run, "pos long, parts array<double>")
-        width = partial.select(F.posexplode("parts").alias("col", "v"), "pos")
-        summed = width.groupBy("pos", "col").agg(F.sum("v").alias("v")).groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda s: s["v"]).alias("all"))
-        value = F.transform("all", lambda v: v * float(alpha)) if many or self.is_complex else F.col("all")[0] * float(alpha)
-        out = summed.select("pos", value.alias("val"))
+        columns = width if complex_x or not is_complex else 2 * width
+        sums = [F.sum(F.col("parts")[k]).alias(f"v{k}") for k in range(columns)]
+        summed = partial.groupBy("pos").agg(*sums)
+        as_array = many or is_complex
+        out = summed.select("pos", (F.array(*[f"v{k}" for k in range(columns)]) if as_array else F.col("v0")).alias("val"))
         if y is None:
             return out
-        if many or self.is_complex:
-            mixed = F.zip_with(F.coalesce("val", F.transform("_y", lambda v: v * 0)), F.coalesce("_y", F.transform("val", lambda v: v * 0)), lambda a, b: a + b * float(beta))
+        if as_array:
+            scaled = _times("_y", beta)
+            mixed = F.when(F.col("_y").isNull(), F.col("val")).when(F.col("val").isNull(), scaled).otherwise(F.zip_with("val", scaled, lambda a, b: a + b))
         else:
             mixed = F.coalesce("val", F.lit(0.0)) + F.lit(float(beta)) * F.coalesce("_y", F.lit(0.0))
         return out.join(y.select("pos", F.col("val").alias("_y")), "pos", "full").select("pos", mixed.alias("val"))
 
-    def _product_by_join(self, x: DataFrame, trans: str, alpha, beta, y: DataFrame | None) -> DataFrame:
+    def _product_by_join(self, x: DataFrame, trans: str, alpha, beta, y: DataFrame | None, complex_x: bool, width: int) -> DataFrame:
         many = dict(x.dtypes)["val"].startswith("array")
         segments = _segments(x, "val")
         own = _with_segments(self.leaves, segments, "s_off", "s_size", "xs")
@@ -220,33 +230,81 @@ class HMatrix:
 
             def __getitem__(self, at: slice) -> np.ndarray:
                 got = self.row.xs if (at.start, at.stop) == (self.row.s_off, self.row.s_off + self.row.s_size) else self.row.xt
-                a = np.stack(got) if many else np.asarray(got, float)[:, None]
+                a = _numbers(got, many, complex_x)
                 return a[at.start % SEGMENT : at.start % SEGMENT + at.stop - at.start]
 
-        return self._collected(own, Interval, trans, self.options.symmetry, many, alpha, beta, y)
+        return self._collected(own, Interval, trans, self.options.symmetry, many, alpha, beta, y, complex_x, width)
 
     @property
     def is_complex(self) -> bool:
         return self.leaves.filter("dtype = 'complex'").limit(1).count() > 0
 
-    def user_product(self, x: DataFrame, trans: str = "N", alpha: float = 1.0, beta: float = 0.0, y: DataFrame | None = None) -> DataFrame:
+    def user_product(self, x: DataFrame, trans: str = "N", alpha: complex = 1.0, beta: complex = 0.0, y: DataFrame | None = None, complex_x: bool = False) -> DataFrame:
         """The same in user numbering: ``(point_id, val)``."""
         rows, cols = (self.target, self.source) if trans == "N" else (self.source, self.target)
-        return rows.to_user(self.product(cols.to_cluster(x), trans, alpha, beta, None if y is None else rows.to_cluster(y)))
-
-    def information(self) -> DataFrame:
-        """Ranks, block sizes, numbers stored, compression ratio, space saving, false positives: one row."""
+        return rows.to_user(self.product(cols.to_cluster(x), trans, alpha, beta, None if y is None else rows.to_cluster(y), complex_x))
+
+    def local_product(self, owner: int, x: DataFrame, trans: str = "N") -> DataFrame:
+        """op(A) x with the part of x that one owner holds, ``(pos, val)`` by its own numbers from 0; the result is the owner's part, numbered likewise."""
+        tree_in, tree_out = (self.source, self.target) if trans == "N" else (self.target, self.source)
+        (lo_in, _), (lo_out, n_out) = tree_in.part(owner), tree_out.part(owner)
+        y = self.product(x.withColumn("pos", F.col("pos") + lo_in), trans)
+        return y.filter((F.col("pos") >= lo_out) & (F.col("pos") < lo_out + n_out)).withColumn("pos", F.col("pos") - lo_out)
+
+    def sub_product(self, x: DataFrame, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None) -> DataFrame:
+        """A[rows, columns] x for intervals ``(offset, size)`` in cluster numbering; x and the result count from their beginning."""
+        (r0, m), (c0, n) = rows or (0, self.shape[0]), columns or (0, self.shape[1])
+        y = self.product(x.filter((F.col("pos") >= 0) & (F.col("pos") < n)).withColumn("pos", F.col("pos") + c0))
+        return y.filter((F.col("pos") >= r0) & (F.col("pos") < r0 + m)).withColumn("pos", F.col("pos") - r0)
+
+    def information(self, *by: str) -> DataFrame:
+        """Ranks, block sizes, numbers stored, compression ratio, space saving, false positives: one row, or one for each value of leaf columns, such as ``owner``."""
         stored = F.when(F.col("storage") == "dense", F.col("t_size") * F.col("s_size")).otherwise(F.col("rank") * (F.col("t_size") + F.col("s_size")))
         area = F.col("t_size") * F.col("s_size")
         twice = F.when(F.col("mirror"), 2).otherwise(1)
         low, dense = F.col("storage") == "lowrank", F.col("storage") == "dense"
         of = lambda name, c, test: [f(F.when(test, c)).alias(f"{name}_{n}") for n, f in (("max", F.max), ("mean", F.avg), ("min", F.min))]
-        total = self.leaves.agg(
+        total = self.leaves.groupBy(*by).agg(
             F.sum(dense.cast("long")).alias("dense_blocks"), F.sum(low.cast("long")).alias("low_rank_blocks"), F.sum(F.col("false_positive").cast("long")).alias("false_positives"),
             *of("dense_size", area, dense), *of("low_rank_size", area, low), *of("rank", F.col("rank"), low), F.sum(stored).alias("stored"), F.sum(area * twice).alias("entries"), F.sum(stored * twice).alias("_full"),
         )
         return total.withColumn("compression_ratio", F.col("entries") / F.col("stored")).withColumn("space_saving", 1 - F.col("_full") / F.col("entries")).drop("_full")
 
+    def tree_parameters(self) -> DataFrame:
+        """``(key, value)``: how the two trees and the blocks were made."""
+        o = self.options
+        named = {"eps": o.eps, "eta": o.eta, "rank": o.rank, "compressor": o.compressor if isinstance(o.compressor, str) else "given", "symmetry": o.symmetry, "uplo": o.uplo, "consistent": o.consistent, "min_target_depth": o.min_depths[0], "min_source_depth": o.min_depths[1]}
+        for name, tree in (("target", self.target), ("source", self.source)):
+            leaves = [n for n in tree.root.preorder() if not n.children]
+            named |= {f"{name}_size": tree.size, f"{name}_children": tree.how.children, f"{name}_leaf": tree.how.leaf, f"{name}_clusters": sum(1 for _ in tree.root.preorder()), f"{name}_depth_max": max(n.depth for n in leaves), f"{name}_depth_min": min(n.depth for n in leaves)}
+        return self.leaves.sparkSession.createDataFrame([(k, str(v)) for k, v in named.items()], "key string, value string")
+
+    def block(self, t_off: int, t_size: int, s_off: int, s_size: int) -> HMatrix | None:
+        """The leaves of one block of the tree, with their positions as before; None if the tree has no such block."""
+        found = self.plan.find(t_off, t_size, s_off, s_size) if self.plan is not None else None
+        if found is None:
+            return None
+        inside = (F.col("t_off") >= t_off) & (F.col("t_off") + F.col("t_size") <= t_off + t_size) & (F.col("s_off") >= s_off) & (F.col("s_off") + F.col("s_size") <= s_off + s_size)
+        return replace(self, leaves=self.leaves.filter(inside), plan=found)
+
+    def low_rank_leaves(self) -> DataFrame:
+        return self.leaves.filter("storage = 'lowrank'")
+
+    def block_errors(self, kernel: Kernel | str) -> DataFrame:
+        """``(block_id, rank, error, norm)``: Frobenius distance of each low-rank leaf from the kernel's block, and that block's norm."""
+        exact = assemble(self.target, self.source, kernel, replace(self.options, admissible=self.options.admissible or blocks.rjasanow_steinbach(self.options.eta), compressor=_never))
+        whole = exact.leaves.select("t_off", "t_size", "s_off", "s_size", F.col("dense").alias("exact"), F.col("dtype").alias("exact_type"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for row in frame.itertuples(index=False):
+                    a = unpack(row.exact, row.t_size, row.s_size, row.exact_type)
+                    rows.append((row.block_id, row.rank, float(np.linalg.norm(a - block_of(row))), float(np.linalg.norm(a))))
+                yield pd.DataFrame(rows, columns=["block_id", "rank", "error", "norm"])
+
+        return self.low_rank_leaves().join(whole, ["t_off", "t_size", "s_off", "s_size"]).mapInPandas(run, "block_id long, rank int, error double, norm double")
+
     def ranks(self) -> DataFrame:
         """Leaves with their rank, -1 for dense ones."""
         return self.leaves.select("t_off", "t_size", "s_off", "s_size", "rank")
@@ -321,6 +379,25 @@ class HMatrix:
         return replace(self, leaves=self.leaves.sparkSession.read.parquet(path))
 
 
+def _never(entries, m: int, n: int, eps: float, rank: int) -> None:
+    """A compressor that leaves every block dense."""
+
+
+def _numbers(values, many: bool, is_complex: bool) -> np.ndarray:
+    """Rows of right sides; complex ones from their interleaved parts."""
+    a = np.stack([np.asarray(v, float) for v in values]) if many else np.asarray(values, float)[:, None]
+    return np.ascontiguousarray(a).view(complex) if is_complex else a
+
+
+def _times(column: str, k: complex) -> Column:
+    """An array times a number; for a complex one the array has interleaved complex numbers."""
+    if not isinstance(k, complex):
+        return F.transform(column, lambda v: v * float(k))
+    part = lambda i, j: F.get(column, 2 * i + j)
+    both = lambda i: F.array(part(i, 0) * k.real - part(i, 1) * k.imag, part(i, 0) * k.imag + part(i, 1) * k.real)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(column) / 2).cast("int") - 1), both))
+
+
 def _widen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sum of two intervals that begin at one place."""
     long, short = (a, b) if len(a) >= len(b) else (b, a)

@@ -6,7 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from arbora.functions import vectors
 from arbora.plans.clustering import Node
 
 Admissible = Callable[[Node, Node], bool]
@@ -20,6 +23,14 @@ def rjasanow_steinbach(eta: float) -> Admissible:
     return check
 
 
+def admissible_pairs(clusters: DataFrame, pairs: DataFrame, eta: float) -> DataFrame:
+    """``pairs(t, s)`` with ``admissible``, for ``clusters(id, center, radius)``: the same predicate on tables."""
+    side = lambda n: clusters.select(F.col("id").alias(n), F.col("center").alias(f"c{n}"), F.col("radius").alias(f"r{n}"))
+    gap = vectors.norm2(vectors.minus(F.col("ct"), F.col("cs"))) - F.col("rt") - F.col("rs")
+    near = 2 * F.least("rt", "rs") < eta * F.greatest(gap, F.lit(0.0))
+    return pairs.join(side("t"), "t").join(side("s"), "s").select("t", "s", near.alias("admissible"))
+
+
 @dataclass
 class Block:
     """A pair of clusters; ``storage`` is dense, lowrank (admissible) or tree; ``mirror`` leaves stand for their transpose too."""
@@ -42,6 +53,32 @@ class Block:
                 yield block
 
 
+    def walk(self):
+        """All blocks, parents first."""
+        stack = [self]
+        while stack:
+            block = stack.pop()
+            yield block
+            stack += reversed(block.children)
+
+    def holds(self, other: Block) -> bool:
+        """Whether the other block lies within this one; both of one tree: whether this is its ancestor or itself."""
+        inside = lambda a, b: a.offset <= b.offset and b.offset + b.size <= a.offset + a.size
+        return inside(self.t, other.t) and inside(self.s, other.s) and self.depth <= other.depth
+
+    def find(self, t_off: int, t_size: int, s_off: int, s_size: int) -> Block | None:
+        """The block of exactly these rows and columns; of several the deepest, None if there is none."""
+        found = None
+        for block in self.walk():
+            if (block.t.offset, block.t.size, block.s.offset, block.s.size) == (t_off, t_size, s_off, s_size):
+                found = block
+        return found
+
+    def levels(self) -> list[tuple[int, int, int, int, int, str]]:
+        """``(depth, t_off, t_size, s_off, s_size, storage)`` of all blocks."""
+        return [(b.depth, b.t.offset, b.t.size, b.s.offset, b.s.size, b.storage) for b in self.walk()]
+
+
 def same(t: Node, s: Node) -> bool:
     return t.offset == s.offset and t.size == s.size
 

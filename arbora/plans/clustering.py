@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.sources.storage import durable
@@ -56,6 +57,8 @@ class Node:
     counter: int = 0
     on_partition: bool = False
     children: list[Node] = field(default_factory=list)
+    #: Whether the node is split further, above the partition always.
+    split: bool = True
 
     def preorder(self) -> Iterator[Node]:
         stack = [self]
@@ -135,7 +138,7 @@ def parts(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, how: Clustering, n
 
 def subtree(x: np.ndarray, ids: np.ndarray, radius: np.ndarray, weight: np.ndarray, how: Clustering, offset: int = 0, depth: int = 0, owner: int = -1, counter: int = 0, root: bool = True) -> tuple[Node, np.ndarray]:
     """The tree below a node and the order of its points."""
-    levels, surplus = partition_levels(how)
+    levels, _ = partition_levels(how)
     order = np.arange(len(x))
 
     def grow(begin: int, size: int, depth: int, owner: int, counter: int, split: bool) -> Node:
@@ -144,8 +147,7 @@ def subtree(x: np.ndarray, ids: np.ndarray, radius: np.ndarray, weight: np.ndarr
         above = how.owners > 1 and depth < levels
         if not (split or above):
             return node
-        n = how.children if not above or levels > 1 else how.owners
-        n += surplus if above and depth == levels - 1 and levels > 1 and counter == how.children ** (levels - 1) - 1 else 0
+        n = width(how, depth, counter)
         groups = parts(x[own], ids[own], weight[own], how, n) if size >= n else []
         if len(groups) != n or any(not len(g) for g in groups):
             return node
@@ -159,10 +161,18 @@ def subtree(x: np.ndarray, ids: np.ndarray, radius: np.ndarray, weight: np.ndarr
             begin += len(g)
         return node
 
-    top = grow(0, len(x), depth, 0 if owner < 0 and how.owners == 1 else owner, counter, root or len(x) > how.leaf)
+    top = grow(0, len(x), depth, 0 if owner < 0 and how.owners == 1 else owner, counter, root)
     return top, order
 
 
+def width(how: Clustering, depth: int, counter: int) -> int:
+    """How many children a node gets; those above the partition lead to one node an owner, the last of them takes the surplus."""
+    levels, surplus = partition_levels(how)
+    above = how.owners > 1 and depth < levels
+    n = how.children if not above or levels > 1 else how.owners
+    return n + (surplus if above and depth == levels - 1 and levels > 1 and counter == how.children ** (levels - 1) - 1 else 0)
+
+
 def partition_levels(how: Clustering) -> tuple[int, int]:
     """Depth of the partition, and the children that its last node has more than the others."""
     if how.owners <= 1:
@@ -198,6 +208,13 @@ class ClusterTree:
             stack += [(c, own, i) for i, c in reversed(list(enumerate(node.children)))]
         return spark.createDataFrame(rows, "node_id long, parent_id long, depth int, child_index int, owner int, offset long, size long, counter long, radius double, center array<double>, on_partition boolean, is_leaf boolean")
 
+    def part(self, owner: int) -> tuple[int, int]:
+        """``(offset, size)`` of an owner's points in cluster numbering."""
+        for node in self.root.preorder():
+            if node.on_partition and node.owner == owner:
+                return node.offset, node.size
+        raise ValueError(f"no part has the owner {owner}")
+
     def permutation(self) -> DataFrame:
         return self.points.select("pos", "point_id")
 
@@ -225,88 +242,153 @@ def with_defaults(points: DataFrame) -> DataFrame:
     return points.select("point_id", "coords", *[(F.col(c).cast("double") if c in points.columns else F.lit(v)).alias(c) for c, v in extra.items()])
 
 
-def build(points: DataFrame, how: Clustering = Clustering(), local: int = LOCAL) -> ClusterTree:
-    """Cluster ``points(point_id, coords[, radius, weight])``."""
-    cloud = durable(with_defaults(points).withColumn("offset", F.lit(0).cast("long")))
+def statistics(cloud: DataFrame, *by: str) -> DataFrame:
+    """``(by..., n, weight, center, covariance, low, high)`` of the points ``(coords, weight)`` of each group: one aggregation.
+
+    ``covariance`` is the weighted sum of the outer products about the center, as rows.
+    """
+    d = cloud.select(F.size("coords")).first()[0]
+    c = lambda k: F.col("coords")[k]
+    sums = cloud.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), *[F.sum(F.col("weight") * c(k)).alias(f"s{k}") for k in range(d)],
+        *[F.sum(F.col("weight") * c(i) * c(j)).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)],
+        *[f(c(k)).alias(f"{name}{k}") for k in range(d) for f, name in ((F.min, "lo"), (F.max, "hi"))],
+    )
+    center = lambda k: F.col(f"s{k}") / F.col("weight")
+    about = lambda i, j: F.col(f"q{max(i, j)}_{min(i, j)}") - F.col("weight") * center(i) * center(j)
+    return sums.select(
+        *by, "n", "weight", F.array(*[center(k) for k in range(d)]).alias("center"), F.array(*[F.array(*[about(i, j) for j in range(d)]) for i in range(d)]).alias("covariance"),
+        F.array(*[F.col(f"lo{k}") for k in range(d)]).alias("low"), F.array(*[F.col(f"hi{k}") for k in range(d)]).alias("high"),
+    )
+
+
+def reach(center: Column, coords: Column, radius: Column) -> Column:
+    """Distance of a point's far end from a center; its largest value in a cluster is the cluster's radius."""
+    return F.sqrt(F.aggregate(F.zip_with(coords, center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) + radius
+
+
+def radii(cloud: DataFrame, *by: str) -> DataFrame:
+    """``statistics`` with the ``radius`` of each group; the centers are joined back, so the points are read twice."""
+    per = statistics(cloud, *by)
+    own = cloud.join(per.select(*by, "center"), list(by)) if by else cloud.crossJoin(F.broadcast(per.select("center")))
+    wide = own.groupBy(*by).agg(F.max(reach(F.col("center"), F.col("coords"), F.col("radius"))).alias("radius"))
+    return per.join(wide, list(by)) if by else per.crossJoin(F.broadcast(wide))
+
+
+def build(points: DataFrame, how: Clustering = Clustering(), local: int = LOCAL, partition: DataFrame | None = None) -> ClusterTree:
+    """Cluster ``points(point_id, coords[, radius, weight])``.
+
+    ``partition`` ``(point_id, owner)`` gives the parts, numbered from 0; then the root has a child for each of them,
+    in their order, which is clustered on its own. Without it ``how.owners`` parts are made.
+    """
+    # rank orders the points of a node that is not split any more: by its parent's direction, or by id if it has none
+    cloud = durable(with_defaults(points).withColumns({"offset": F.lit(0).cast("long"), "rank": F.lit(0).cast("long")}))
     n = cloud.count()
     if not n:
         raise ValueError("a cluster tree needs at least one point")
     if cloud.filter("coords IS NULL OR exists(coords, x -> x IS NULL OR isnan(x))").limit(1).count():
         raise ValueError("coordinates must not be null or NaN")
-    open_, root, placed = [Node(0, n, 0, np.zeros(0), 0.0, 0 if how.owners == 1 else -1)], None, cloud
     levels, _ = partition_levels(how)
-    root = open_[0]
-    if n > local and (how.split != "regular" or how.axes):
+    root = Node(0, n, 0, np.zeros(0), 0.0, 0 if how.owners == 1 and partition is None else -1)
+    root.on_partition = root.owner >= 0
+    open_, placed = [root], cloud
+    if partition is not None:
+        if how.owners > 1:
+            raise ValueError("owners are given by the partition or made, not both")
+        levels = 1
+        open_, placed = _by_partition(cloud, root, partition, how)
+    if max(node.size for node in open_) > local and (how.split != "regular" or how.axes):
         raise ValueError("clouds of over LOCAL points are split regularly along one axis")
-    while any(node.size > local for node in open_):
+    while any(node.size > local and node.split for node in open_):
         open_, placed = _split_level(placed, open_, how, local, levels)
     return _finish(placed, root, open_, how)
 
 
+def from_ranges(points: DataFrame, ranges: list[tuple[int, int]], how: Clustering = Clustering(), local: int = LOCAL) -> ClusterTree:
+    """Cluster with a partition into ranges ``(offset, size)`` of the points' own numbers ``point_id``, which go from 0 without a gap."""
+    ends = np.cumsum([size for _, size in ranges])
+    if [off for off, _ in ranges] != [0, *ends[:-1].tolist()]:
+        raise ValueError("the ranges follow each other from 0")
+    owner = reduce(lambda c, k: F.when(F.col("point_id") < int(ends[k]), F.lit(k)).otherwise(c), range(len(ranges) - 1, -1, -1), F.lit(None).cast("int"))
+    return build(points, how, local, points.select("point_id", owner.alias("owner")))
+
+
+def _by_partition(cloud: DataFrame, root: Node, partition: DataFrame, how: Clustering) -> tuple[list[Node], DataFrame]:
+    """The root's children by the given owners; every point has one, and owners are 0, 1, ... without a gap."""
+    owned = durable(cloud.drop("offset").join(partition.select("point_id", F.col("owner").cast("int").alias("owner")), "point_id", "left"))
+    counts = {r.owner: r["count"] for r in owned.groupBy("owner").count().collect()}
+    if sorted(counts, key=lambda o: -1 if o is None else o) != list(range(len(counts))):
+        raise ValueError("each point needs an owner, numbered from 0 without a gap")
+    begin = 0
+    for owner in range(len(counts)):
+        large = any(c > how.leaf for c in counts.values())
+        node = Node(begin, counts[owner], 1, np.zeros(0), 0.0, owner, owner, True, split=counts[owner] > how.leaf or how.complete and large)
+        root.children.append(node)
+        begin += node.size
+    all_ = radii(owned.withColumn("one", F.lit(0)), "one").first()
+    root.center, root.radius = np.array(all_.center), all_.radius
+    at = owned.sparkSession.createDataFrame([(c.owner, c.offset) for c in root.children], "owner int, offset long")
+    return list(root.children), durable(owned.join(F.broadcast(at), "owner").drop("owner"))
+
+
 def _split_level(cloud: DataFrame, open_: list[Node], how: Clustering, local: int, levels: int) -> tuple[list[Node], DataFrame]:
-    """One level for all nodes over ``local``: aggregates, one range sort, new offsets."""
-    spark, large = cloud.sparkSession, {n.offset: n for n in open_ if n.size > local}
-    d = cloud.select(F.size("coords")).first()[0]
-    own = cloud.filter(F.col("offset").isin(list(large)))
-    c = lambda k: F.col("coords")[k]
-    stats = own.groupBy("offset").agg(
-        F.sum("weight").alias("w"), *[F.sum(F.col("weight") * c(k)).alias(f"s{k}") for k in range(d)],
-        *[F.sum(F.col("weight") * c(i) * c(j)).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)],
-        *[f(c(k)).alias(f"{name}{k}") for k in range(d) for f, name in ((F.min, "lo"), (F.max, "hi"))],
-    ).collect()
+    """One level for all nodes over ``local`` that are split: aggregates, one range sort, new offsets."""
+    spark, large = cloud.sparkSession, {n.offset: n for n in open_ if n.size > local and n.split}
+    named = spark.createDataFrame([(k,) for k in large], "offset long")
     axes = []
-    for r in stats:
-        mean = np.array([r[f"s{k}"] for k in range(d)]) / r["w"]
-        cov = np.array([[r[f"q{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)]) - r["w"] * np.outer(mean, mean)
-        vectors, _ = axes_of(how.direction, cov, np.array([r[f"lo{k}"] for k in range(d)]), np.array([r[f"hi{k}"] for k in range(d)]))
-        axes.append((r["offset"], vectors[:, 0].tolist(), mean.tolist()))
-        large[r["offset"]].center = mean
-    axis = spark.createDataFrame(axes, "offset long, axis array<double>, mean array<double>")
+    for r in radii(cloud.join(F.broadcast(named), "offset"), "offset").collect():
+        vectors, _ = axes_of(how.direction, np.array(r.covariance), np.array(r.low), np.array(r.high))
+        axes.append((r.offset, vectors[:, 0].tolist()))
+        large[r.offset].center, large[r.offset].radius = np.array(r.center), r.radius
+    axis = spark.createDataFrame(axes, "offset long, axis array<double>")
     dot = F.aggregate(F.zip_with("coords", "axis", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    apart = F.sqrt(F.aggregate(F.zip_with("coords", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) + F.col("radius")
-    aimed = cloud.join(F.broadcast(axis), "offset", "left").withColumn("along", F.coalesce(dot, F.lit(0.0))).withColumn("apart", apart)
-    for r in aimed.filter("axis IS NOT NULL").groupBy("offset").agg(F.max("apart").alias("radius")).collect():
-        large[r["offset"]].radius = r["radius"]
+    aimed = cloud.join(F.broadcast(axis), "offset", "left").withColumn("along", F.coalesce(dot, F.lit(0.0)))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = durable(aimed.drop("axis", "mean", "apart").repartitionByRange(shuffles, "offset", "along", "point_id").sortWithinPartitions("offset", "along", "point_id").withColumn("at", F.monotonically_increasing_id()))
+    ordered = durable(aimed.drop("axis").repartitionByRange(shuffles, "offset", "along", "point_id").sortWithinPartitions("offset", "along", "point_id").withColumn("at", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in ordered.groupBy(F.shiftright("at", 33)).count().collect()}
     before = np.concatenate([[0], np.cumsum([counts[k] for k in sorted(counts)])])
     first = spark.createDataFrame([(int(k), int(b)) for k, b in zip(sorted(counts), before, strict=False)], "part long, before long")
     pos = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(first), "part").withColumn("pos", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    out, moved = [n for n in open_ if n.size <= local], []
+    out, moved = [n for n in open_ if n.offset not in large], []
     for node in large.values():
-        k = how.children
-        if how.owners > 1 and node.depth < levels and levels == 1:
-            k = how.owners
-        ends = [*(node.size // k * (i + 1) for i in range(k - 1)), node.size]
+        k = width(how, node.depth, node.counter)
+        above = how.owners > 1 and node.depth < levels
+        ends = cut(np.arange(node.size), k, "regular")
         begin = 0
         for i, end in enumerate(ends):
             number = node.counter * how.children + i
-            owner = node.owner if node.owner >= 0 else number if node.depth + 1 == levels else -1
-            child = Node(node.offset + begin, end - begin, node.depth + 1, np.zeros(0), 0.0, owner, number, node.depth + 1 == levels)
+            owner = node.owner if not above or node.depth < levels - 1 else number
+            child = Node(node.offset + begin, end - begin, node.depth + 1, np.zeros(0), 0.0, owner, number, owner >= 0 and node.depth + 1 == levels)
             node.children.append(child)
             out.append(child)
             moved.append((node.offset, child.offset, child.offset + child.size))
             begin = end
+        most = max(child.size for child in node.children)
+        for child in node.children:
+            child.split = child.size > how.leaf or how.complete and most > how.leaf
+            # nodes above the partition are split whatever their size
+            child.split = child.split or how.owners > 1 and child.depth < levels
     table = spark.createDataFrame(moved, "offset long, new long, stop long")
     joined = pos.join(F.broadcast(table), (pos["offset"] == table["offset"]) & (F.col("pos") >= F.col("new")) & (F.col("pos") < F.col("stop")), "left")
-    placed = joined.select("point_id", "coords", "radius", "weight", F.coalesce("new", pos["offset"]).alias("offset"))
+    rank = F.when(F.col("new").isNull(), pos["rank"]).otherwise(F.col("pos"))
+    placed = joined.select("point_id", "coords", "radius", "weight", F.coalesce("new", pos["offset"]).alias("offset"), rank.alias("rank"))
     return out, durable(placed)
 
 
 def _finish(cloud: DataFrame, root: Node, open_: list[Node], how: Clustering) -> ClusterTree:
     """Whole subtrees of the open nodes, a task each; their nodes come to the driver, their points stay."""
-    start = {n.offset: (n.depth, n.owner, n.counter) for n in open_}
+    start = {n.offset: (n.depth, n.owner, n.counter, n.split, n.on_partition) for n in open_}
     schema = _POINTS + ", nodes binary"
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
         offset = int(key[0])
-        frame = frame.sort_values("point_id", kind="stable")
+        frame = frame.sort_values(["rank", "point_id"], kind="stable")
         x = np.stack(frame["coords"].to_list()).astype(float)
-        depth, owner, counter = start[offset]
-        top, order = subtree(x, frame["point_id"].to_numpy(), frame["radius"].to_numpy(float), frame["weight"].to_numpy(float), how, offset, depth, owner, counter, depth == 0)
+        depth, owner, counter, split, on_partition = start[offset]
+        top, order = subtree(x, frame["point_id"].to_numpy(), frame["radius"].to_numpy(float), frame["weight"].to_numpy(float), how, offset, depth, owner, counter, split)
+        top.on_partition = on_partition
         frame = frame.iloc[order]
         nodes = [None] * len(frame)
         nodes[0] = pickle.dumps(top)
@@ -315,7 +397,8 @@ def _finish(cloud: DataFrame, root: Node, open_: list[Node], how: Clustering) ->
     done = durable(cloud.groupBy("offset").applyInPandas(run, schema))
     import pickle
 
+    at = {n.offset: n for n in open_}
     for r in done.filter("nodes IS NOT NULL").select("pos", "nodes").collect():
-        made, node = pickle.loads(bytes(r["nodes"])), next(n for n in open_ if n.offset == r["pos"])
+        made, node = pickle.loads(bytes(r["nodes"])), at[r["pos"]]
         node.center, node.radius, node.children, node.on_partition, node.owner = made.center, made.radius, made.children, made.on_partition, made.owner
     return ClusterTree(root, done.drop("nodes"), how)

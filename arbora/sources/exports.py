@@ -47,3 +47,43 @@ def dot_lines(h: HMatrix) -> DataFrame:
     name = F.concat_ws("_", "t_off", "t_size", "s_off", "s_size")
     colour = F.when(F.col("storage") == "dense", F.lit("red")).otherwise(F.lit("green"))
     return h.leaves.select(F.format_string('"%s" [label="%d x %d, rank %d", fillcolor=%s, style=filled];', name, "t_size", "s_size", "rank", colour).alias("value"))
+
+
+def dot_tree_lines(h: HMatrix) -> DataFrame:
+    """Graphviz lines of the whole block tree: a node a block, an edge from each block to its children."""
+    name = lambda b: f"{b.t.offset}_{b.t.size}_{b.s.offset}_{b.s.size}_{b.depth}"
+    colour = {"dense": "red", "lowrank": "green", "tree": "white"}
+    lines = []
+    for b in h.plan.walk():
+        lines.append(f'"{name(b)}" [label="{b.t.size} x {b.s.size}", fillcolor={colour[b.storage]}, style=filled];')
+        lines += [f'"{name(b)}" -> "{name(c)}";' for c in b.children]
+    return h.leaves.sparkSession.createDataFrame([(k, x) for k, x in enumerate(["digraph {", *lines, "}"])], "line long, value string")
+
+
+def level_table(h: HMatrix) -> DataFrame:
+    """Every block with its depth: ``(depth, t_off, t_size, s_off, s_size, storage)``."""
+    return h.leaves.sparkSession.createDataFrame(h.plan.levels(), "depth int, t_off long, t_size long, s_off long, s_size long, storage string")
+
+
+def save_levels(h: HMatrix, path: str) -> None:
+    level_table(h).orderBy("depth", "t_off", "s_off").write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_properties(tree: ClusterTree, path: str) -> None:
+    """CSV of ``key,value``: how the tree was made, its size and depths."""
+    leaves = [n for n in tree.root.preorder() if not n.children]
+    rows = {"size": tree.size, "dimension": len(tree.root.center), "children": tree.how.children, "leaf": tree.how.leaf, "direction": tree.how.direction, "split": tree.how.split, "owners": tree.how.owners, "depth_max": max(n.depth for n in leaves), "depth_min": min(n.depth for n in leaves)}
+    tree.points.sparkSession.createDataFrame([(k, str(v)) for k, v in rows.items()], "key string, value string").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def clustered_geometry(tree: ClusterTree, depths: list[int]) -> DataFrame:
+    """``(point_id, coords..., depth, cluster)``: every point with its cluster at each of the depths."""
+    from functools import reduce
+
+    each = [tree.at_depth(d).select("point_id", "coords", F.lit(d).alias("depth"), "cluster") for d in depths]
+    return reduce(DataFrame.unionByName, each)
+
+
+def save_infos(spark, infos: dict[str, str], path: str) -> None:
+    """What a solver tells, as ``key = value`` lines."""
+    spark.createDataFrame([(f"{k} = {v}",) for k, v in infos.items()], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -81,3 +81,19 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"path": p, "i": i.ravel(), "j": j.ravel(), "val": a.ravel()})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, i long, j long, val double")
+
+
+def random_vector(spark: SparkSession, n: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> DataFrame:
+    """``(pos, val)`` of n numbers, uniform between the bounds."""
+    return spark.range(n).select(F.col("id").alias("pos"), (F.rand(seed) * (high - low) + low).alias("val"))
+
+
+def random_matrix(spark: SparkSession, m: int, n: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> DataFrame:
+    """``(i, j, val)`` of a whole m x n matrix, uniform between the bounds."""
+    entries = spark.range(m * n)
+    return entries.select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"), (F.rand(seed) * (high - low) + low).alias("val"))
+
+
+def vector_text(v: np.ndarray) -> str:
+    """A vector as the text ``[a;b;...]`` of numeric tools."""
+    return "[" + ";".join(repr(float(x)) for x in v) + "]"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from arbora.functions import vectors
 from arbora.functions.kernels import KERNELS
-from arbora.operators import hmatrix, solvers
+from arbora.operators import factor, hmatrix, products, solvers
 from arbora.plans import clustering
 from arbora.plans.clustering import Clustering
 from arbora.sources import exports, points
@@ -37,11 +37,133 @@ def values(df):
     return df.orderBy("pos").toPandas()["val"].to_numpy()
 
 
-def test_both_phases_build_one_tree(spark, cloud):
-    whole, split = (clustering.build(cloud, Clustering(leaf=20), local) for local in (1000, 70))
-    shape = lambda t: [(n.offset, n.size, n.depth, round(n.radius, 9)) for n in t.root.preorder()]
+@pytest.mark.parametrize(
+    "how",
+    [
+        Clustering(leaf=20), Clustering(leaf=200), Clustering(leaf=10**9), Clustering(leaf=60, complete=True), Clustering(leaf=100, children=3, direction="box"),
+        Clustering(leaf=20, owners=2), Clustering(leaf=20, owners=5), Clustering(leaf=100, owners=3, children=4), Clustering(leaf=30, owners=10, children=3), Clustering(leaf=200, owners=8),
+    ],
+    ids=str,
+)
+def test_both_phases_build_one_tree(spark, cloud, how):
+    whole, split = (clustering.build(cloud, how, local) for local in (1000, 70))
+    shape = lambda t: [(n.offset, n.size, n.depth, n.owner, n.counter, n.on_partition, round(n.radius, 9)) for n in t.root.preorder()]
     assert shape(whole) == shape(split)
     assert whole.permutation().exceptAll(split.permutation()).count() == 0
+    assert {n.owner for n in whole.root.preorder() if n.on_partition} == set(range(how.owners))
+
+
+def test_given_partitions(spark, cloud):
+    owners = cloud.select("point_id", (F.col("point_id") % 3).cast("int").alias("owner"))
+    for local in (1000, 50):
+        tree = clustering.build(cloud, Clustering(leaf=15), local, owners)
+        parts = [n for n in tree.root.preorder() if n.on_partition]
+        assert [(n.owner, n.size, n.depth) for n in parts] == [(0, 80, 1), (1, 80, 1), (2, 80, 1)] and tree.part(2) == (160, 80)
+        assert tree.points.filter("pos >= 80 AND pos < 160 AND point_id % 3 <> 1").count() == 0
+        assert all(n.size <= 15 for n in tree.root.preorder() if not n.children)
+    ranged = clustering.from_ranges(cloud, [(0, 100), (100, 140)], Clustering(leaf=15))
+    assert ranged.points.filter("pos < 100 AND point_id >= 100").count() == 0
+    for bad in (lambda: clustering.from_ranges(cloud, [(0, 100), (110, 130)]), lambda: clustering.build(cloud, Clustering(owners=2), partition=owners), lambda: clustering.build(cloud, partition=owners.filter("owner > 0"))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_complex_numbers_on_both_paths(spark, made, monkeypatch):
+    tree, h, a = made
+    rng = np.random.default_rng(1)
+    x, y = (rng.random((240, 2)) + 1j * rng.random((240, 2)) for _ in range(2))
+    table = lambda v: spark.createDataFrame([(k, r.view(float).tolist()) for k, r in enumerate(v)], "pos long, val array<double>")
+    for bound in (1 << 20, 1):
+        monkeypatch.setattr(hmatrix, "BROADCAST_BYTES", bound)
+        got = h.product(table(x), "N", 2 - 1j, 1 + 3j, table(y), complex_x=True).orderBy("pos").toPandas()["val"]
+        assert np.allclose(np.stack(got.to_list()).view(complex), (2 - 1j) * (a @ x) + (1 + 3j) * y, rtol=1e-5)
+
+
+def test_factors_solve_again_and_again(spark, made):
+    tree, h, a = made
+    rng = np.random.default_rng(2)
+    b = rng.random(240)
+    lu = factor.factorise(h, "lu", 1e-10)
+    for trans, op in (("N", a), ("T", a.T), ("C", a.T)):
+        assert np.allclose(op @ values(lu.solve(vector(spark, b), trans)), b, rtol=1e-3, atol=1e-3)
+    with pytest.raises(ValueError):
+        factor.factorise(h, "qr")
+
+
+def test_triangles(spark, made):
+    tree, h, a = made
+    b = np.random.default_rng(3).random(240)
+    low = np.tril(a)
+    assert np.allclose(low @ values(factor.triangular_solve(h, vector(spark, b))), b, rtol=1e-4, atol=1e-4)
+    assert np.allclose(values(factor.triangular_solve(h, vector(spark, b), "R", "L", "N")) @ low, b, rtol=1e-4, atol=1e-4)
+    unit = np.tril(a, -1) / 1e6 + np.eye(240)
+    assert np.allclose(unit @ values(factor.triangular_solve(h.scale(1e-6), vector(spark, b), unit=True)), b, rtol=1e-4, atol=1e-4)
+
+
+def test_products_are_matrices(spark, made):
+    tree, h, a = made
+    assert np.linalg.norm(factor.product(h, h).to_numpy() - a @ a) < 1e-4 * np.linalg.norm(a @ a)
+    rng = np.random.default_rng(4)
+    u, v = rng.random((240, 3)), rng.random((240, 3))
+    table = lambda m: spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(m)], "pos long, val array<double>")
+    low = products.LowRank(table(u), table(v))
+    assert np.linalg.norm(products.add_low_rank(h, low).to_numpy() - a - u @ v.T) < 1e-4 * np.linalg.norm(a)
+    x = rng.random(240)
+    assert np.allclose(values(products.low_rank_product(low, low).times(vector(spark, x))), u @ (v.T @ (u @ (v.T @ x))))
+    rounded = low.plus(low).rounded(1e-10)
+    assert rounded.rank == 3 and np.isclose(rounded.frobenius(), 2 * np.linalg.norm(u @ v.T))
+    rows = products.matrix_hmatrix(table(u), h).orderBy("pos").toPandas()["val"]
+    assert np.allclose(np.stack(rows.to_list()).T, u.T @ a, rtol=1e-4)
+    assert np.allclose(values(h.sub_product(vector(spark, x[:50]), (10, 60), (100, 50))), a[10:70, 100:150] @ x[:50], rtol=1e-4)
+
+
+def test_extension_points_and_reports(spark, cloud, made, tmp_path):
+    tree, h, a = made
+    none = hmatrix.assemble(tree, tree, "ex_inv5", hmatrix.Options(compressor=lambda entries, m, n, eps, rank: None))
+    assert none.leaves.filter("storage <> 'dense'").count() == 0 and none.leaves.filter("false_positive").count() > 0
+    never = hmatrix.assemble(tree, tree, "ex_inv5", hmatrix.Options(admissible=lambda t, s: False, dense=lambda pairs: [KERNELS["ex_inv5"].block(x, y) for x, y in pairs]))
+    assert np.allclose(never.to_numpy(), a) and never.leaves.filter("false_positive").count() == 0
+    errors = h.block_errors("ex_inv5").toPandas()
+    assert len(errors) == h.low_rank_leaves().count() and (errors["error"] < 1e-4 * errors["norm"]).all()
+    assert h.information("owner").count() == 2 and h.tree_parameters().filter("key = 'target_leaf' AND value = '20'").count() == 1
+    top = h.plan.children[0]
+    part = h.block(top.t.offset, top.t.size, top.s.offset, top.s.size)
+    assert 0 < part.leaves.count() < h.leaves.count() and h.plan.holds(top) and not top.holds(h.plan) and h.block(1, 2, 3, 4) is None
+    lines = [r.value for r in exports.dot_tree_lines(h).orderBy("line").collect()]
+    assert sum("->" in x for x in lines) == sum(1 for _ in h.plan.walk()) - 1
+    exports.save_levels(h, f"{tmp_path}/levels")
+    exports.save_properties(tree, f"{tmp_path}/properties")
+    exports.save_infos(spark, {"Nb_it": "3"}, f"{tmp_path}/infos")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/levels").count() == len(h.plan.levels())
+    assert spark.read.text(f"{tmp_path}/infos").first().value == "Nb_it = 3"
+    assert exports.clustered_geometry(tree, [0, 2]).groupBy("depth").count().filter("count = 240").count() == 2
+
+
+def test_small_matrix_operators(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.random((6, 6)), rng.random((6, 4))
+    sym, c = np.tril(a) + np.tril(a, -1).T, np.tril(a) + 1j * np.tril(a, -1)
+    herm = c + np.tril(c, -1).conj().T
+    coo = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in np.ndindex(m.shape) if m[i, j]], "i long, j long, val double")
+    coz = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j].real), float(m[i, j].imag)) for i, j in np.ndindex(m.shape) if m[i, j]], "i long, j long, val double, imag double")
+
+    def dense(df, shape, imag=False):
+        out = np.zeros(shape, complex)
+        for r in df.collect():
+            out[r.i, r.j] = r.val + 1j * (r.imag if imag else 0)
+        return out
+
+    assert np.allclose(dense(vectors.symm(coo(np.tril(a)), coo(b)), (6, 4)), sym @ b)
+    assert np.allclose(dense(vectors.symm(coo(np.tril(a)), coo(b.T), "R"), (4, 6)), b.T @ sym)
+    assert np.allclose(dense(vectors.hemm(coz(c), coz(b + 1j * b)), (6, 4), True), herm @ (b + 1j * b))
+    x = spark.createDataFrame([(k, float(k), 1.0) for k in range(6)], "pos long, val double, imag double")
+    assert np.allclose([r.val + 1j * r.imag for r in vectors.hemv(coz(c), x).orderBy("i").collect()], herm @ (np.arange(6) + 1j))
+    assert [r.val for r in vectors.row(coo(a), 2).orderBy("pos").collect()] == a[2].tolist()
+    assert vectors.text_rows(coo(b)).count() == 6
+    one = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], "a/b/name.txt", "1,,2", "x")], "v array<double>, p string, s string, n string")
+    got = one.select(vectors.complex_dot(F.col("v"), F.col("v")).alias("d"), vectors.conjugate(F.col("v")).alias("c"), vectors.base_name(F.col("p")).alias("b"), vectors.pieces(F.col("s"), ",").alias("s"), vectors.number_or_zero(F.col("n")).alias("n"), vectors.padded(F.lit(7), 3).alias("z")).first()
+    assert (got.d, got.c, got.b, got.s, got.n, got.z) == ([30.0, 0.0], [1.0, -2.0, 3.0, -4.0], "name", ["1", "2"], 0.0, "007")
+    assert points.random_matrix(spark, 3, 4).count() == 12 and points.random_vector(spark, 5, 2.0, 3.0).filter("val < 2 OR val > 3").count() == 0
 
 
 def test_products_and_beta(spark, made):
