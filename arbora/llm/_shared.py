@@ -137,7 +137,7 @@ def _to_roots(hung: DataFrame) -> DataFrame:
 
 
 #: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
-SIEVE_WORDS = 1 << 18
+SIEVE_WORDS = 1 << 16
 
 
 def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:

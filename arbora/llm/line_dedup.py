@@ -39,8 +39,8 @@ BAND = 4
 #: Shingles that a long line's sketch takes at least, if so many are distinct.
 SAMPLED = 64
 #: Share of their bins in which two lines agree at least to be compared (0.8 is expected at the least similarity, with 20 bins
-#: a similar pair in 3000 is below), and bins from which on this is asked.
-AGREE = 0.45
+#: one such pair in 400 is below), and bins from which on this is asked.
+AGREE = 0.55
 JUDGED = 12
 _WORDS = tuple(f"w{w}" for w in range((BINS + 6) // 7))
 _BLANKS = " \t\r\x0b\x0c"

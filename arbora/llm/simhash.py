@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import Forest, band_components, band_members, batches, components, durable, tiles, words_of
+from arbora.llm._shared import Forest, band_components, band_members, batches, components, durable, sieve, tiles, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -244,11 +244,11 @@ def banded(hashes: np.ndarray) -> np.ndarray:
 
 
 _MARK = ("n", "fp", *(f"w{k}" for k in range(WIDE_PRINTS)))
-_SKETCH = "node long, " + ", ".join(f"{c} long" for c in _MARK) + ", bands array<long>, grams array<long>"
+_SKETCH = "node long, " + ", ".join(f"{c} long" for c in _MARK) + ", bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(node, mark, bands, grams)`` for each distinct text; node is its hash, the mark has the number of its shingles and its prints."""
+    """``(node, mark, bands)`` for each distinct text; node is its hash, the mark has the number of its shingles and its prints."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
@@ -256,10 +256,22 @@ def sketches(docs: DataFrame) -> DataFrame:
             out = {"node": frame["node"], "n": [len(x) for x in sets], "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64)}
             for k in range(WIDE_PRINTS):
                 out[f"w{k}"] = np.array([majority(mixed(x, k)) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame(out | {"bands": [banded(x) for x in sets], "grams": [x.view(np.int64) for x in sets]})
+            yield pd.DataFrame(out | {"bands": [banded(x) for x in sets]})
 
-    texts = docs.select(F.xxhash64("text").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInPandas(run, _SKETCH).select("node", F.struct(*_MARK).alias("mark"), "bands", "grams")
+    made = docs.select(F.xxhash64("text").alias("node"), "text").mapInPandas(run, _SKETCH)
+    # equal texts have equal sketches, so the short rows are deduplicated instead of the texts
+    return made.dropDuplicates(["node"]).select("node", F.struct(*_MARK).alias("mark"), "bands")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, grams)`` of the texts whose hashes are among ``nodes(node)``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames):
+            yield pd.DataFrame({"node": frame["node"], "grams": [shingle_set(t).view(np.int64) for t in frame["text"]]})
+
+    texts = sieve(docs.select(F.xxhash64("text").alias("node"), "text"), "node", nodes).join(nodes, "node")
+    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInPandas(run, "node long, grams array<long>")
 
 
 def bits_apart(a: Column, b: Column, prints: tuple[str, ...]) -> Column:
@@ -288,13 +300,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     in bands of least shingle hashes, in which prints and sizes sort out pairs. Every link is verified on the shingles.
     """
     known = durable(sketches(docs))
-    sets, prints = known.select("node", "grams"), durable(known.groupBy("mark.fp").agg(F.min("node").alias("first")))
+    prints = durable(known.groupBy("mark.fp").agg(F.min("node").alias("first")))
     by_print = known.select("node", F.col("mark.fp").alias("of")).join(prints, F.col("of") == F.col("fp")).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     one, other = (prints.select(F.col("fp").alias(f"fp_{n}"), F.col("first").alias(n)) for n in "ab")
-    edges = durable(linked(prints.select("fp"))).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
-    close = edges.join(one, "fp_a").join(other, "fp_b").select("a", "b")
-    links = durable(similar(by_print.unionByName(close), sets))
-    members = band_members(known.select("node", "mark", "bands"))
+    edges = linked(prints.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    close = durable(edges.join(one, "fp_a").join(other, "fp_b").select("a", "b").unionByName(by_print))
+    members = band_members(known)
+    asked = reduce(DataFrame.unionByName, [members.select("node"), *(close.select(F.col(n).alias("node")) for n in "ab")])
+    sets = durable(shingle_sets(docs, durable(asked.distinct())))
+    links = durable(similar(close, sets))
     return band_components(members, likely, lambda a, b: -bits_apart(a, b, _MARK[1:]), lambda pairs: similar(pairs, sets), links)
 
 
