@@ -83,18 +83,13 @@ def tiles(members: DataFrame, keys: list[str], order: str, rows: int = TILE_ROWS
     # a join by a hot key meets few tasks; the sizes of all keys are broadcast while they are few
     dealt = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
     chunk = F.xxhash64(F.col(order), F.lit("chunk"))
-    left = (
-        dealt.filter("home")
-        .withColumn("tile_i", F.pmod(chunk, F.col("n_left")).cast("int"))
-        .withColumn("tile_j", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)))
-        .withColumn("left", F.lit(True))
-    )
-    right = (
-        dealt.withColumn("tile_j", F.pmod(chunk, F.col("n_right")).cast("int"))
-        .withColumn("tile_i", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)))
-        .withColumn("left", F.lit(False))
-    )
-    return left.unionByName(right).drop("n_left", "n_right")
+    tile = lambda i, j, left: F.struct(i.cast("int").alias("tile_i"), j.cast("int").alias("tile_j"), F.lit(left).alias("left"))
+    own_left, own_right = F.pmod(chunk, F.col("n_left")), F.pmod(chunk, F.col("n_right"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("n_right") - 1), lambda j: tile(own_left, j, True))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("n_left") - 1), lambda i: tile(i, own_right, False))
+    # both roles from one pass over the members, which are costly to make
+    copies = F.when(F.col("home"), F.concat(as_left, as_right)).otherwise(as_right)
+    return dealt.withColumn("copy", F.explode_outer(copies)).select(*members.columns, "copy.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
