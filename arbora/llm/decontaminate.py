@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-Texts are sequences of lower-cased words (letters and digits). Fixed masks select
+Texts are sequences of lower-cased words (letters and digits; single characters of scripts without blanks). Fixed masks select
 some of successive words and ignore the others, so that a seed survives
 substitutions at ignored places. Seeds of all benchmark items are joined with those
 of all training documents by hash. A hit names a diagonal (document position minus
@@ -40,8 +40,13 @@ SHORT = 0.8
 BROADCAST_ROWS = 200_000
 
 
+#: Scripts that put no blanks between words: each of their characters counts as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, "(" + UNSPACED + ")", " $1 ")).otherwise(text)
+    return F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def seeds(w: Column, mask: str) -> Column:

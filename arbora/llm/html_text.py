@@ -22,6 +22,7 @@ are ignored. The whole html is read; nothing else is dropped or capped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +36,8 @@ from arbora.llm._shared import batches
 MAIN, FREE, BOILER = 2, 1, 0
 #: Articles are near copies if they share so much of the shorter one.
 COPY = 0.5
+#: Keys of pages that set the ranges; they shape the work, never the result.
+SAMPLE = 20_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template head title svg math object iframe canvas audio video select option datalist textarea button".split())
 _BOILER = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -193,43 +196,89 @@ def _paths(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
 
 
+def _bounds(keyed: DataFrame, parts: int) -> list[tuple]:
+    """Keys that cut the pages into about ``parts`` ranges of equal numbers, from at most ``SAMPLE`` keys."""
+    if parts < 2:
+        return []
+    seen = keyed.select("host", "path", "page_id").orderBy(F.xxhash64("host", "path", "page_id")).limit(SAMPLE).collect()
+    keys = sorted({_key(*r) for r in seen})
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple:
+    """A page's place in the order that Spark sorts by: nulls first."""
+    return host, path, page_id is not None, page_id or 0
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """The pages with their ``range`` of the order, and copies (``guest``) of each range's last page in the next and of its first in the one before.
+
+    So every page meets both its neighbours, whatever the ranges are.
+    """
+    keyed = _paths(pages)
+    bounds = _bounds(keyed, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = lambda h, p, i: bisect_right(bounds, _key(h, p, None if i != i or i is None else int(i)))
+
+    @F.pandas_udf("int")
+    def place(host: pd.Series, path: pd.Series, page_id: pd.Series) -> pd.Series:
+        return pd.Series([number(*k) for k in zip(host, path, page_id, strict=True)], dtype="int32")
+
+    text_id = F.col("page_id").cast("string")
+    ends = keyed.select("host", "path", "page_id").withColumn("range", place("host", "path", text_id)).groupBy("range").agg(*[f(F.struct("host", "path", "page_id")).alias(n) for n, f in (("first", F.min), ("last", F.max))]).orderBy("range").collect()
+    guests: dict[tuple, list[int]] = {}
+    for one, other in zip(ends, ends[1:], strict=False):
+        guests.setdefault(_key(*one["last"]), []).append(other["range"])
+        guests.setdefault(_key(*other["first"]), []).append(one["range"])
+
+    @F.pandas_udf("array<int>")
+    def places(host: pd.Series, path: pd.Series, page_id: pd.Series) -> pd.Series:
+        out = []
+        for h, p, i in zip(host, path, page_id, strict=True):
+            out.append([2 * number(h, p, i), *(2 * g + 1 for g in guests.get(_key(h, p, None if i != i or i is None else int(i)), ()))])
+        return pd.Series(out)
+
+    each = keyed.withColumn("at", F.explode_outer(places("host", "path", text_id)))
+    return each.select("page_id", "url", "html", "host", "path", F.shiftright("at", 1).alias("range"), (F.col("at") % 2 == 1).alias("guest")).repartitionByRange(max(1, len(ends)), "range")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``, a row for each page.
 
-    Pages are dealt by ranges of (host, path), so that a host with a third of all pages
-    becomes many parts, and sorted; pages at the edge of a part pair within it. Each
+    Pages are dealt by ranges of (host, path, page_id), so that a host with a third of all pages
+    becomes many parts, and sorted; each range has copies of the pages next to it. Each
     task parses a page and meets it with the page before, two pages at a time.
     """
-    # without a fixed number, so that small parts are put together and few pages lie at an edge
-    ranged = _paths(pages).repartitionByRange("host", "path", "page_id")
+    ranged = _dealt(pages)
 
     def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host: str | None = None
+        place: tuple | None = None
         held: tuple | None = None
 
         def of(page: tuple, zone: int) -> list[str]:
             return [text for z, text in page[1] if z == zone]
 
-        def done(page: tuple) -> tuple:
+        def done(page: tuple) -> list[tuple]:
             row, lines, gone = page
+            if row.guest:
+                return []
             zone = MAIN if any(z == MAIN for z, _ in lines) else FREE
             text = "\n".join(t for k, t in enumerate(of(page, zone)) if k not in (gone[zone] or ()))
-            return row.page_id, row.url, text, len(text)
+            return [(row.page_id, row.url, text, len(text))]
 
         for frame in batches(frames):
             out = []
             for row in frame.itertuples(index=False):
                 page = (row, lines_of(row.html), {MAIN: None, FREE: set()})
                 if held is not None:
-                    if host == row.host:
+                    if place == (row.range, row.host):
                         for zone, shared in ((FREE, shared_lines), (MAIN, shared_parts)):
                             a, b = shared(of(held, zone), of(page, zone))
                             for gone, own in ((held[2], a), (page[2], b)):
                                 gone[zone] = own if gone[zone] is None else gone[zone] | own if zone == FREE else gone[zone] & own
-                    out.append(done(held))
-                held, host = page, row.host
+                    out += done(held)
+                held, place = page, (row.range, row.host)
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
         if held is not None:
-            yield pd.DataFrame([done(held)], columns=["page_id", "url", "text", "n_chars"])
+            yield pd.DataFrame(done(held), columns=["page_id", "url", "text", "n_chars"])
 
-    return ranged.sortWithinPartitions("host", "path", "page_id", F.xxhash64("html")).mapInPandas(pair, "page_id long, url string, text string, n_chars long")
+    return ranged.sortWithinPartitions("range", "host", "path", "page_id", F.xxhash64("html")).mapInPandas(pair, "page_id long, url string, text string, n_chars long")

@@ -306,6 +306,32 @@ def test_decontamination_finds_four_fifths_equal(spark):
     assert got == {(k, k) for k in range(len(items))}
 
 
+def test_decontamination_reads_scripts_without_blanks(spark):
+    item = "東京の図書館で古い地図を借りて、川の流れがどう変わったかを調べました"
+    changed = item.replace("古", "新", 1).replace("川", "海", 1)
+    docs = documents(spark, [(1, "前書き。" + item + "終わり。", "s"), (2, changed, "s"), (3, "別の文章がここにあります。関係はありません。", "s"), (4, "plain words only", "s")])
+    bench = spark.createDataFrame([(5, item), (6, "ประเทศไทยมีภาษาไทยเป็นภาษาราชการ")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 5), (2, 5)}
+
+
+def test_decontamination_recall_by_rate_of_substitutions(spark):
+    """Against a brute-force alignment (12 of 15 successive words at any offset): all of what it finds is found."""
+    rng = random.Random(41)
+    items, rows, want = [], [], set()
+    for k in range(60):
+        item = prose(rng, rng.randrange(15, 60)).split()
+        copy = [rng.choice(WORDS) if rng.random() < (0.05, 0.1, 0.15, 0.2, 0.3)[k % 5] else w for w in item]
+        items.append((k, " ".join(item)))
+        doc = prose(rng, 20).split() + copy + prose(rng, 20).split()
+        rows.append((k, " ".join(doc), "s"))
+        equal = lambda at, i: sum(doc[at + j] == item[i + j] for j in range(15) if at + j < len(doc))  # noqa: E731,B023
+        if any(equal(at, i) >= 12 for i in range(len(item) - 14) for at in range(len(doc))):
+            want.add((k, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert len(want) > 40 and want <= got
+
+
 def test_documents_without_an_id_are_decontaminated(spark, monkeypatch):
     rng = random.Random(32)
     item, clean = prose(rng, 20), prose(rng, 50)

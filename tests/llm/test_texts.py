@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import html_text, langid, mixing, secret_scan, toxicity, url_filter
+from arbora.llm import decontaminate, html_text, langid, mixing, secret_scan, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,7 +57,9 @@ def test_mix_meets_its_targets(spark):
     again = mixing.mix(docs.repartition(3)).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.take(spark, docs, "").count() == len(rows)
+    # the stage keeps what is taken
+    kept = mixing.take(spark, docs, "").collect()
+    assert len(kept) == sum(r.times > 0 for r in got) and sum(r.taken for r in kept) == sum(r.taken for r in got)
 
 
 def test_flight_keeps_both_sums():
@@ -239,12 +241,66 @@ def test_toxicity(spark):
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
-    on, off = np.array([0.6, 0.5, 0.7, 0.7]), np.array([0.02, 0.05, 0.01, 0.3])
-    fired = (rng.random((4000, 4)) < np.where(y[:, None], on, off)).astype(float)
+    on, off = np.array([0.6, 0.5, 0.7, 0.7, 0.1]), np.array([0.02, 0.05, 0.01, 0.3, 0.6])
+    voted = (rng.random((4000, 5)) < np.where(y[:, None], on, off)).astype(float)
     marked = np.where(rng.random(4000) < 0.05, ~y, y)
-    model = toxicity.LabelModel(np.hstack([fired, fired[:, :1]]), marked)
-    assert np.abs(model.on[:4] - on).max() < 0.1 and np.abs(model.off[:4] - off).max() < 0.05
-    assert model.weight[0] < 0.7 and model.weight[4] < 0.7 < model.weight[3]
+    mining = np.arange(4000) % 5 > 0
+    model = toxicity.LabelModel(np.hstack([voted, voted[:, :1]]), np.array([1, 1, 1, 1, 0, 1]), marked, mining)
+    assert np.abs(model.on[:5] - on).max() < 0.1 and np.abs(model.off[:5] - off).max() < 0.05
+    assert model.weight[0] < 0.7 and model.weight[5] < 0.7 < model.weight[3]
+    right = [((voted[:, k] == 1) & (y == (k != 4))).sum() / voted[:, k].sum() for k in range(5)]
+    assert np.abs(model.accuracy[:5] - right).max() < 0.1
+    # the marks outside the part for mining change nothing
+    other = toxicity.LabelModel(np.hstack([voted, voted[:, :1]]), np.array([1, 1, 1, 1, 0, 1]), np.where(mining, marked, ~marked), mining)
+    assert np.array_equal(model.on, other.on) and np.array_equal(model.posterior(np.hstack([voted, voted[:, :1]])), other.posterior(np.hstack([voted, voted[:, :1]])))
+
+
+def test_calibration_fits_the_marks():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 3, 3000)
+    slope, shift = toxicity.calibrated(x, rng.random(3000) < 1 / (1 + np.exp(-(0.5 * x - 1))))
+    assert abs(slope - 0.5) < 0.1 and abs(shift + 1) < 0.2
+    far = toxicity.calibrated(np.array([-50.0, -40.0, 40.0, 60.0]), np.array([False, False, True, True]))
+    assert np.isfinite(far).all() and far[0] > 0
+
+
+def test_page_differences_do_not_depend_on_partitions(spark):
+    """300 pages of one host without an article: every text is the page's own lines, at any number of ranges."""
+    page = lambda k: f"<div>Top line</div><div>own text of page {k} with words</div><div>Bottom line</div>"
+    rows = [(k if k % 50 else None, f"http://host/{k % 7}/{k}", page(k)) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = html_text.extract(pages).collect()
+            assert sorted(r.text for r in got) == sorted(f"own text of page {k} with words" for k in range(300))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_stages_keep_columns_of_any_name(spark, monkeypatch):
+    """Helper columns of the stages may be columns of the documents, and rows may lack an id."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(string.ascii_lowercase) * rng.randrange(1, 9) for _ in range(30))
+    rows = [(k if k % 4 else None, text() + (" idiot moron" if k == 3 else ""), None if k == 2 else "s", k, "x", "y") for k in range(12)] + [(None, None, None, 50, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, row string, key string")
+    for name in ("version", "gone", "bad", "of", "taken", "size_in"):
+        docs = docs.withColumn(name, F.lit(7))
+    known = spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[5][1])], "item_id long, text string")
+    monkeypatch.setattr(toxicity, "table", lambda *_: known.limit(0))
+    monkeypatch.setattr(decontaminate, "table", lambda *_: bench)
+    left = {r["size"] for r in toxicity.drop_toxic(spark, docs, "").collect()}
+    assert left == {r[3] for r in rows} - {3}
+    clean = decontaminate.drop_contaminated(spark, docs, "")
+    assert clean.columns == docs.columns and {r["size"] for r in clean.collect()} == {r[3] for r in rows} - {5}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r["size"] for r in kept.collect()} == {r[3] for r in rows}
+    mixed = mixing.take(spark, docs, "").collect()
+    assert {"size_in_in", "size_in_in_in", "taken_in"} <= set(mixed[0].asDict()) or {"size_in", "taken_in"} <= set(mixed[0].asDict())
+    report = mixing.mix(docs).collect()
+    assert sum(r.taken for r in mixed) == sum(r.taken for r in report) and len(mixed) == sum(r.times > 0 for r in report) and all(r.times for r in mixed)
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -259,4 +315,4 @@ def test_pipeline_stages(spark, tmp_path):
         assert 0 < after <= before
         assert docs.columns == columns if k < 4 else set(columns) <= set(docs.columns)
         before = after
-    assert docs.select("doc_id").distinct().count() == after
+    assert docs.select("doc_id").distinct().count() == after and docs.filter("times < 1").count() == 0
