@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +94,26 @@ def patterns(text: str | None) -> list[bool]:
     ]
 
 
-def mine(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, lexicons: int) -> np.ndarray:
-    """Lexicon of each bucket, -1 for none: those whose presence speaks for the marked texts, by the lower bound of its log-odds."""
-    of = np.repeat(labels, np.diff(ends, prepend=0))
-    with_, without = np.bincount(flat[of], minlength=BUCKETS), np.bincount(flat[~of], minlength=BUCKETS)
-    n, m = labels.sum(), len(labels) - labels.sum()
+#: Features that are worked on at once, so that the driver needs little beside the sample itself.
+CHUNK = 1 << 20
+
+
+def counted(flat: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs among the chosen features."""
+    out = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(flat), CHUNK):
+        out += np.bincount(flat[at : at + CHUNK][chosen[at : at + CHUNK]], minlength=BUCKETS)
+    return out
+
+
+def mine(flat: np.ndarray, of: np.ndarray, rest: np.ndarray, n: int, m: int, lexicons: int) -> np.ndarray:
+    """Lexicon of each bucket, -1 for none: those whose presence speaks for the ``n`` texts whose features are ``of``, against ``m`` others, by the lower bound of its log-odds."""
+    with_, without = counted(flat, of), counted(flat, rest)
     odds = np.log((with_ + 0.5) / (n - with_ + 0.5)) - np.log((without + 0.5) / (m - without + 0.5))
     sure = odds - 1.64 * np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
     at = np.flatnonzero((with_ >= 4) & (sure > LEAST_ODDS))
     best = at[np.argsort(-sure[at], kind="stable")][: lexicons * ENTRIES]
-    out = np.full(BUCKETS, -1, np.int16)
+    out = np.full(BUCKETS, -1, np.int8)
     # dealt in turn, so that every lexicon holds strong entries and weak ones
     out[best] = np.arange(len(best)) % lexicons
     return out
@@ -197,23 +208,25 @@ def learn(flat: np.ndarray, ends: np.ndarray, shown: np.ndarray, marks: np.ndarr
         weights = np.zeros(BUCKETS, np.float32)
         weights[_LEXICON_BUCKETS] = 4.0
         return {"weights": weights, "bias": -2.0}
-    begin, size = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
-    row = np.repeat(np.arange(len(ends)), size)
-    own = mining[row]
-    part = flat[own], np.cumsum(size[mining])
+    row = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    toxic, clean = (mining & marks)[row], (mining & ~marks)[row]
+    n, m = int((mining & marks).sum()), int((mining & ~marks).sum())
     votes = []
-    for labels, k in ((marks[mining], TOXIC_LEXICONS), (~marks[mining], CLEAN_LEXICONS)):
-        lexicon = mine(*part, labels, k)[flat]
+    for lexicon, k in ((mine(flat, toxic, clean, n, m, TOXIC_LEXICONS), TOXIC_LEXICONS), (mine(flat, clean, toxic, m, n, CLEAN_LEXICONS), CLEAN_LEXICONS)):
         voted = np.zeros((len(ends), k))
-        voted[row[lexicon >= 0], lexicon[lexicon >= 0]] = 1
+        at = np.flatnonzero(lexicon[flat] >= 0)
+        voted[row[at], lexicon[flat[at]]] = 1
         votes.append(voted)
-    general = np.zeros((len(ends), 1))
-    general[row[np.isin(flat, _LEXICON_BUCKETS)]] = 1
+    general, insult = np.zeros((len(ends), 1)), np.zeros(BUCKETS, bool)
+    insult[_LEXICON_BUCKETS] = True
+    general[row[insult[flat]]] = 1
     voted = np.hstack([*votes, general, shown])
     polarity = np.array([1] * TOXIC_LEXICONS + [0] * CLEAN_LEXICONS + [1, *PATTERNS])
     model = LabelModel(voted, polarity, marks, mining)
     weights, bias = classifier(flat, ends, model.posterior(voted))
-    logit = bias + np.add.reduceat(np.append(weights[flat], 0), np.minimum(begin, len(flat))) * (size > 0)
+    logit = np.full(len(ends), bias)
+    for at in range(0, len(flat), CHUNK):
+        logit += np.bincount(row[at : at + CHUNK], weights[flat[at : at + CHUNK]], minlength=len(ends))
     slope, shift = calibrated(logit[~mining], marks[~mining]) if (~mining).any() else (1.0, 0.0)
     return {"weights": (weights * slope).astype(np.float32), "bias": bias * slope + shift, "prior": model.prior, "accuracy": model.accuracy, "votes": voted.sum(axis=0), "polarity": polarity, "correlation": model.correlation}
 
@@ -237,8 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     parts = [np.frombuffer(x.as_buffer() or b"", np.int32) for x in sample["f"]]
     ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
     flat = np.concatenate([np.zeros(0, np.int32), *parts])
-    shown = np.array([list(x.as_py()) for x in sample["p"]], float).reshape(len(parts), len(PATTERNS))
+    shown = np.array([list(x.as_py()) for x in sample["p"]], float).reshape(len(ends), len(PATTERNS))
     marks = sample["toxic"].to_numpy().astype(bool)
+    del sample, parts
+    pa.default_memory_pool().release_unused()
     return learn(flat, ends, shown, marks, (keys_ // 2) % CALIBRATION != 0)
 
 
