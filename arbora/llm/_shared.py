@@ -4,9 +4,11 @@ bounded tile joins and connected components."""
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 TILE_ROWS = 4096
 #: Rows of counts up to which a table of them is broadcast, a few MB.
 BROADCAST_ROWS = 100_000
+#: Edges up to which the components are found on the driver, 16 bytes each; above, in tables.
+FEW_EDGES = 500_000
+#: Seconds that lie at least between two collections of the driver's garbage.
+SWEEP_S = 4.0
+_swept = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; it survives lost executors."""
     shared_folder(df.sparkSession)
+    sweep(df.sparkSession)
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage now and then: only so Spark deletes the shuffle files and checkpoints that nothing refers to any more."""
+    if time.monotonic() - _swept[0] >= SWEEP_S:
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
+def bare(df: DataFrame) -> DataFrame:
+    """A checkpoint without Spark's estimate of its size: a join's is the product of its sides', so that in loops of joins
+    its digits double each round, until planning takes minutes and the driver's memory."""
+    cut, spark = durable(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(cut.queryExecution().toRdd(), cut.schema(), False), spark)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all rows that no model learns from; false without an id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -96,36 +118,49 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``.
 
     ``component`` is the smallest node reachable; nodes without an edge to another
-    node are absent. Each round hangs every node below its smallest neighbour, follows
+    node are absent. Up to ``FEW_EDGES`` edges are merged on the driver. Above, each round hangs every node below its smallest neighbour, follows
     these pointers to their roots and contracts the graph to the roots, at most half of
     the nodes; hubs are pre-aggregated. All state
     stays in checkpointed tables.
     """
-    edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = bare(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return _few_components(edges)
     labels = None
     while True:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        hung = _to_roots(durable(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))))
+        hung = _to_roots(bare(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))))
         if labels is None:
             labels = hung.select("node", F.col("parent").alias("component"))
         else:
             step = hung.select(F.col("node").alias("component"), "parent")
-            labels = durable(labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+            labels = bare(labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
         up = hung.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         vp = hung.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         contracted = edges.join(up, "a").join(vp, "b").filter("pa <> pb")
-        edges = durable(contracted.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
+        edges = bare(contracted.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
         if edges.isEmpty():
             return labels
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    """Components of a graph of few edges, by union-find on the driver."""
+    ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+    a, b = (ends.column(k).to_numpy() for k in "ab")
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(names))
+    forest.join(place[: len(a)], place[len(a) :])
+    # names are sorted, so the least place of a tree is its smallest node
+    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(names, pa.int64()), "component": pa.array(names[forest.root], pa.int64())}))
+
+
 def _to_roots(hung: DataFrame) -> DataFrame:
     """Pointer jumping: every node below the root of its tree, in as many steps as the depth has bits."""
     while True:
         up = hung.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = durable(hung.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        jumped = bare(hung.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
         if jumped.filter("moved").isEmpty():
             return hung
         hung = jumped.select("node", "parent")
@@ -170,10 +205,10 @@ def apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(other, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def band_components(members: DataFrame, likely: Test, likeness: Test, verified: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+def band_components(members: DataFrame, likely: Test, likeness: Test, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` of the nodes that are linked with another one of a band.
 
-    ``likely`` judges two marks, ``verified`` keeps the linked ones of pairs ``(a, b)``, ``known`` are links found before. Every node is first
+    ``likely`` judges two marks, ``verifier`` gets all pairs ``(a, b)`` that may come and returns what keeps the linked ones of some of them, ``known`` are links found before. Every node is first
     verified against its band's first one, beginning with the band where ``likeness`` is
     greatest; what this links is merged. Then all pairs of a band that still lie in different components are met:
     the nodes outside the band's largest component on one side, all on the other, which is cut into parts.
@@ -182,6 +217,7 @@ def band_components(members: DataFrame, likely: Test, likeness: Test, verified:
     near = members.filter("node <> first").join(hubs, "band").filter(likely(F.col("mark"), F.col("hub")))
     stars = durable(near.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.max(likeness(F.col("mark"), F.col("hub"))).alias("like")))
     best = durable(stars.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")))
+    verified = verifier(stars.select("a", "b"))
     open_ = best if known is None else apart(best, components(known))
     links = durable(verified(open_) if known is None else verified(open_).unionByName(known))
     rest = durable(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links)))
@@ -198,7 +234,8 @@ def band_components(members: DataFrame, likely: Test, likeness: Test, verified:
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # pairs with the first node of a band were verified above
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = durable(verified(pairs.join(done, ["a", "b"], "left_anti")))
+    fresh = durable(pairs.join(done, ["a", "b"], "left_anti"))
+    more = durable(verifier(fresh)(fresh))
     return merged if more.isEmpty() else components(links.unionByName(more))
 
 

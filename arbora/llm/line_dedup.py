@@ -16,7 +16,8 @@ the one of its bands' smallest lines that agrees best; what this
 links is merged. Then every pair of lines of one band that still lie in different
 components is met: the lines outside the band's largest component on one side, all of them
 on the other, so that a band of thousands of near-copies costs a check or two a line,
-and no candidate that could merge components is skipped.
+and no candidate that could merge components is skipped. Where pairs outnumber their lines, parities of the lines'
+shingles first rule out most pairs that cannot reach the similarity, and none that can.
 
 Defined cases: null and empty texts have no lines; repeated rows (equal doc_id and
 text) get the same decision; rows without a doc_id count after all others; lines shorter than a shingle are one shingle; an
@@ -25,6 +26,7 @@ empty table gives an empty result; the stage keeps other columns, whatever their
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,9 @@ SAMPLED = 64
 #: one such pair in 400 is below), and bins from which on this is asked.
 AGREE = 0.55
 JUDGED = 12
+#: Words of 64 bits of a line's parities, and pairs a line from which on these are worth making.
+PARITIES = 16
+CROWD = 2
 _WORDS = tuple(f"w{w}" for w in range((BINS + 6) // 7))
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -120,13 +125,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """``(h1, n, p0, p1, ...)``: how many shingles a line has, and for each of 64 times ``PARITIES`` places whether an odd number of them fall there."""
+    each = texts.select("h1", F.explode(shingles(F.col("line"))).alias("g"))
+    word, bit = F.pmod(F.shiftright("g", 32), F.lit(PARITIES)), F.expr("shiftleft(1L, cast(g & 63 as int))")
+    return each.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(word == k, bit)).alias(f"p{k}") for k in range(PARITIES)])
+
+
+def close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs without most of those that are not similar enough; none that is gets lost.
+
+    Places where two lines' parities differ are at most as many as the shingles that only one of them has, and of these
+    similar lines have at most (1 - s) / (1 + s) of the sum of both numbers.
+    """
+    own = durable(parities(texts))
+    of = lambda n: own.select(F.col("h1").alias(n), F.struct("n", *[F.coalesce(f"p{k}", F.lit(0).cast("long")).alias(f"p{k}") for k in range(PARITIES)]).alias(f"of_{n}"))
+    x, y = F.col("of_a"), F.col("of_b")
+    differ = reduce(Column.__add__, [F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(PARITIES)])
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) * (x["n"] + y["n"]) + 1e-6
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter((differ <= most) & (F.abs(x["n"] - y["n"]) <= most)).select("a", "b")
+
+
+def verifier(all_lines: DataFrame, pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What verifies some of ``pairs``; only their lines are read again."""
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+    # an inner join: a semi join would be moved below the sieve
+    texts = durable(sieve(all_lines.select("h1", "line"), "h1", nodes).join(nodes, "h1").groupBy("h1").agg(F.first("line").alias("line")))
+    if pairs.count() > CROWD * nodes.count():
+        return lambda some: verified(durable(close(some, texts)), texts)
+    return lambda some: verified(some, texts)
+
+
 def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
     """``(node, component)`` over the hashes of lines that are linked with another line; ``own`` are the sketches."""
     members = band_members(own.select(F.col("h1").alias("node"), "mark", "bands"))
-    candidates = members.select(F.col("node").alias("h1")).distinct()
-    # an inner join: a semi join would be moved below the sieve
-    texts = durable(sieve(all_lines.select("h1", "line"), "h1", candidates).join(candidates, "h1").groupBy("h1").agg(F.first("line").alias("line")))
-    return band_components(members, agree, likeness, lambda pairs: verified(pairs, texts))
+    return band_components(members, agree, likeness, lambda pairs: verifier(all_lines, pairs))
 
 
 def decide(docs: DataFrame) -> DataFrame:

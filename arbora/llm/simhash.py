@@ -309,7 +309,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     asked = reduce(DataFrame.unionByName, [members.select("node"), *(close.select(F.col(n).alias("node")) for n in "ab")])
     sets = durable(shingle_sets(docs, durable(asked.distinct())))
     links = durable(similar(close, sets))
-    return band_components(members, likely, lambda a, b: -bits_apart(a, b, _MARK[1:]), lambda pairs: similar(pairs, sets), links)
+    return band_components(members, likely, lambda a, b: -bits_apart(a, b, _MARK[1:]), lambda _: lambda pairs: similar(pairs, sets), links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -340,3 +340,35 @@ def test_documents_without_an_id_are_decontaminated(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(None, 5)]
     monkeypatch.setattr(decontaminate, "table", lambda *_: bench)
     assert sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_contaminated(spark, docs, "").collect()) == [(0, clean), (1, clean)]
+
+
+def test_components_in_tables_and_on_the_driver_agree_and_carry_no_estimates(spark, monkeypatch):
+    """A checkpoint keeps Spark's estimate of its size; over joins in a loop the estimate's digits double each round and fill the driver."""
+    n, rng = 300, random.Random(80)
+    names = rng.sample(range(10_000), n)
+    edges = spark.createDataFrame([(names[k], names[rng.randrange(max(k // 100 * 100, k - 3), k)]) for k in range(1, n) if k % 100], "a long, b long")
+    monkeypatch.setattr(_shared, "FEW_EDGES", 10_000)
+    few = {r.node: r.component for r in components(edges).collect()}
+    assert {names.index(x) // 100 for x in few} == {0, 1, 2} and len(set(few.values())) == 3 and all(few[x] == min(names[k * 100 : k * 100 + 100]) for k in range(3) for x in names[k * 100 : k * 100 + 100])
+    monkeypatch.setattr(_shared, "FEW_EDGES", 0)
+    many = components(edges)
+    assert {r.node: r.component for r in many.collect()} == few
+    assert many._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_parities_rule_out_only_lines_that_are_not_similar(spark, monkeypatch):
+    rng = random.Random(81)
+    base = prose(rng, 50)
+    unique = sorted({edited(rng, base, rng.randrange(1, 16)) for _ in range(60)} | {"ha " * 60, "ha " * 70, "x" * 3000, "ok", "no"})
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in unique]
+    similar = {(a, b) for b in range(len(unique)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    every = [(a, b) for b in range(len(unique)) for a in range(b)]
+    texts = spark.createDataFrame(list(enumerate(unique)), "h1 long, line string")
+    got = {tuple(r) for r in line_dedup.close(spark.createDataFrame(every, "a long, b long"), texts).collect()}
+    assert similar <= got and len(similar) > 50 and len(got - similar) <= 0.2 * (len(every) - len(similar))
+    monkeypatch.setattr(line_dedup, "CROWD", 0)
+    rows = [(k, x, "s") for k, x in enumerate(unique)]
+    found = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    want = lines_by_brute_force(rows)
+    assert len(found ^ want) <= 0.05 * len(want)
