@@ -189,32 +189,60 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 #: Rows of one band that are met by one copy of its other side.
 BUCKET_ROWS = 2048
+#: Nodes of a band from which on its hub is chosen with care.
+CROWDED = 8
+#: Nodes that meet a whole band before its pairs do.
+PIVOTS = 16
 Test = Callable[[Column, Column], Column]
+Verify = Callable[[DataFrame], DataFrame]
 
 
 def band_members(sketched: DataFrame) -> DataFrame:
-    """``(band, node, mark, first)`` of the bands that several nodes share, from ``(node, mark, bands)``; first is the band's smallest node."""
+    """``(band, node, mark, n)`` of the bands that several nodes share, n of them, from ``(node, mark, bands)``."""
     rows = sketched.select("node", "mark", F.explode_outer("bands").alias("band"))
-    shared = durable(rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("band", "first"))
+    # only the bands themselves are dealt here: they are many times the nodes, and most are in no other node
+    shared = durable(rows.filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     return durable(sieve(rows, "band", shared.select("band")).join(shared, "band"))
 
 
+def band_hubs(members: DataFrame) -> DataFrame:
+    """``(band, first, hub)``: a node of each band and its mark, in crowded bands the one that meets most others in all its bands.
+
+    Of near-copies this is one of the most typical, so that most of them are linked with it and not only with each other.
+    """
+    least = members.filter(F.col("n") < CROWDED).groupBy("band").agg(F.min(F.struct("node", "mark")).alias("of"))
+    crowded = members.filter(F.col("n") >= CROWDED)
+    meets = crowded.groupBy("node").agg(F.sum("n").alias("meets"))
+    most = crowded.join(meets, "node").groupBy("band").agg(F.max(F.struct("meets", "node", "mark")).alias("of"))
+    return least.select("band", "of.node", "of.mark").unionByName(most.select("band", "of.node", "of.mark")).toDF("band", "first", "hub")
+
+
 def apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that do not lie in one component."""
     one, other = (merged.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
     return pairs.join(one, "a", "left").join(other, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def band_components(members: DataFrame, likely: Test, likeness: Test, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame | None = None) -> DataFrame:
+def band_components(
+    members: DataFrame,
+    likely: Test,
+    likeness: Test,
+    verifier: Callable[[DataFrame], Verify],
+    known: DataFrame | None = None,
+    signer: Callable[[DataFrame], tuple[DataFrame, Test, Verify]] | None = None,
+) -> DataFrame:
     """``(node, component)`` of the nodes that are linked with another one of a band.
 
     ``likely`` judges two marks, ``verifier`` gets all pairs ``(a, b)`` that may come and returns what keeps the linked ones of some of them, ``known`` are links found before. Every node is first
-    verified against its band's first one, beginning with the band where ``likeness`` is
-    greatest; what this links is merged. Then all pairs of a band that still lie in different components are met:
+    verified against its band's hub, beginning with the band where ``likeness`` is
+    greatest; what this links is merged. Where bands remain that are crowded by several components, about ``PIVOTS`` nodes of each
+    outside its largest one are verified against all others, and what they link is merged. Then all pairs of a band that still lie in different components are met:
     the nodes outside the band's largest component on one side, all on the other, which is cut into parts.
+    ``signer`` gets the nodes of these and returns their signs ``(node, sign)``, what rules out pairs by two signs while they meet,
+    and what verifies the others.
     """
-    hubs = members.filter("node = first").select("band", F.col("mark").alias("hub"))
-    near = members.filter("node <> first").join(hubs, "band").filter(likely(F.col("mark"), F.col("hub")))
+    hubs = band_hubs(members)
+    near = members.join(hubs, "band").filter("node <> first").filter(likely(F.col("mark"), F.col("hub")))
     stars = durable(near.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.max(likeness(F.col("mark"), F.col("hub"))).alias("like")))
     best = durable(stars.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")))
     verified = verifier(stars.select("a", "b"))
@@ -224,21 +252,51 @@ def band_components(members: DataFrame, likely: Test, likeness: Test, verifier:
     if not rest.isEmpty():
         links = durable(links.unionByName(verified(rest)))
     merged = components(links)
-    label = durable(members.join(merged.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("band", "node", "mark", F.coalesce("component", "node").alias("c")))
-    sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    several = sizes.filter("lo <> hi").select("band", "largest", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"))
-    mixed = durable(label.join(several, "band"))
-    left = mixed.filter("c <> largest").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("mark_a"))
-    right = mixed.select("band", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mark_b"), (F.col("c") == F.col("largest")).alias("main"))
-    met = left.join(right, ["band", "part"]).filter("ca <> cb AND (main OR a < b)").filter(likely(F.col("mark_a"), F.col("mark_b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # pairs with the first node of a band were verified above
+    # nothing refers to the files of these tables any more
+    del hubs, near, best, open_, rest
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = durable(pairs.join(done, ["a", "b"], "left_anti"))
-    more = durable(verifier(fresh)(fresh))
+    mixed = several(members, merged)
+    del members
+    if signer is None:
+        mixed, differ, check = mixed.withColumn("sign", F.lit(None)), None, lambda some: verifier(some)(some)
+    else:
+        signs, differ, check = signer(durable(mixed.select("node").distinct()))
+        mixed = durable(mixed.join(signs, "node"))
+    # a pair that shares several bands is met in the least of them only
+    mixed = durable(mixed.join(mixed.groupBy("node").agg(F.collect_list("band").alias("bands")), "node"))
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        both = left.join(right, keys).filter("ca <> cb AND (main OR a < b)").filter(likely(F.col("mark_a"), F.col("mark_b")))
+        if differ is not None:
+            both = both.filter(differ(F.col("sign_a"), F.col("sign_b")))
+        pairs = both.filter(F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return durable(pairs.distinct().join(done, ["a", "b"], "left_anti"))
+
+    side = lambda n: [F.col("node").alias(n), F.col("c").alias(f"c{n}"), *(F.col(x).alias(f"{x}_{n}") for x in ("mark", "sign", "bands"))]
+    work = mixed.groupBy("band").agg(F.first("n").alias("n"), F.first("most").alias("most")).agg(F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
+    if (work.pairs or 0) > PIVOTS * (work.rows or 0):
+        # some nodes outside the largest component meet all others first: what they link needs no meeting in pairs
+        chosen = mixed.filter((F.col("c") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("n") - F.col("most")) < PIVOTS))
+        first = met(chosen.select("band", *side("a")), mixed.select("band", *side("b"), F.lit(True).alias("main")), ["band"])
+        links = durable(links.unionByName(check(first)))
+        done, merged = done.unionByName(first), components(links)
+        mixed = several(mixed, merged)
+    outside = mixed.filter("c <> largest").select("band", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BUCKET_ROWS).cast("int") - 1)).alias("part"), *side("a"))
+    every = mixed.select("band", F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("n") / BUCKET_ROWS)).cast("int").alias("part"), *side("b"), (F.col("c") == F.col("largest")).alias("main"))
+    fresh = met(outside, every, ["band", "part"])
+    more = durable(check(fresh))
     return merged if more.isEmpty() else components(links.unionByName(more))
 
 
+def several(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """The members of bands that hold several components, with their component ``c``, the band's ``largest`` one, its ``most`` nodes and all ``n``."""
+    own = members.select(*[x for x in members.columns if x not in ("c", "largest", "most", "n")])
+    label = durable(own.join(merged.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").drop("_of").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    # a band of two is its hub's pair
+    return durable(label.join(sizes.filter("most < n AND n > 2"), "band"))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words of a text, split at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []

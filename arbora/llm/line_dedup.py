@@ -132,34 +132,56 @@ def parities(texts: DataFrame) -> DataFrame:
     return each.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(word == k, bit)).alias(f"p{k}") for k in range(PARITIES)])
 
 
-def close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs without most of those that are not similar enough; none that is gets lost.
+def signs(texts: DataFrame) -> DataFrame:
+    """``(node, sign)``: a line's number of shingles and its parities in one column."""
+    own = durable(parities(texts))
+    return own.select(F.col("h1").alias("node"), F.struct("n", *[F.coalesce(f"p{k}", F.lit(0).cast("long")).alias(f"p{k}") for k in range(PARITIES)]).alias("sign"))
+
+
+def may_agree(x: Column, y: Column) -> Column:
+    """Whether the signs of two lines leave it open that they are similar enough; true for all that are.
 
     Places where two lines' parities differ are at most as many as the shingles that only one of them has, and of these
     similar lines have at most (1 - s) / (1 + s) of the sum of both numbers.
     """
-    own = durable(parities(texts))
-    of = lambda n: own.select(F.col("h1").alias(n), F.struct("n", *[F.coalesce(f"p{k}", F.lit(0).cast("long")).alias(f"p{k}") for k in range(PARITIES)]).alias(f"of_{n}"))
-    x, y = F.col("of_a"), F.col("of_b")
     differ = reduce(Column.__add__, [F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(PARITIES)])
     most = (1 - SIMILARITY) / (1 + SIMILARITY) * (x["n"] + y["n"]) + 1e-6
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter((differ <= most) & (F.abs(x["n"] - y["n"]) <= most)).select("a", "b")
+    return (F.abs(x["n"] - y["n"]) <= most) & (differ <= most)
+
+
+def close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs without most of those that are not similar enough; none that is gets lost."""
+    own = signs(texts)
+    of = lambda n: own.select(F.col("node").alias(n), F.col("sign").alias(f"of_{n}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(may_agree(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+
+def read_again(all_lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(h1, line)`` of the lines whose hashes are ``nodes(h1)``."""
+    # an inner join: a semi join would be moved below the sieve
+    return durable(sieve(all_lines.select("h1", "line"), "h1", nodes).join(nodes, "h1").groupBy("h1").agg(F.first("line").alias("line")))
 
 
 def verifier(all_lines: DataFrame, pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """What verifies some of ``pairs``; only their lines are read again."""
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    # an inner join: a semi join would be moved below the sieve
-    texts = durable(sieve(all_lines.select("h1", "line"), "h1", nodes).join(nodes, "h1").groupBy("h1").agg(F.first("line").alias("line")))
+    texts = read_again(all_lines, nodes)
     if pairs.count() > CROWD * nodes.count():
         return lambda some: verified(durable(close(some, texts)), texts)
     return lambda some: verified(some, texts)
 
 
+def signer(all_lines: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
+    """The signs of the lines ``nodes(node)``, what two of them tell, and what verifies pairs of these lines."""
+    texts = read_again(all_lines, nodes.withColumnRenamed("node", "h1"))
+    return signs(texts), may_agree, lambda some: verified(some, texts)
+
+
 def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
     """``(node, component)`` over the hashes of lines that are linked with another line; ``own`` are the sketches."""
     members = band_members(own.select(F.col("h1").alias("node"), "mark", "bands"))
-    return band_components(members, agree, likeness, lambda pairs: verifier(all_lines, pairs))
+    del own
+    return band_components(members, agree, likeness, lambda pairs: verifier(all_lines, pairs), signer=lambda nodes: signer(all_lines, nodes))
 
 
 def decide(docs: DataFrame) -> DataFrame:

@@ -372,3 +372,24 @@ def test_parities_rule_out_only_lines_that_are_not_similar(spark, monkeypatch):
     found = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
     want = lines_by_brute_force(rows)
     assert len(found ^ want) <= 0.05 * len(want)
+
+
+def test_lines_around_one_passage_are_not_met_in_pairs(spark, monkeypatch):
+    """Lines that share a passage meet in its bands; pairs that cannot be linked, or whose components a few lines merge, are never listed."""
+    rng = random.Random(82)
+    word = lambda: "".join(rng.choice(LETTERS) for _ in range(6))
+    passage = " ".join(word() for _ in range(50))
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(1, 30))) + " " + passage, "s") for k in range(240)]
+    listed = []
+
+    def counted(df):
+        out = durable(df)
+        if df.columns == ["a", "b"]:
+            listed.append(out.count())
+        return out
+
+    durable = _shared.durable
+    monkeypatch.setattr(_shared, "durable", counted)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    assert got == lines_by_brute_force(rows) and len(got) > 40
+    assert listed and max(listed) <= 10 * len(rows)
