@@ -187,8 +187,9 @@ def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, pos, first_doc, first_pos)`` of the lines that go; ``first_*`` names the line that stays."""
     texts = lines(docs)
-    own = durable(texts.select("doc_id", "version", "pos", "h1", "h2"))
     merged = groups(texts, durable(sketched(texts)))
+    # after the search, whose files need not lie beside these rows
+    own = durable(texts.select("doc_id", "version", "pos", "h1", "h2"))
     where = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("version"), F.col("pos"))
     seen = own.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"))
     joined = seen.join(merged, F.col("h1") == F.col("node"), "left")

@@ -393,3 +393,13 @@ def test_lines_around_one_passage_are_not_met_in_pairs(spark, monkeypatch):
     got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
     assert got == lines_by_brute_force(rows) and len(got) > 40
     assert listed and max(listed) <= 10 * len(rows)
+
+
+def test_line_rows_are_kept_only_after_the_search(spark, monkeypatch):
+    """The lines' ids and the sketches need not lie on the disk beside the tables of the search."""
+    kept = []
+    durable, search = line_dedup.durable, line_dedup.band_components
+    monkeypatch.setattr(line_dedup, "durable", lambda df: kept.append(df.columns) or durable(df))
+    monkeypatch.setattr(line_dedup, "band_components", lambda *a, **k: kept.append("search") or search(*a, **k))
+    assert line_dedup.duplicate_lines(documents(spark, [(1, "one line here\nother", "s"), (2, "one line here", "s")])).count() == 1
+    assert "search" in kept and all("doc_id" not in x for x in kept[: kept.index("search")])
