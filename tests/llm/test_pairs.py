@@ -403,3 +403,27 @@ def test_line_rows_are_kept_only_after_the_search(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "band_components", lambda *a, **k: kept.append("search") or search(*a, **k))
     assert line_dedup.duplicate_lines(documents(spark, [(1, "one line here\nother", "s"), (2, "one line here", "s")])).count() == 1
     assert "search" in kept and all("doc_id" not in x for x in kept[: kept.index("search")])
+
+
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_nodes_without_a_likely_partner_are_not_read_again(spark, monkeypatch, bucket):
+    """Of the nodes that share a band with other components, only those that may be linked there get a sign; no link is lost."""
+    monkeypatch.setattr(_shared, "BUCKET_ROWS", bucket)
+    rng = random.Random(83)
+    marks = [rng.randrange(2000) for _ in range(160)]
+    rows = [(band, node, marks[node]) for band in range(3) for node in range(len(marks)) if band == 0 or rng.random() < 0.4]
+    members = spark.createDataFrame(rows, "band long, node long, mark long").withColumn("n", F.lit(160).cast("long"))
+    likely = lambda x, y: F.abs(x - y) <= 2
+    asked, forest, near = [], Forest(len(marks)), set()
+    for a, b in itertools.combinations(range(len(marks)), 2):
+        if abs(marks[a] - marks[b]) <= 2:
+            near |= {a, b}
+            forest.join(np.array([a]), np.array([b]))
+
+    def signer(nodes):
+        asked.append({r.node for r in nodes.collect()})
+        return nodes.withColumn("sign", F.lit(0)), lambda x, y: F.lit(True), lambda some: some
+
+    got = _shared.band_components(members, likely, lambda x, y: -F.abs(x - y), lambda pairs: lambda some: some, signer=signer)
+    assert {r.node: r.component for r in got.collect()} == {k: int(forest.root[k]) for k in near}
+    assert 10 < len(asked[0]) and asked[0] <= near and len(near) < 0.6 * len(marks)
