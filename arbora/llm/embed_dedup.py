@@ -4,13 +4,15 @@ Vectors are scaled to length one, so that cosine >= t means a squared distance o
 most T = 2 - 2t, and turned by one fixed rotation. The turned coordinates are split
 into low-dimensional blocks with budgets T * share, the shares in proportion to the
 blocks' energy and adding up to one. Two vectors within T are within budget in at
-least one block; so every block is range-joined on its own over a grid, and the
+least one block; so every block is range-joined on its own, and the
 union of the candidates is verified by the exact cosine in double precision. A
-linked pair counts in the first block within whose budget it is, hence once. The grid divides
-as many of a block's axes as its cells need to fit a tile or two, more for larger tables.
+linked pair counts in the first block within whose budget it is, hence once.
 
-Equal vectors are collapsed first to classes with ids of their own and counted by multiplicity. A tile of a range
-join returns the links of each class as a count and a spanning forest, never pairs.
+Equal vectors are collapsed first to classes with ids of their own and counted by multiplicity. For a block the
+vectors are sorted by a k-d tree over its coordinates and packed into chunks with their bounding boxes, one row a chunk.
+Chunks whose boxes are within budget meet as a nested loop that reads the chunks again and writes none of them, so the disk
+holds one or two copies of the vectors at a time, however many chunks a vector meets. A meeting
+returns the links of each class as a count and a spanning forest, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length never link; rows that share
@@ -27,16 +29,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from arbora.llm._shared import Forest, batches, components, durable, tiles
+from arbora.llm._shared import Forest, batches, components, durable
 
 THRESHOLD = 0.9
-#: Coordinates in a block.
+#: Coordinates in a block at least, and blocks at most.
 BLOCK = 8
-#: Rows on one side of a comparison tile.
-TILE_ROWS = 16_384
-#: Rows that fit the block shares; they shape the work, never the result.
+BLOCKS = 8
+#: Vectors in a chunk, and chunks in a partition; a task meets two partitions.
+TILE_ROWS = 4096
+TILES = 8
+#: Rows that fit the block shares and the trees; they shape the work, never the result.
 SAMPLE = 4096
+#: Slack of distances in single precision, of terms that are at most one.
+_ROUGH = 1e-5
 _SLACK = 1e-9
 
 
@@ -59,7 +66,8 @@ def unit_rows(stacked: np.ndarray) -> np.ndarray:
 
 
 def layout(d: int) -> list[slice]:
-    return [slice(k, min(k + BLOCK, d)) for k in range(0, d, BLOCK)]
+    size = max(BLOCK, -(-d // BLOCKS))
+    return [slice(k, min(k + size, d)) for k in range(0, d, size)]
 
 
 def budgets(unit: np.ndarray, d: int, threshold: float) -> np.ndarray:
@@ -69,126 +77,166 @@ def budgets(unit: np.ndarray, d: int, threshold: float) -> np.ndarray:
     return (2 - 2 * threshold) * energy / energy.sum()
 
 
-def axes_for(block: np.ndarray, radius: float, n: int) -> int:
-    """How many axes the grid divides, so that by this sample the fullest cell of ``n`` rows holds a tile; one at least."""
-    share = 1.0
-    for k in range(block.shape[1]):
-        share *= np.unique(np.floor(block[:, k] / (2 * radius)), return_counts=True)[1].max() / len(block)
-        if share * n <= TILE_ROWS:
-            return k + 1
-    return block.shape[1]
-
-
-def cells(block: np.ndarray, radius: float, axes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, cell, home): own grid cell, and the lower cells that the ball of this radius overlaps."""
-    width, reach = 2 * radius, radius * (1 + 1e-6) + 1e-9
-    index, home, there = np.arange(len(block)), np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
-    apart = np.zeros(len(block))
-    for k in range(axes):
-        x = block[index, k]
-        own = np.floor(x / width).astype(np.int64)
-        bits = 63 // axes
-        code = lambda at: (at + (1 << (bits - 1))) & ((1 << bits) - 1)
-        parts = []
-        for step, border in ((0, np.zeros(len(x))), (-1, x - own * width), (1, (own + 1) * width - x)):
-            far = apart + border * border
-            near = far <= reach * reach
-            parts.append((index[near], (home[near] << bits) | code(own[near]), (there[near] << bits) | code(own[near] + step), far[near]))
-        index, home, there, apart = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        # codes grow with the cells, so a copy that is ahead on the first axis that differs stays ahead
-        ahead = there > home
-        index, home, there, apart = index[~ahead], home[~ahead], there[~ahead], apart[~ahead]
-    return index, there, there == home
+def tree(block: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) of each inner node of a k-d tree, in heap order from 1."""
+    axis, cut, at = np.zeros(1 << depth, np.int64), np.zeros(1 << depth), np.ones(len(block), np.int64)
+    for level in range(depth):
+        for node in range(1 << level, 2 << level):
+            own = block[at == node]
+            if len(own):
+                axis[node] = own.var(axis=0).argmax()
+                cut[node] = np.median(own[:, axis[node]])
+        at = 2 * at + (block[np.arange(len(block)), axis[at]] > cut[at])
+    return axis, cut
+
+
+def leaves(block: np.ndarray, axis: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The leaf of the tree in which each row lies; neighbours have near numbers."""
+    at = np.ones(len(block), np.int64)
+    for _ in range(len(axis).bit_length() - 1):
+        at = 2 * at + (block[np.arange(len(block)), axis[at]] > cut[at])
+    return at
+
+
+def scaled(stacked: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component before, so that no square overflows or vanishes."""
+    wide = stacked.astype(np.float64)
+    return unit_rows(wide / np.abs(wide).max(axis=1, keepdims=True))
+
+
+def meet(a: tuple, b: tuple, same: bool, d: int, block: int, limit: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Links between two chunks ``(reps, copies, vectors)``, or within one, that count in this block."""
+    dims, turn = layout(d), rotation(d)
+    reps = np.concatenate([a[0], b[0]])
+    copies = np.concatenate([a[1], b[1]])
+    full = scaled(np.concatenate([a[2], b[2]]))
+    split, end = len(a[0]), len(reps)
+    if same:
+        reps, copies, full, end = reps[:split], copies[:split], full[:split], split
+    part = (full @ turn[:, dims[block]]).astype(np.float32)
+    square = (part * part).sum(axis=1, keepdims=True)
+    one = np.ones_like(square)
+    # the product of these is the squared distance
+    left, right = np.hstack([part, square, one]), np.ascontiguousarray(np.hstack([-2 * part, one, square])[0 if same else split :].T)
+    base = 0 if same else split
+    links, forest, exact, known = np.zeros(end, np.int64), Forest(end), np.zeros((end, d)), np.zeros(end, bool)
+    for start in range(0, split, 256):
+        skip = start if same else 0
+        apart = left[start : min(start + 256, split)] @ right[:, skip:]
+        hit = np.flatnonzero(apart <= np.float32(limit[block] + _ROUGH))
+        i, j = np.divmod(hit, apart.shape[1])
+        i, j = i + start, j + skip + base
+        if same:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 65_536):
+            x, y = i[at : at + 65_536], j[at : at + 65_536]
+            sure = (full[x] * full[y]).sum(axis=1) >= threshold
+            x, y = x[sure], y[sure]
+            fresh = np.unique(np.concatenate([x, y]))
+            fresh = fresh[~known[fresh]]
+            exact[fresh], known[fresh] = turned(full[fresh], turn), True
+            gap = exact[x] - exact[y]
+            within = np.stack([(gap[:, s] ** 2).sum(axis=1) for s in dims[: block + 1]], axis=1) <= limit[: block + 1] + _SLACK
+            first = within[:, block] & ~within[:, :block].any(axis=1)
+            x, y = x[first], y[first]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            forest.join(x, y)
+    told = np.flatnonzero(links > 0)
+    return pd.DataFrame({"node": reps[told], "links": links[told], "root": reps[forest.root[told]]})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each input row."""
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    raw = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    # single precision stays as it is, half the bytes
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    name, dtype = ("float", np.float32) if single else ("double", np.float64)
+    raw = vectors.select("vec_id", F.transform(F.col("embedding").cast(f"array<{name}>"), lambda x: x + F.lit(0.0).cast(name)).alias("v"))
     sound = F.coalesce(
         (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
-    # scaled by the largest component, so that no square overflows or vanishes
-    peak = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    sane = raw.filter(sound).select("vec_id", F.transform("v", lambda x: x / peak + 0.0).alias("v"))
-    classes = sane.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    once = durable(classes.select(F.monotonically_increasing_id().alias("rep"), "first_id", "copies", "v", F.size("v").alias("d")))
-    plans, axes = {}, {}
+    # 128 bits of hash stand for a vector where it need not be carried
+    keys = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("second"), "v").alias("k2")]
+    classes = raw.filter(sound).groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    once = durable(classes.select(F.monotonically_increasing_id().alias("rep"), "first_id", "copies", "v", F.size("v").alias("d"), *keys))
+    del classes
+    rows, plans, trees, chunks = TILE_ROWS, {}, {}, 0
     for row in once.groupBy("d").count().collect():
         seen = once.filter(F.col("d") == row.d).orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toPandas()
-        unit = unit_rows(np.stack(seen["v"].to_list()))
+        unit, own = scaled(np.stack(seen["v"].to_list())), -(-row["count"] // rows)
         plans[row.d], turn = budgets(unit, row.d, threshold), turned(unit, rotation(row.d))
-        axes[row.d] = [axes_for(turn[:, dims], float(np.sqrt(limit)), row["count"]) for dims, limit in zip(layout(row.d), plans[row.d], strict=True)]
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            for d, part in frame.groupby("d"):
-                turn = turned(unit_rows(np.stack(part["v"].to_list())), rotation(d))
-                for b, dims in enumerate(layout(d)):
-                    index, cell, home = cells(turn[:, dims], float(np.sqrt(plans[d][b])), axes[d][b])
-                    copy = part.iloc[index]
-                    yield pd.DataFrame({"d": d, "block": b, "cell": cell, "home": home, "rep": copy["rep"].to_numpy(), "copies": copy["copies"].to_numpy(), "v": copy["v"].to_numpy()})
-
-    members = once.mapInPandas(deal, "d int, block int, cell long, home boolean, rep long, copies long, v array<double>")
-
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        d, b = int(key[0]), int(key[1])
-        limit, dims, turn = plans[d], layout(d), rotation(d)
-        full = unit_rows(np.stack(frame["v"].to_list()))
-        part = full @ turn[:, dims[b]]
-        ids, copies = frame["rep"].to_numpy(), frame["copies"].to_numpy()
-        is_left, home = frame["left"].to_numpy(bool), frame["home"].to_numpy(bool)
-        along = part[:, -1]
-        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        left, right = left[np.argsort(along[left])], right[np.argsort(along[right])]
-        names, place = np.unique(ids, return_inverse=True)
-        links, forest = np.zeros(len(names), np.int64), Forest(len(names))
-        reach = float(np.sqrt(limit[b])) * (1 + 1e-6) + 1e-9
-        square = (part * part).sum(axis=1)
-        for start in range(0, len(left), 256):
-            own = left[start : start + 256]
-            lo, hi = np.searchsorted(along[right], [along[own[0]] - reach, along[own[-1]] + reach + 1e-12])
-            other = right[lo:hi]
-            if not len(other):
-                continue
-            apart = square[own][:, None] + square[other][None, :] - 2 * (part[own] @ part[other].T)
-            i, j = np.nonzero(apart <= reach * reach + _SLACK)
-            i, j = own[i], other[j]
-            once_each = ~home[j] | (ids[i] < ids[j])
-            i, j = i[once_each], j[once_each]
-            for at in range(0, len(i), 65_536):
-                x, y = i[at : at + 65_536], j[at : at + 65_536]
-                sure = (full[x] * full[y]).sum(axis=1) >= threshold
-                x, y = x[sure], y[sure]
-                gap = turned(full[x], turn) - turned(full[y], turn)
-                within = np.stack([(gap[:, s] ** 2).sum(axis=1) for s in dims[: b + 1]], axis=1) <= limit[: b + 1] + _SLACK
-                first = within[:, b] & ~within[:, :b].any(axis=1)
-                x, y = x[first], y[first]
-                np.add.at(links, place[x], copies[y])
-                np.add.at(links, place[y], copies[x])
-                forest.join(place[x], place[y])
-        told = np.flatnonzero((links > 0) | (forest.root != np.arange(len(names))))
-        return pd.DataFrame({"node": names[told], "links": links[told], "root": names[forest.root[told]]})
-
-    dealt = tiles(members, ["d", "block", "cell"], "rep", TILE_ROWS)
-    found = durable(dealt.groupBy("d", "block", "cell", "tile_i", "tile_j").applyInPandas(compare, "node long, links long, root long"))
+        trees[row.d] = [tree(turn[:, dims], min((own - 1).bit_length(), max(0, (len(unit) // 8).bit_length() - 1))) for dims in layout(row.d)]
+        chunks += own
+    parts = max(min(TILES, chunks), -(-chunks // TILES))
+
+    def search(b: int) -> DataFrame:
+        """Links that count in this block of each length's vectors."""
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches(frames):
+                for d, part in frame.groupby("d"):
+                    if b < len(layout(d)):
+                        turn = scaled(np.stack(part["v"].to_list())) @ rotation(d)[:, layout(d)[b]]
+                        yield part.assign(leaf=leaves(turn, *trees[d][b]))
+
+        def packed(d: int, part: pd.DataFrame) -> dict:
+            stacked = np.stack(part["v"].to_list()).astype(dtype)
+            turn, reach = scaled(stacked) @ rotation(d)[:, layout(d)[b]], float(plans[d][b]) + _ROUGH
+            return {"d": d, "reach": reach, "low": turn.min(axis=0), "high": turn.max(axis=0), "reps": part["rep"].to_numpy(np.int64).tobytes(), "copies": part["copies"].to_numpy(np.int64).tobytes(), "vectors": stacked.tobytes()}
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, pd.DataFrame] = {}
+            for frame in batches(frames):
+                for d, part in frame.groupby("d", sort=False):
+                    held[d] = pd.concat([held[d], part]) if d in held else part
+                    while len(held[d]) >= rows:
+                        yield pd.DataFrame([packed(d, held[d].iloc[:rows])])
+                        held[d] = held[d].iloc[rows:]
+            for d, part in held.items():
+                if len(part):
+                    yield pd.DataFrame([packed(d, part)])
+
+        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches(frames):
+                for r in frame.itertuples(index=False):
+                    d = int(r.d_a)
+                    a, b_side = ((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), np.frombuffer(z, dtype).reshape(-1, d)) for x, y, z in ((r.reps_a, r.copies_a, r.vectors_a), (r.reps_b, r.copies_b, r.vectors_b)))
+                    yield meet(a, b_side, r.id_a == r.id_b, d, b, plans[d], threshold)
+
+        placed = once.select("rep", "copies", "v", "d").mapInPandas(place, f"rep long, copies long, v array<{name}>, d int, leaf long")
+        # ranges divide a crowded leaf as well; few partitions, since each meets each
+        dealt = placed.repartitionByRange(parts, "d", "leaf", F.xxhash64("rep")).coalesce(parts).sortWithinPartitions("d", "leaf")
+        table = durable(dealt.mapInPandas(pack, "d int, reach double, low array<double>, high array<double>, reps binary, copies binary, vectors binary").withColumn("id", F.monotonically_increasing_id()))
+        one, other = (table.toDF(*[f"{c}_{n}" for c in table.columns]) for n in "ab")
+        minus = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
+        gaps = F.zip_with(minus("low_a", "high_b"), minus("low_b", "high_a"), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+        near = F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x * x) <= F.col("reach_a")
+        # no equality among the terms, which would shuffle each chunk to all that it meets
+        pairs = one.join(other.hint("shuffle_replicate_nl"), (F.col("id_a") <= F.col("id_b")) & (F.abs(F.col("d_a") - F.col("d_b")) < 1) & near)
+        return durable(pairs.select("d_a", "id_a", "id_b", "reps_a", "copies_a", "vectors_a", "reps_b", "copies_b", "vectors_b").mapInPandas(compare, "node long, links long, root long"))
+
+    found = once.sparkSession.createDataFrame([], "node long, links long, root long")
+    for b in range(max((len(layout(d)) for d in plans), default=0)):
+        found = found.unionByName(search(b))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     told = durable(
-        once.join(counts, once.rep == counts.node, "left")
+        once.select("rep", "first_id", "copies", "k1", "k2")
+        .join(counts, F.col("rep") == counts.node, "left")
         .drop("node")
         .join(groups, F.col("rep") == groups.node, "left")
-        .select("v", "first_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"))
+        .select("k1", "k2", "first_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"))
     )
     smallest = told.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    by_vector = told.join(smallest, "group").select("v", "n_links", "component_id", F.lit(True).alias("sound"))
-    keyed = raw.select("vec_id", F.when(sound, F.transform("v", lambda x: x / peak + 0.0)).alias("v"))
+    by_vector = told.join(smallest, "group").select("k1", "k2", "n_links", "component_id", F.lit(True).alias("sound"))
+    keyed = raw.select("vec_id", *[F.when(sound, k).alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)])
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return keyed.join(by_vector, "v", "left").select(
+    return keyed.join(by_vector, ["k1", "k2"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.cast("long").alias("component_id"),

@@ -155,6 +155,27 @@ def test_embeddings_match_brute_force(spark, monkeypatch, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    """However many chunks a vector meets, a block writes it once to a shuffle and once to a chunk."""
+    monkeypatch.setattr(embed_dedup, "TILE_ROWS", 16)
+    rng = np.random.default_rng(4)
+    n, d = 600, 32
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((n, d)).astype(np.float32))], "vec_id long, embedding array<float>")
+    kept, durable = [], embed_dedup.durable
+
+    def counted(x):
+        out = durable(x)
+        kept.append((out.columns, out))
+        return out
+
+    monkeypatch.setattr(embed_dedup, "durable", counted)
+    assert embed_dedup.near_duplicates(df).count() == n
+    chunks = [out.agg(F.sum(F.length("vectors")).alias("bytes"), F.count(F.lit(1)).alias("n")).first() for columns, out in kept if "vectors" in columns]
+    assert len(chunks) == len(embed_dedup.layout(d)) == 4
+    assert all(x.bytes == n * d * 4 and x.n >= n // 16 for x in chunks)
+    assert not hasattr(embed_dedup, "tiles")
+
+
 def lines_by_brute_force(rows):
     seen = sorted({(i, k, x.strip().lower()) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip()})
     unique = sorted({x for _, _, x in seen})
