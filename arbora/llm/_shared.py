@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one side of a comparison tile; no task ever holds more than two such sides.
 TILE_ROWS = 4096
@@ -168,9 +169,11 @@ def _to_roots(hung: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in a sieve: its broadcast has at most so many rows, whatever the input.
 SIEVE_WORDS = 1 << 16
+#: The same for the sieve of all shared bands, which are many: 21 MB at most to broadcast.
+BAND_WORDS = 1 << 19
 
 
-def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def sieve(rows: DataFrame, column: str, keys: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
     """The rows whose ``column`` may be among ``keys``' one: a superset without any loss, to be joined exactly after.
 
     The keys' hashes set bits of a bitmap of fixed size, which is broadcast, so that
@@ -178,7 +181,7 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """
     def at(name: str):
         h = F.xxhash64(name, F.lit("sieve"))
-        return F.pmod(h, F.lit(SIEVE_WORDS)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+        return F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
 
     word, bit = at(keys.columns[0])
     bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
@@ -191,6 +194,8 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 BUCKET_ROWS = 2048
 #: Nodes of a band from which on its hub is chosen with care.
 CROWDED = 8
+#: Nodes of a band up to which all its pairs are met at once, half as many a node at most.
+MET = 64
 #: Nodes that meet a whole band before its pairs do.
 PIVOTS = 16
 Test = Callable[[Column, Column], Column]
@@ -205,6 +210,39 @@ def band_members(sketched: DataFrame) -> DataFrame:
     return durable(sieve(rows, "band", shared.select("band")).join(shared, "band"))
 
 
+def spread(rows: DataFrame, column: str, name: str) -> tuple[list[Column], Column]:
+    """A column as one column a field, if it is a struct, and what puts them together: rows that are dealt are smaller without the struct."""
+    kind = rows.schema[column].dataType
+    if not isinstance(kind, StructType):
+        return [F.col(column).alias(name)], F.col(name)
+    return [F.col(column)[x].alias(f"{name}_{x}") for x in kind.names], F.struct(*[F.col(f"{name}_{x}").alias(x) for x in kind.names])
+
+
+def likely_pairs(sketched: DataFrame, likely: Test, likeness: Test) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, like)``: the likely pairs of all bands of up to ``MET`` nodes, and the members of larger bands that have a likely partner there.
+
+    Most nodes that share a band do so by chance; their bands are dealt once, and nothing else is kept or read for them.
+    ``sketched`` is ``(node, mark, bands)``.
+    """
+    rows = sketched.select("node", "mark", F.explode("bands").alias("band"))
+    shared = durable(rows.select("band").groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    large = shared.filter(F.col("n") > MET)
+    few_large = large.count() <= BROADCAST_ROWS
+    # sixteen bits a band let few others through, as long as there are enough words
+    words = min(BAND_WORDS, max(SIEVE_WORDS, 1 << (shared.count() // 4).bit_length()))
+    passed = sieve(rows, "band", shared.filter(F.col("n") <= MET).select("band"), words)
+    # what else the sieve lets through is alone in its band, but for large bands
+    passed = passed.join(F.broadcast(large) if few_large else large, "band", "left_anti")
+    (left, mark_a), (right, mark_b) = (spread(passed, "mark", f"mark_{n}") for n in "ab")
+    one, other = (passed.select(F.col("band").alias(f"band_{n}"), F.col("node").alias(n), *fields) for n, fields in (("a", left), ("b", right)))
+    meet = (F.col("band_a") == F.col("band_b")) & (F.col("a") < F.col("b")) & likely(mark_a, mark_b)
+    pairs = durable(one.join(other, meet).select("a", "b", likeness(mark_a, mark_b).alias("like")).distinct())
+    crowded = durable(rows.join(F.broadcast(large), "band") if few_large else sieve(rows, "band", large.select("band"), words).join(large, "band"))
+    # every node is a component of its own; whichever is called the largest, the same are found
+    alone = crowded.withColumns({"c": F.col("node"), "largest": F.lit(0).cast("long")})
+    return pairs, partnered(alone, likely).drop("c", "largest")
+
+
 def band_hubs(members: DataFrame) -> DataFrame:
     """``(band, first, hub)``: a node of each band and its mark, in crowded bands the one that meets most others in all its bands.
 
@@ -265,14 +303,17 @@ def band_components(
     # a pair that shares several bands is met in the least of them only
     mixed = durable(mixed.join(mixed.groupBy("node").agg(F.collect_list("band").alias("bands")), "node"))
 
+    parts = {n: [spread(mixed, x, f"{x}_{n}") for x in ("mark", "sign")] for n in "ab"}
+
     def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        both = left.join(right, keys).filter("ca <> cb AND (main OR a < b)").filter(likely(F.col("mark_a"), F.col("mark_b")))
+        (mark_a, sign_a), (mark_b, sign_b) = ([whole for _, whole in parts[n]] for n in "ab")
+        both = left.join(right, keys).filter("ca <> cb AND (main OR a < b)").filter(likely(mark_a, mark_b))
         if differ is not None:
-            both = both.filter(differ(F.col("sign_a"), F.col("sign_b")))
+            both = both.filter(differ(sign_a, sign_b))
         pairs = both.filter(F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return durable(pairs.distinct().join(done, ["a", "b"], "left_anti"))
 
-    side = lambda n: [F.col("node").alias(n), F.col("c").alias(f"c{n}"), *(F.col(x).alias(f"{x}_{n}") for x in ("mark", "sign", "bands"))]
+    side = lambda n: [F.col("node").alias(n), F.col("c").alias(f"c{n}"), *(x for fields, _ in parts[n] for x in fields), F.col("bands").alias(f"bands_{n}")]
     work = mixed.groupBy("band").agg(F.first("n").alias("n"), F.first("most").alias("most")).agg(F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
     if (work.pairs or 0) > PIVOTS * (work.rows or 0):
         # some nodes outside the largest component meet all others first: what they link needs no meeting in pairs
@@ -280,7 +321,7 @@ def band_components(
         first = met(chosen.select("band", *side("a")), mixed.select("band", *side("b"), F.lit(True).alias("main")), ["band"])
         links = durable(links.unionByName(check(first)))
         done, merged = done.unionByName(first), components(links)
-        mixed = several(mixed, merged)
+        mixed = several(mixed, merged, 1)
     outside, every = facing(mixed, side("a"), side("b"))
     fresh = met(outside, every, ["band", "part"])
     more = durable(check(fresh))
@@ -300,23 +341,26 @@ def partnered(mixed: DataFrame, likely: Test) -> DataFrame:
 
     Most nodes that share a band by chance have none, so that they are left out before anything is read or kept for them.
     """
-    side = lambda n: [F.col("node").alias(n), F.col("c").alias(f"c{n}"), F.col("mark").alias(f"mark_{n}")]
-    outside, every = facing(mixed, side("a"), side("b"))
+    (left, mark_a), (right, mark_b) = (spread(mixed, "mark", f"mark_{n}") for n in "ab")
+    side = lambda n, fields: [F.col("node").alias(n), F.col("c").alias(f"c{n}"), *fields]
+    outside, every = facing(mixed, side("a", left), side("b", right))
     outside, every = outside.alias("l"), every.alias("r")
-    meet = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("ca") != F.col("cb")) & likely(F.col("mark_a"), F.col("mark_b"))
+    meet = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("ca") != F.col("cb")) & likely(mark_a, mark_b)
     ones = outside.join(every, meet, "left_semi").select("band", F.col("a").alias("node"))
     others = every.filter("main").join(outside, meet, "left_semi").select("band", F.col("b").alias("node"))
     # both ends of such a pair stay in every band they share
     return durable(mixed.join(durable(ones.distinct().unionByName(others)), ["band", "node"]))
 
 
-def several(members: DataFrame, merged: DataFrame) -> DataFrame:
-    """The members of bands that hold several components, with their component ``c``, the band's ``largest`` one, its ``most`` nodes and all ``n``."""
+def several(members: DataFrame, merged: DataFrame, met: int = 2) -> DataFrame:
+    """The members of bands of more than ``met`` nodes that hold several components, with their component ``c``, the band's ``largest`` one, its ``most`` nodes and all ``n``.
+
+    A band of two is its hub's pair, but no longer where members were left out: the hub may have been one of them.
+    """
     own = members.select(*[x for x in members.columns if x not in ("c", "largest", "most", "n")])
     label = durable(own.join(merged.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").drop("_of").withColumn("c", F.coalesce("component", "node")).drop("component"))
     sizes = label.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    # a band of two is its hub's pair
-    return durable(label.join(sizes.filter("most < n AND n > 2"), "band"))
+    return durable(label.join(sizes.filter((F.col("most") < F.col("n")) & (F.col("n") > met)), "band"))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -11,8 +11,10 @@ A candidate pair is linked if the exact Jaccard similarity of
 *all* character shingles of length ``SHINGLE`` is at least ``SIMILARITY``. Connected
 lines form a component, of which the first line (by doc_id, then line number) stays.
 
-Within a band every line is first verified against the band's smallest line, beginning with
-the one of its bands' smallest lines that agrees best; what this
+The candidates of bands of up to 64 lines are found as the bands are dealt; of these pairs the
+likeliest of each line is verified first, then those that still lie apart. Texts are read once, for lines that have a candidate.
+Within a larger band every line is first verified against a typical line of the band, beginning with
+the band where this one agrees best; what this
 links is merged. Then every pair of lines of one band that still lie in different
 components is met: the lines outside the band's largest component on one side, all of them
 on the other, so that a band of thousands of near-copies costs a check or two a line,
@@ -32,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm._shared import band_components, band_members, durable, sieve
+from arbora.llm._shared import apart, band_components, components, durable, likely_pairs, sieve
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -65,14 +67,17 @@ def minima(all_lines: DataFrame) -> DataFrame:
     """``(h1, m0, m1, ...)``: the least hash in each bin, null where there is none."""
     # a line of few different words has few different shingles, however long it is
     distinct = F.least(F.char_length("line"), 8 * F.size(F.array_distinct(F.split("line", " "))))
-    level = F.greatest(F.lit(0), F.floor(F.log2(distinct / SAMPLED))).cast("int")
+    level = F.when(F.char_length("line") < 2 * SAMPLED, 0).otherwise(F.greatest(F.lit(0), F.floor(F.log2(distinct / SAMPLED)))).cast("int")
     # four bytes a character, so that a shingle is found by its place
     wide = all_lines.select("h1", F.encode("line", "UTF-32").alias("wide"), level.alias("level"))
     every = F.sequence(F.lit(1), F.greatest(F.length("wide") - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
     each = wide.select("h1", "wide", F.expr(f"shiftright({2**63 - 1}L, level)").alias("top"), F.explode_outer(every).alias("at"))
     hashed = each.select("h1", "top", F.shiftrightunsigned(F.xxhash64(F.substring("wide", F.col("at"), F.lit(4 * SHINGLE))), 1).alias("g"))
-    small = hashed.filter("g <= top").select("h1", "g", F.pmod("g", F.lit(BINS)).alias("bin"))
-    return small.groupBy("h1").agg(*[F.min(F.when(F.col("bin") == k, F.col("g"))).alias(f"m{k}") for k in range(BINS)])
+    small = hashed.filter("g <= top").select("h1", "g", (F.col("g") % BINS).cast("int").alias("bin"))
+    # a minimum of values that are never null costs less
+    none = F.lit(2**63 - 1)
+    least = small.groupBy("h1").agg(*[F.min(F.when(F.col("bin") == k, F.col("g")).otherwise(none)).alias(f"m{k}") for k in range(BINS)])
+    return least.select("h1", *[F.nullif(F.col(f"m{k}"), none).alias(f"m{k}") for k in range(BINS)])
 
 
 def sketched(all_lines: DataFrame) -> DataFrame:
@@ -80,13 +85,14 @@ def sketched(all_lines: DataFrame) -> DataFrame:
     least = [F.col(f"m{k}") for k in range(BINS)]
     bits = lambda m: F.coalesce(F.pmod(F.shiftright(m, 24), F.lit(127)) + 1, F.lit(0)).cast("long")
     words = [reduce(Column.bitwiseOR, [F.shiftleft(bits(m), 8 * k) for k, m in enumerate(least[w : w + 7])]) for w in range(0, BINS, 7)]
-    rows = minima(all_lines).select("h1", F.struct(*[x.alias(f"w{w}") for w, x in enumerate(words)]).alias("mark"), F.array(*least).alias("all"))
-    m = rows.withColumn("m", F.when(F.size(F.array_compact("all")) < BINS - BAND, F.array_compact("all")).otherwise(F.col("all")))
-    at = lambda i: F.get("m", F.pmod(i, F.size("m")))
-    # a band that holds an empty bin is none
-    band = lambda i: F.when(reduce(Column.__and__, [at(i + j).isNotNull() for j in range(BAND)]), F.xxhash64(*[at(i + j) for j in range(BAND)]))
-    starts = F.sequence(F.lit(0), F.size("m") - 1, F.when(F.size("m") == BINS, F.lit(2)).otherwise(F.lit(1)))
-    return m.select("h1", "mark", F.array_compact(F.array_distinct(F.transform(starts, band))).alias("bands"))
+    rows = minima(all_lines).select("h1", F.struct(*[x.alias(f"w{w}") for w, x in enumerate(words)]).alias("mark"), *least)
+    hashed = lambda at: F.when(reduce(Column.__and__, [x.isNotNull() for x in at]), F.xxhash64(*at))  # noqa: E731  a band that holds an empty bin is none
+    every = F.array(*[hashed([least[(i + j) % BINS] for j in range(BAND)]) for i in range(0, BINS, 2)])
+    held = F.array_compact(F.array(*least))
+    packed = F.transform(F.sequence(F.lit(0), F.size(held) - 1), lambda i: hashed([F.get(held, F.pmod(i + j, F.size(held))) for j in range(BAND)]))
+    count = reduce(Column.__add__, [x.isNotNull().cast("int") for x in least])
+    bands = F.when(count < BINS - BAND, packed).otherwise(every)
+    return rows.select("h1", "mark", F.array_compact(F.array_distinct(bands)).alias("bands"))
 
 
 def _zeros(x: Column) -> Column:
@@ -162,26 +168,37 @@ def read_again(all_lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return durable(sieve(all_lines.select("h1", "line"), "h1", nodes).join(nodes, "h1").groupBy("h1").agg(F.first("line").alias("line")))
 
 
-def verifier(all_lines: DataFrame, pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """What verifies some of ``pairs``; only their lines are read again."""
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are similar enough; where they outnumber their lines, parities rule out most others first."""
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    texts = read_again(all_lines, nodes)
     if pairs.count() > CROWD * nodes.count():
-        return lambda some: verified(durable(close(some, texts)), texts)
-    return lambda some: verified(some, texts)
+        return verified(durable(close(pairs, texts.join(nodes, "h1"))), texts)
+    return verified(pairs, texts)
 
 
-def signer(all_lines: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
+def signer(texts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column], Callable[[DataFrame], DataFrame]]:
     """The signs of the lines ``nodes(node)``, what two of them tell, and what verifies pairs of these lines."""
-    texts = read_again(all_lines, nodes.withColumnRenamed("node", "h1"))
-    return signs(texts), may_agree, lambda some: verified(some, texts)
+    return signs(texts.join(nodes.withColumnRenamed("node", "h1"), "h1")), may_agree, lambda some: verified(some, texts)
+
+
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what all similar ones of ``pairs(a, b, like)`` do: the likeliest of each line, then those that lie apart still."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
+    likeliest = both.groupBy("a").agg(F.max(F.struct("like", "b")).alias("of")).select(F.least("a", "of.b").alias("a"), F.greatest("a", "of.b").alias("b"))
+    best = durable(likeliest.distinct())
+    links = durable(verified(best, texts))
+    rest = durable(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links)))
+    return links if rest.isEmpty() else durable(links.unionByName(checked(rest, texts)))
 
 
 def groups(all_lines: DataFrame, own: DataFrame) -> DataFrame:
     """``(node, component)`` over the hashes of lines that are linked with another line; ``own`` are the sketches."""
-    members = band_members(own.select(F.col("h1").alias("node"), "mark", "bands"))
+    pairs, crowded = likely_pairs(own.select(F.col("h1").alias("node"), "mark", "bands"), agree, likeness)
     del own
-    return band_components(members, agree, likeness, lambda pairs: verifier(all_lines, pairs), signer=lambda nodes: signer(all_lines, nodes))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(crowded.select(F.col("node").alias("h1")))
+    texts = read_again(all_lines, durable(asked.distinct()))
+    links = linked(pairs, texts)
+    return band_components(crowded, agree, likeness, lambda _: lambda some: checked(some, texts), links, signer=lambda nodes: signer(texts, nodes))
 
 
 def decide(docs: DataFrame) -> DataFrame:

@@ -448,3 +448,39 @@ def test_nodes_without_a_likely_partner_are_not_read_again(spark, monkeypatch, b
     got = _shared.band_components(members, likely, lambda x, y: -F.abs(x - y), lambda pairs: lambda some: some, signer=signer)
     assert {r.node: r.component for r in got.collect()} == {k: int(forest.root[k]) for k in near}
     assert 10 < len(asked[0]) and asked[0] <= near and len(near) < 0.6 * len(marks)
+
+
+def test_bands_of_two_are_met_where_their_hub_was_left_out(spark, monkeypatch):
+    """Two likely nodes whose band's hub has no partner are still met after the pivots."""
+    monkeypatch.setattr(_shared, "PIVOTS", 0)
+    members = spark.createDataFrame([(0, 1, 0, 3), (0, 2, 100, 3), (0, 3, 101, 3)], "band long, node long, mark long, n long")
+    signer = lambda nodes: (nodes.withColumn("sign", F.lit(0)), lambda x, y: F.lit(True), lambda some: some)
+    got = _shared.band_components(members, lambda x, y: F.abs(x - y) <= 2, lambda x, y: -F.abs(x - y), lambda pairs: lambda some: some, signer=signer)
+    assert {r.node: r.component for r in got.collect()} == {2: 2, 3: 2}
+
+
+def test_lines_that_share_a_band_by_chance_are_not_kept(spark, monkeypatch):
+    """Small bands are met as they are dealt: none of their members is kept, and texts are read once, for lines with a likely partner."""
+    rng = random.Random(84)
+    words = lambda n: " ".join("".join(rng.choice(LETTERS) for _ in range(6)) for _ in range(n))
+    passage = words(14)
+    rows = [(k, f"{passage} {words(16)}", "s") for k in range(300)]
+    rows += [(300 + k, edited(rng, rows[k][1], 2), "s") for k in range(0, 300, 10)]
+    kept, read = [], []
+    durable, again = _shared.durable, line_dedup.read_again
+
+    def counted(df):
+        out = durable(df)
+        if {"band", "node"} <= set(df.columns):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(_shared, "durable", counted)
+    monkeypatch.setattr(line_dedup, "read_again", lambda lines, nodes: read.append(nodes.count()) or again(lines, nodes))
+    got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()}
+    assert got == lines_by_brute_force(rows) and len(got) == 30
+    assert sum(kept) == 0 and len(read) == 1 and read[0] < len(rows) / 2
+    # the same lines by the way of larger bands
+    monkeypatch.setattr(_shared, "MET", 1, raising=False)
+    assert {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).collect()} == got
+    assert sum(kept) > 0
