@@ -137,4 +137,4 @@ def add_low_rank(h: HMatrix, a: LowRank, eps: float | None = None) -> HMatrix:
             if rows:
                 yield pd.DataFrame(rows)[names]
 
-    return replace(h, leaves=durable(own.mapInPandas(run, SCHEMA)))
+    return replace(h, leaves=durable(own.mapInPandas(run, SCHEMA)), stream=None)

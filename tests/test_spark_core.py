@@ -265,3 +265,42 @@ def test_queries_match_their_oracles(spark):
 def test_flagship(spark):
     out = entry.entry(spark)
     assert out.columns == ["o_orderkey", "y"] and out.count() == 1500
+
+
+def test_streamed_matrices_equal_stored_ones(spark, cloud):
+    """Planned and filled inside tasks: the same leaves, products and norms, for either side, half, owner and factors."""
+    tree = clustering.build(cloud, Clustering(leaf=20, owners=2))
+    x = np.stack(tree.points.orderBy("pos").select("coords").toPandas()["coords"].to_list())
+    v = np.linspace(1, 2, tree.size)
+    for kernel, options in (("ex_inv5", hmatrix.Options(eps=1e-7)), ("reg_sym", hmatrix.Options(eps=1e-7, symmetry="S", uplo="L")), ("reg_herm", hmatrix.Options(eta=1e-300))):
+        stored, streamed = (hmatrix.assemble(tree, tree, kernel, options, stored=s) for s in (True, False))
+        plan = lambda h: sorted(map(tuple, h.leaves.select("t_off", "t_size", "s_off", "s_size", "owner", "s_owner", "storage", "mirror", "rank").collect()))
+        assert plan(stored) == plan(streamed)
+        a = KERNELS[kernel].block(x, x)
+        for trans in "NT":
+            got = np.stack([np.atleast_1d(r) for r in values(streamed.product(vector(spark, v), trans))])
+            want = (a if trans == "N" else a.T) @ v
+            assert np.allclose(got, np.stack([want.real, want.imag], 1) if np.iscomplexobj(want) else want[:, None], rtol=1e-5)
+        norm = streamed.frobenius().first()
+        assert norm.entries == a.size and np.isclose(norm.norm, np.linalg.norm(a), rtol=1e-6) and np.isclose(stored.frobenius().first().norm, norm.norm)
+    off, size = tree.part(1)
+    part = streamed.restricted(1).product(vector(spark, v))
+    assert sorted(r.pos for r in part.collect()) == list(range(off, off + size))
+    inner = np.stack(streamed.local_product(1, vector(spark, v[off : off + size])).orderBy("pos").toPandas()["val"].to_list())
+    assert np.allclose(inner[:, 0], (a[off : off + size, off : off + size] @ v[off : off + size]).real)
+    assert np.isclose(streamed.scale(2.0).frobenius().first().norm, 2 * norm.norm)
+
+
+STREAMED = ["complex_matvec"]
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_no_payload_is_stored(spark, name, monkeypatch):
+    """Queries that multiply once keep neither leaves nor a plan of blocks."""
+
+    def never(*_):
+        raise AssertionError("the matrix is stored")
+
+    monkeypatch.setattr(hmatrix, "durable", never)
+    monkeypatch.setattr(hmatrix, "leaf_plan", never)
+    assert entry.queries()[name](spark, SF).count() > 0
