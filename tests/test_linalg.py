@@ -129,3 +129,16 @@ def test_block_plan_rejects_bad_options():
         blocks.build(root, root, blocks.rjasanow_steinbach(10.0), "S", "N")
     with pytest.raises(ValueError):
         Clustering(children=1)
+
+
+@pytest.mark.parametrize("name", ["partial_aca"])
+@pytest.mark.parametrize("eps", [1e-4, 1e-8, 1e-12])
+def test_crosses_of_repeated_points(name, eps):
+    """Copies of a point give rows whose residual is rounding; they do not end the crosses."""
+    rng = np.random.default_rng(2)
+    x, y = (np.repeat(rng.random((k, 2)), 6, axis=0) for k in (120, 90))
+    x, y = x[rng.permutation(len(x))], y + [1.5, 0]
+    for kernel in ("ex_inv1", "reg_sym_c"):
+        a = KERNELS[kernel].block(x, y)
+        u, v = lowrank.COMPRESSORS[name](lambda r, c: a[np.ix_(r, c)], *a.shape, eps)  # noqa: B023
+        assert np.linalg.norm(u @ v - a) < 10 * eps * np.linalg.norm(a)
