@@ -131,7 +131,7 @@ def test_block_plan_rejects_bad_options():
         Clustering(children=1)
 
 
-@pytest.mark.parametrize("name", ["partial_aca", "recompressed_sym_partial_aca", "sym_partial_aca"])
+@pytest.mark.parametrize("name", ["partial_aca", "recompressed_sym_partial_aca", "sym_partial_aca", "recompressed_partial_aca"])
 @pytest.mark.parametrize("eps", [1e-4, 1e-8, 1e-12])
 def test_crosses_of_repeated_points(name, eps):
     """Copies of a point give rows whose residual is rounding; they do not end the crosses."""
