@@ -291,7 +291,7 @@ def test_streamed_matrices_equal_stored_ones(spark, cloud):
     assert np.isclose(streamed.scale(2.0).frobenius().first().norm, 2 * norm.norm)
 
 
-STREAMED = ["complex_matvec", "given_partition_matvec", "kernel_matvec", "kernel_multi_rhs", "local_to_local_matvec", "operator_sum_matvec", "kernel_alpha_beta", "kernel_matvec_symmetric", "kernel_transpose", "matrix_frobenius", "owner_partition_matvec"]
+STREAMED = ["complex_matvec", "given_partition_matvec", "kernel_matvec", "kernel_multi_rhs", "local_to_local_matvec", "operator_sum_matvec", "kernel_alpha_beta", "kernel_matvec_symmetric", "kernel_transpose", "matrix_frobenius", "owner_partition_matvec", "hmatrix_matvec_verdict"]
 
 
 @pytest.mark.parametrize("name", STREAMED)
@@ -304,3 +304,12 @@ def test_no_payload_is_stored(spark, name, monkeypatch):
     monkeypatch.setattr(hmatrix, "durable", never)
     monkeypatch.setattr(hmatrix, "leaf_plan", never)
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_uncompressed_products_run_in_tiles(spark, cloud, monkeypatch):
+    monkeypatch.setattr(hmatrix, "TILE", (50, 70))
+    tree = clustering.build(cloud, Clustering(leaf=20))
+    x = hmatrix.coordinates(tree)
+    v = np.linspace(1, 2, tree.size)
+    got = hmatrix.dense_product(tree, tree, "ex_inv5", vector(spark, v))
+    assert got.count() == tree.size and np.allclose(values(got), KERNELS["ex_inv5"].block(x, x) @ v)
