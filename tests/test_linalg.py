@@ -142,3 +142,22 @@ def test_crosses_of_repeated_points(name, eps):
         a = KERNELS[kernel].block(x, y)
         u, v = lowrank.COMPRESSORS[name](lambda r, c: a[np.ix_(r, c)], *a.shape, eps)  # noqa: B023
         assert np.linalg.norm(u @ v - a) < 10 * eps * np.linalg.norm(a)
+
+
+@pytest.mark.parametrize("name", ["svd", "full_aca"])
+def test_no_more_than_a_tile_of_a_large_block_is_held(name, monkeypatch):
+    monkeypatch.setattr(lowrank, "SVD_TILE", 60)
+    monkeypatch.setattr(lowrank, "CROSS_TILE", 60)
+    rng = np.random.default_rng(3)
+    a = KERNELS["reg_sym_c"].block(rng.random((330, 2)), rng.random((210, 2)) + [1.5, 0])
+    read = np.zeros(a.shape, int)
+
+    def entries(r, c):
+        assert max(len(r), len(c)) <= 60
+        read[np.ix_(r, c)] += 1
+        return a[np.ix_(r, c)]
+
+    for eps in (1e-4, 1e-10):
+        read[:] = 0
+        u, v = lowrank.COMPRESSORS[name](entries, *a.shape, eps)
+        assert (read == 1).all() and np.linalg.norm(u @ v - a) < eps * np.linalg.norm(a)
