@@ -291,7 +291,7 @@ def test_streamed_matrices_equal_stored_ones(spark, cloud):
     assert np.isclose(streamed.scale(2.0).frobenius().first().norm, 2 * norm.norm)
 
 
-STREAMED = ["complex_matvec", "given_partition_matvec", "kernel_matvec", "kernel_multi_rhs", "local_to_local_matvec", "operator_sum_matvec", "kernel_alpha_beta", "kernel_matvec_symmetric", "kernel_transpose", "matrix_frobenius", "owner_partition_matvec", "hmatrix_matvec_verdict", "hmatrix_recompressed_verdict", "hmatrix_orders"]
+STREAMED = ["complex_matvec", "given_partition_matvec", "kernel_matvec", "kernel_multi_rhs", "local_to_local_matvec", "operator_sum_matvec", "kernel_alpha_beta", "kernel_matvec_symmetric", "kernel_transpose", "matrix_frobenius", "owner_partition_matvec", "hmatrix_matvec_verdict", "hmatrix_recompressed_verdict", "hmatrix_orders", "hmatrix_orders_checked"]
 
 
 @pytest.mark.parametrize("name", STREAMED)
