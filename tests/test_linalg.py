@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from arbora.functions.kernels import KERNELS
-from arbora.operators import dense, lowrank
+from arbora.functions.kernels import KERNELS, Kernel
+from arbora.operators import dense, hmatrix, lowrank
 from arbora.operators.htree import from_block
 from arbora.plans import blocks
 from arbora.plans.clustering import Clustering, cut, subtree
@@ -161,3 +161,27 @@ def test_no_more_than_a_tile_of_a_large_block_is_held(name, monkeypatch):
         read[:] = 0
         u, v = lowrank.COMPRESSORS[name](entries, *a.shape, eps)
         assert (read == 1).all() and np.linalg.norm(u @ v - a) < eps * np.linalg.norm(a)
+
+
+@pytest.mark.parametrize("name", ["full_aca", "sym_partial_aca", "recompressed_sym_partial_aca", "recompressed_partial_aca"])
+def test_a_point_that_is_rare_among_copies_is_not_missed(name):
+    """The rows looked at before crosses stop may all be copies of points that were taken; each point is compressed once."""
+    rng, eps = np.random.default_rng(5), 1e-12
+    for _ in range(150):
+        x, y = (rng.random((4, 2))[rng.permutation(np.repeat(np.arange(4), [14, 8, 6, 1]))] for _ in range(2))
+        row = hmatrix.Row(40, len(x), 0, len(y), 0, 0, "lowrank", "N", False, [])
+        parts, failed = hmatrix.payload(row, KERNELS["ex_inv1"], x, y + [3, 0], hmatrix.Options(eps=eps, compressor=name))
+        a = KERNELS["ex_inv1"].block(x, y + [3, 0])
+        assert not failed and len(parts) == 2 and np.linalg.norm(parts[0] @ parts[1] - a) < 20 * eps * np.linalg.norm(a)
+        assert np.abs(parts[0] @ parts[1] - a).max() < 1e-10
+
+
+def test_copies_of_points_are_not_crossed_again():
+    """Of 40 x 30 points in ten copies each full crosses read one entry a pair of points."""
+    rng, read = np.random.default_rng(6), []
+    x, y = (np.repeat(rng.random((k, 2)), 10, axis=0) for k in (40, 30))
+    kernel = Kernel("counted", lambda a, b: read.append(len(a) * len(b)) or KERNELS["ex_inv1"].block(a, b))
+    row = hmatrix.Row(0, len(x), 0, len(y), 0, 0, "lowrank", "N", False, [])
+    parts, _ = hmatrix.payload(row, kernel, x, y + [2, 0], hmatrix.Options(eps=1e-10, compressor="full_aca"))
+    a = KERNELS["ex_inv1"].block(x, y + [2, 0])
+    assert sum(read) == 40 * 30 and np.linalg.norm(parts[0] @ parts[1] - a) < 1e-10 * np.linalg.norm(a)
