@@ -313,3 +313,22 @@ def test_uncompressed_products_run_in_tiles(spark, cloud, monkeypatch):
     v = np.linspace(1, 2, tree.size)
     got = hmatrix.dense_product(tree, tree, "ex_inv5", vector(spark, v))
     assert got.count() == tree.size and np.allclose(values(got), KERNELS["ex_inv5"].block(x, x) @ v)
+
+
+@pytest.mark.parametrize("name", ["lu_solve_verdict", "lu_solution_transposed", "cholesky_solution", "cholesky_solve_verdict", "cg_schwarz_verdict"])
+def test_systems_too_large_for_one_task(spark, name, monkeypatch):
+    """Beyond ``DIRECT`` points nothing is factorised as a whole and no owner's inverse is made; the results are the same."""
+    duckdb = pytest.importorskip("duckdb")
+    data = SF.replace("sf0.001", "sf0.01")
+
+    def refused(*_):
+        raise AssertionError("one task or the driver would hold it all")
+
+    for module, part in ((factor, "_made"), (solvers, "local_inverses")):
+        monkeypatch.setattr(module, part, refused)
+    monkeypatch.setattr(factor, "DIRECT", 50)
+    monkeypatch.setattr(factor, "DIAGONAL", 30)
+    got = entry.queries()[name](spark, data).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{data}/supplier.parquet'")
+    assert sorted(tuple(r) for r in got) == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
