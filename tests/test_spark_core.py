@@ -332,3 +332,27 @@ def test_systems_too_large_for_one_task(spark, name, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{data}/supplier.parquet'")
     assert sorted(tuple(r) for r in got) == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("kernel", ["ex_inv5", "reg_herm"])
+def test_products_of_matrices_that_are_not_stored_are_composed(spark, made, kernel):
+    tree, _, _ = made
+    x = np.stack(tree.points.orderBy("pos").select("coords").toPandas()["coords"].to_list())
+    a = KERNELS[kernel].block(x, x)
+    h = hmatrix.assemble(tree, tree, kernel, hmatrix.Options(eps=1e-7), stored=False)
+    v = np.random.default_rng(5).standard_normal(240)
+    both = factor.product(h, h)
+    assert both.shape == (240, 240)
+    for trans, want in (("N", a @ (a @ v)), ("T", a.T @ (a.T @ v)), ("C", a.conj().T @ (a.conj().T @ v))):
+        got = values(both.product(vector(spark, v), trans))
+        got = np.stack(got).view(complex)[:, 0] if np.iscomplexobj(a) else got
+        assert np.linalg.norm(got - want) < 1e-5 * np.linalg.norm(want)
+    if kernel == "ex_inv5":
+        assert np.allclose(values(factor.multiply(h, h, vector(spark, v))), a @ (a @ v), rtol=1e-4, atol=1e-4)
+
+
+def test_product_verdict_beyond_one_task_stores_no_matrix(spark, monkeypatch):
+    monkeypatch.setattr(factor, "FORMED", 10)
+    monkeypatch.setattr(hmatrix, "leaf_plan", lambda *_: pytest.fail("the blocks were planned on the driver"))
+    got = entry.queries()["hmatrix_product_verdict"](spark, SF).toPandas()
+    assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count() and got["agrees"].all()
