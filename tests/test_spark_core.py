@@ -356,3 +356,11 @@ def test_product_verdict_beyond_one_task_stores_no_matrix(spark, monkeypatch):
     monkeypatch.setattr(hmatrix, "leaf_plan", lambda *_: pytest.fail("the blocks were planned on the driver"))
     got = entry.queries()["hmatrix_product_verdict"](spark, SF).toPandas()
     assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count() and got["agrees"].all()
+
+
+def test_product_matvec_beyond_one_task_is_the_same(spark, monkeypatch):
+    want = {r.point_id: r.y for r in entry.queries()["hmatrix_product_matvec"](spark, SF).collect()}
+    monkeypatch.setattr(factor, "FORMED", 5)
+    monkeypatch.setattr(factor, "PAYLOAD_BYTES", 8)
+    got = {r.point_id: r.y for r in entry.queries()["hmatrix_product_matvec"](spark, SF).collect()}
+    assert got and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-4 for k in want)
