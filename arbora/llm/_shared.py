@@ -154,7 +154,19 @@ def _few_components(edges: DataFrame) -> DataFrame:
     forest = Forest(len(names))
     forest.join(place[: len(a)], place[len(a) :])
     # names are sorted, so the least place of a tree is its smallest node
-    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(names, pa.int64()), "component": pa.array(names[forest.root], pa.int64())}))
+    return bare(dealt_table(edges.sparkSession, pa.table({"node": pa.array(names, pa.int64()), "component": pa.array(names[forest.root], pa.int64())})))
+
+
+def dealt_table(spark: SparkSession, rows: pa.Table) -> DataFrame:
+    """An Arrow table of the driver as batches that tasks read. As Spark's local relation each row would be an object in the
+    driver's heap, and every plan that selects from it would make them anew there."""
+    threshold = "spark.sql.execution.arrow.localRelationThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "0")
+    try:
+        return spark.createDataFrame(rows)
+    finally:
+        spark.conf.set(threshold, before)
 
 
 def _to_roots(hung: DataFrame) -> DataFrame:

@@ -363,6 +363,15 @@ def test_documents_without_an_id_are_decontaminated(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_contaminated(spark, docs, "").collect()) == [(0, clean), (1, clean)]
 
 
+def test_components_found_on_the_driver_are_not_kept_there(spark):
+    """A local relation holds an object a row in the driver's heap, and once more for each selection of a plan."""
+    before = spark.conf.get("spark.sql.execution.arrow.localRelationThreshold")
+    found = components(spark.createDataFrame([(5, 4), (4, 2), (9, 7)], "a long, b long"))
+    assert "Local" not in found.select("node")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(2, 2), (4, 2), (5, 2), (7, 7), (9, 7)]
+    assert spark.conf.get("spark.sql.execution.arrow.localRelationThreshold") == before
+
+
 def test_components_in_tables_and_on_the_driver_agree_and_carry_no_estimates(spark, monkeypatch):
     """A checkpoint keeps Spark's estimate of its size; over joins in a loop the estimate's digits double each round and fill the driver."""
     n, rng = 300, random.Random(80)
